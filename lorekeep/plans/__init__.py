@@ -1,0 +1 @@
+"""Plans."""
