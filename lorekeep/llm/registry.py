@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 from ..session import table
-from . import toxicity
+from . import decontam, near_dup, toxicity
+
+
+def op2_near_dedup(spark, sf_dir):
+    return near_dup.op2_near_dedup(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark, sf_dir):
+    return decontam.op8_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op10_toxicity(spark, sf_dir):
     return toxicity.op10_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op10_toxicity,)}
+QUERIES = {f.__name__: f for f in (op2_near_dedup, op8_decontamination, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
