@@ -3,20 +3,28 @@
 from __future__ import annotations
 
 from ..session import table
-from . import decontam, near_dup, toxicity
+from . import decontam, mixing, near_dup, sharding, toxicity
 
 
 def op2_near_dedup(spark, sf_dir):
     return near_dup.op2_near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark, sf_dir):
+    return mixing.op3_mixing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_decontamination(spark, sf_dir):
     return decontam.op8_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_sharding(spark, sf_dir):
+    return sharding.op9_sharding(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark, sf_dir):
     return toxicity.op10_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_near_dedup, op8_decontamination, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_near_dedup, op3_mixing, op8_decontamination, op9_sharding, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
