@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lorekeep.llm import decontam, mixing, near_dup, sharding
 from lorekeep.llm import toxicity as _toxicity
 from lorekeep.session import saved, table
 
@@ -18,7 +19,30 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _toxicity.without_toxic(docs, _toxicity.fit(docs, _toxicity.training_rows(labels, held_out=False)))
 
 
-STAGES = [("toxicity", toxicity)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays, the one with the least doc_id; all columns stay."""
+    return near_dup.one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go; all columns stay."""
+    return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document comes as often as its rate says; good documents all stay. All columns stay."""
+    return mixing.mixed(docs, table(spark, sf_dir, "labels"), MIX, "good")
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, shard and slot of every row: counts of the shards differ by at most one."""
+    return sharding.shards(docs)
+
+
+#: Target shares of the tokens after toxic documents have gone.
+MIX = {"good": 0.9, "low": 0.1}
+
+STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]
 
 #: Trained models and iterative stages: not expressible in SQL; tests/llm holds run() against brute force.
 ORACLE_SQL = None
