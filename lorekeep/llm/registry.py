@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from ..session import table
-from . import decontam, mixing, near_dup, sharding, toxicity
+from . import decontam, licenses, mixing, near_dup, sharding, toxicity
+
+
+def op1_license_scan(spark, sf_dir):
+    return licenses.op1_license_scan(table(spark, sf_dir, "documents"))
 
 
 def op2_near_dedup(spark, sf_dir):
@@ -26,5 +30,5 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.op10_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_near_dedup, op3_mixing, op8_decontamination, op9_sharding, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_mixing, op8_decontamination, op9_sharding, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
