@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
-from . import decontam, licenses, mixing, near_dup, sharding, toxicity
+from . import chat, decontam, fingerprints, licenses, mixing, near_dup, sharding, toxicity
 
 
 def op1_license_scan(spark, sf_dir):
@@ -18,6 +18,14 @@ def op3_mixing(spark, sf_dir):
     return mixing.op3_mixing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_chat(spark, sf_dir):
+    return chat.op5_chat(table(spark, sf_dir, "conversations"))
+
+
+def op7_fingerprints(spark, sf_dir):
+    return fingerprints.op7_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark, sf_dir):
     return decontam.op8_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -30,5 +38,5 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.op10_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_mixing, op8_decontamination, op9_sharding, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_mixing, op5_chat, op7_fingerprints, op8_decontamination, op9_sharding, op10_toxicity)}
+ORACLE_SQL: dict[str, str] = {"op5_chat": chat.ORACLE}
