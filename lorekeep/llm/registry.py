@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
-from . import chat, decontam, fingerprints, licenses, mixing, near_dup, sharding, toxicity
+from . import chat, decontam, fingerprints, languages, licenses, mixing, near_dup, sharding, toxicity, urls
 
 
 def op1_license_scan(spark, sf_dir):
@@ -18,10 +18,18 @@ def op3_mixing(spark, sf_dir):
     return mixing.op3_mixing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_language(spark, sf_dir):
+    return languages.op4_language(table(spark, sf_dir, "documents"))
+
+
 def op5_chat(spark, sf_dir):
     return chat.op5_chat(table(spark, sf_dir, "conversations"))
 
 
+def op6_url_filter(spark, sf_dir):
+    return urls.op6_url_filter(table(spark, sf_dir, "pages"))
+
+
 def op7_fingerprints(spark, sf_dir):
     return fingerprints.op7_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -38,5 +46,5 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.op10_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_mixing, op5_chat, op7_fingerprints, op8_decontamination, op9_sharding, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_mixing, op4_language, op5_chat, op6_url_filter, op7_fingerprints, op8_decontamination, op9_sharding, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {"op5_chat": chat.ORACLE}
