@@ -1 +0,0 @@
-"""Functions."""

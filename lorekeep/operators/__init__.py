@@ -1 +0,0 @@
-"""Operators."""

@@ -1 +0,0 @@
-"""Plans."""

@@ -1 +0,0 @@
-"""Sources."""

@@ -1 +0,0 @@
-"""Streaming."""
