@@ -71,13 +71,13 @@ def mentions(units: DataFrame, key: list[str], gazetteer: DataFrame, text: str =
 
 def number_mentions(units: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """num:<digits, dots, commas> of at least two characters."""
-    found = units.select(*key, F.explode(F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}_])\d[\d.,]*(?![\p{L}\p{N}_])"), F.lit(0))).alias("raw")).where(F.length("raw") >= 2)
+    found = units.select(*key, F.explode(F.regexp_extract_all(text, F.lit(r"(?U)\b\d[\d.,]*\b"), F.lit(0))).alias("raw")).where(F.length("raw") >= 2)
     return found.groupBy(*key, F.concat(F.lit("num:"), "raw").alias("entity")).agg(F.count("*").alias("count"))
 
 
 def chapter_mentions(units: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """chapter:<n> of references such as `chapter 3`, `ch. 3`, `chương 3`."""
-    found = units.select(*key, F.explode(F.regexp_extract_all(text, F.lit(r"(?iu)(?<![\p{L}\p{N}_])(?:chương|chapter|ch\.?)\s*(\d+)(?![\p{L}\p{N}_])"), F.lit(1))).alias("n"))
+    found = units.select(*key, F.explode(F.regexp_extract_all(text, F.lit(r"(?iU)\b(?:chương|chapter|ch\.?)\s*(\d+)\b"), F.lit(1))).alias("n"))
     return found.groupBy(*key, F.concat(F.lit("chapter:"), "n").alias("entity")).agg(F.count("*").alias("count"))
 
 

@@ -1 +1,463 @@
-"""Queries over the graph, the two views, the records and the payloads."""
+"""Queries over entities and their graph, the two views, the records and the payloads."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import dense, entities, facts, graph, lexical, payload, retrieval, segments
+from ..session import saved, table
+from . import sql as S
+from .catalogue import documents, query, segments_of, sources, terms_sql
+
+SEG = ["source", "seq"]
+#: Entities of the gazetteer that the driver's tables stand in for: a bounded list.
+GAZETTEER = 200
+
+GAZ = f"""gaz AS (SELECT term AS entity FROM (SELECT unnest(list_distinct({S.tokens('text')})) AS term FROM documents)
+    WHERE length(term) >= 5 AND NOT list_contains({S.STOP}, term) GROUP BY term ORDER BY count(*) DESC, term LIMIT {GAZETTEER})"""
+MEN = r"""men AS (SELECT source, seq, w AS entity, count(*) AS n FROM (SELECT source, seq, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM seg) WHERE w IN (SELECT entity FROM gaz) GROUP BY ALL)"""
+BASE = f"{S.SEGMENTS}, {GAZ}, {MEN}"
+
+
+def gazetteer(spark: SparkSession, d: str) -> DataFrame:
+    return entities.frequent_terms(documents(spark, d), GAZETTEER)
+
+
+def mentions_of(spark: SparkSession, d: str) -> DataFrame:
+    return entities.mentions(segments_of(spark, d), SEG, gazetteer(spark, d))
+
+
+# ---- entities ---------------------------------------------------------------
+
+
+@query(f"WITH {BASE} SELECT source, CAST(seq AS BIGINT) AS seq, entity, n AS count FROM men")
+def gazetteer_mentions(spark, d):
+    return mentions_of(spark, d).select("source", F.col("seq").cast("long").alias("seq"), "entity", "count")
+
+
+@query(r"SELECT doc_id, 'num:' || raw AS entity, count(*) AS count FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b\d[\d.,]*\b')) AS raw FROM documents) WHERE length(raw) >= 2 GROUP BY ALL")
+def number_entities(spark, d):
+    return entities.number_mentions(documents(spark, d), ["doc_id"])
+
+
+@query("SELECT doc_id, 'chapter:' || (doc_id % 40) AS entity, CAST(1 AS BIGINT) AS count FROM documents")
+def chapter_entities(spark, d):
+    rows = documents(spark, d).select("doc_id", F.concat("text", F.lit(" Chapter "), (F.col("doc_id") % 40).cast("string")).alias("text"))
+    return entities.chapter_mentions(rows, ["doc_id"])
+
+
+@query()
+def proper_nouns(spark, d):
+    """Capitalised names; regular expressions with context have no DuckDB form, so tests hold it against brute force."""
+    return entities.proper_nouns(documents(spark, d), ["doc_id"])
+
+
+@query(f"WITH {BASE} SELECT source, CAST(seq AS BIGINT) AS seq, entity, round(n / sum(n) OVER (PARTITION BY source, seq), 6) AS weight FROM men")
+def mention_weights(spark, d):
+    return graph.weights(mentions_of(spark, d), SEG).select("source", F.col("seq").cast("long").alias("seq"), "entity", F.round("weight", 6).alias("weight"))
+
+
+@query(f"WITH {BASE} SELECT entity, CAST(sum(n) AS BIGINT) AS total, count(*) AS segments FROM men GROUP BY entity")
+def entity_totals(spark, d):
+    return graph.entity_totals(mentions_of(spark, d))
+
+
+@query(f"WITH {BASE} SELECT entity FROM gaz WHERE entity IN (SELECT entity FROM men JOIN seg USING (source, seq) WHERE kind = 'reference')")
+def entity_gc(spark, d):
+    from ..operators.store import without_orphans
+
+    kept = segments_of(spark, d).where("kind = 'reference'").select(*SEG)
+    return without_orphans(gazetteer(spark, d).select(F.col("key").alias("entity")), mentions_of(spark, d).join(kept, SEG, "left_semi"))
+
+
+# ---- graph ------------------------------------------------------------------
+
+
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    """The stated batch: the first sentence of every document whose id is divisible by 100."""
+    rows = documents(spark, d).where("doc_id % 100 = 0")
+    return rows.select(F.col("doc_id").alias("query_id"), F.get(segments.sentences("text"), 0).alias("query"))
+
+
+QUESTIONS = f"asked AS (SELECT doc_id AS query_id, ({S.sentences('text')})[1] AS query FROM documents WHERE doc_id % 100 = 0)"
+ASKED_KEYS = r"akey AS (SELECT DISTINCT query_id, w AS key FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '[\p{L}\p{N}_]+')) AS w FROM asked) WHERE w IN (SELECT entity FROM gaz))"
+SEEDS = f"""{QUESTIONS}, {ASKED_KEYS}, ent AS (SELECT DISTINCT entity FROM men),
+scored AS (SELECT query_id, entity, max(CASE WHEN key = entity THEN 1.0 ELSE CAST(least(length(key), length(entity)) AS DOUBLE) / greatest(length(key), length(entity)) * CAST(0.85 AS DOUBLE) END) AS score
+    FROM ent JOIN akey ON key = entity OR (length(key) >= 3 AND (contains(entity, key) OR contains(key, entity))) GROUP BY ALL),
+top AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, entity) <= 8),
+seed AS (SELECT query_id, entity, score / sum(score) OVER (PARTITION BY query_id) AS weight FROM top)"""
+
+
+def question_keys(spark: SparkSession, d: str) -> DataFrame:
+    return entities.mentions(questions(spark, d), ["query_id"], gazetteer(spark, d), "query").select("query_id", F.col("entity").alias("key"))
+
+
+def seeds_of(spark: SparkSession, d: str, men: DataFrame) -> DataFrame:
+    return graph.seeds(men.select("entity").distinct(), question_keys(spark, d))
+
+
+@query(f"WITH {BASE}, {SEEDS} SELECT query_id, entity, round(weight, 6) AS weight FROM seed")
+def seed_alignment(spark, d):
+    return seeds_of(spark, d, mentions_of(spark, d)).select("query_id", "entity", F.round("weight", 6).alias("weight"))
+
+
+STEPS = """step AS (SELECT a.entity AS src, b.entity AS dst, sum((a.n / ce.c) * (b.n / cs.c)) AS p FROM men a JOIN men b USING (source, seq)
+    JOIN (SELECT entity, sum(n) AS c FROM men GROUP BY entity) ce ON ce.entity = a.entity JOIN (SELECT source, seq, sum(n) AS c FROM men GROUP BY ALL) cs USING (source, seq) GROUP BY ALL)"""
+PPR = "pi0 AS (SELECT query_id, entity, weight AS pi FROM seed), " + ", ".join(
+    f"""pi{i} AS (SELECT query_id, entity, sum(pi) AS pi FROM (SELECT query_id, dst AS entity, CAST(0.6 AS DOUBLE) * sum(pi * p) AS pi FROM pi{i - 1} JOIN step ON src = entity GROUP BY ALL
+    UNION ALL SELECT query_id, entity, CAST(0.4 AS DOUBLE) * weight FROM seed) GROUP BY ALL)"""
+    for i in range(1, graph.ROUNDS + 1)
+)
+LAST = f"pi{graph.ROUNDS}"
+
+
+def activations(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(mentions, pi) of the stated batch."""
+    men = saved(mentions_of(spark, d), "mentions")
+    return men, graph.ppr_bounded(graph.transitions(men, SEG), seeds_of(spark, d, men))
+
+
+@query(f"WITH {BASE}, {SEEDS}, {STEPS}, {PPR} SELECT query_id, entity, round(pi, 5) AS pi FROM {LAST}")
+def ppr_scores(spark, d):
+    return activations(spark, d)[1].select("query_id", "entity", F.round("pi", 5).alias("pi"))
+
+
+GRAPH = f"gs AS (SELECT query_id, source, seq, sum(pi) AS score FROM men JOIN {LAST} USING (entity) GROUP BY ALL)"
+
+
+@query(f"WITH {BASE}, {SEEDS}, {STEPS}, {PPR}, {GRAPH} SELECT query_id, source, CAST(seq AS BIGINT) AS seq, round(score, 5) AS score FROM gs")
+def graph_segment_scores(spark, d):
+    men, pi = activations(spark, d)
+    return graph.segment_scores(men, SEG, pi).select("query_id", "source", F.col("seq").cast("long").alias("seq"), F.round("score", 5).alias("score"))
+
+
+WEIGHED = "wm AS (SELECT *, n / sum(n) OVER (PARTITION BY source, seq) AS w FROM men)"
+
+
+@query(
+    f"""WITH {BASE}, {WEIGHED}, near AS (SELECT a.entity, b.entity AS neighbour, round(sum(a.w * b.w), 6) AS weight FROM wm a JOIN wm b USING (source, seq) WHERE a.entity <> b.entity GROUP BY ALL)
+    SELECT *, row_number() OVER (PARTITION BY entity ORDER BY weight DESC, neighbour) AS rank FROM near QUALIFY rank <= 10"""
+)
+def entity_neighbours(spark, d):
+    men = mentions_of(spark, d)
+    out = graph.neighbours(men, SEG, gazetteer(spark, d).select(F.col("key").alias("entity")))
+    return out.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(
+    f"""WITH {BASE}, {WEIGHED}, tot AS (SELECT entity, CAST(sum(n) AS BIGINT) AS total FROM men GROUP BY entity),
+    latest AS (SELECT entity, source, seq, ordinal FROM men JOIN seg USING (source, seq) QUALIFY row_number() OVER (PARTITION BY entity ORDER BY ordinal DESC, source DESC, seq DESC) <= 8)
+    SELECT entity, total, count(*) AS shown, min(ordinal) AS first_ordinal, max(ordinal) AS last_ordinal FROM latest JOIN tot USING (entity) GROUP BY ALL"""
+)
+def entity_profile(spark, d):
+    men = mentions_of(spark, d)
+    back = Window.partitionBy("entity").orderBy(F.desc("ordinal"), F.desc("source"), F.desc("seq"))
+    last = men.join(segments_of(spark, d).select(*SEG, "ordinal"), SEG).withColumn("back", F.row_number().over(back)).where("back <= 8")
+    shown = last.groupBy("entity").agg(F.count("*").alias("shown"), F.min("ordinal").alias("first_ordinal"), F.max("ordinal").alias("last_ordinal"))
+    return shown.join(graph.entity_totals(men).select("entity", "total"), "entity").select("entity", "total", "shown", "first_ordinal", "last_ordinal")
+
+
+# ---- the two views ----------------------------------------------------------
+
+KEYED = "unit_text AS (SELECT source || '#' || seq AS k, text FROM seg)"
+LEX = f"{KEYED}, {terms_sql('asked')}, {S.bm25('unit_text', 'k', 'terms')}"
+DENSE = f"{S.features('unit_text', 'k')}, qtext AS (SELECT query_id, query AS text FROM asked), {S.features('qtext', 'query_id', 'qvec')}, sims AS (SELECT query_id, k, sum(v.value * q.value) AS sim FROM vec v JOIN qvec q USING (dim) GROUP BY ALL)"
+VIEW = f"""unit AS (SELECT query_id, source, seq, scene, coalesce(score, 0) + CAST(2.0 AS DOUBLE) * greatest(0, coalesce(sim, 0)) AS u FROM bm25 FULL JOIN sims USING (query_id, k) JOIN (SELECT *, source || '#' || seq AS k FROM seg) USING (k)),
+best AS (SELECT query_id, source, round(max(u), 6) AS b FROM unit WHERE u > 0 GROUP BY query_id, source QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY b DESC, source) <= 8),
+sizes AS (SELECT source, scene, count(*) AS size FROM seg GROUP BY ALL),
+scenes AS (SELECT query_id, source, scene, sum(u) / any_value(size) AS mean FROM unit JOIN best USING (query_id, source) JOIN sizes USING (source, scene) WHERE u > 0 GROUP BY query_id, source, scene
+    QUALIFY row_number() OVER (PARTITION BY query_id, source ORDER BY round(mean, 6) DESC, scene) <= 5),
+hier AS (SELECT query_id, source, g.seq, CAST(0.85 AS DOUBLE) * coalesce(u, 0) + CAST(0.15 AS DOUBLE) * mean AS score FROM scenes JOIN seg g USING (source, scene) LEFT JOIN (SELECT query_id, source, seq, u FROM unit WHERE u > 0) USING (query_id, source, seq))"""
+
+
+def _views(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(segments, lexical, sims) of the stated batch."""
+    seg = saved(segments_of(spark, d), "segments")
+    asked = questions(spark, d)
+    lex = lexical.bm25(seg, SEG, lexical.query_terms(asked))
+    sims = dense.sparse_cosine(dense.hash_embed(seg, SEG), SEG, dense.hash_embed(asked, ["query_id"], "query"))
+    return seg, lex, sims
+
+
+@query(f"WITH {S.SEGMENTS}, {QUESTIONS}, {LEX}, {DENSE}, {VIEW} SELECT query_id, source, CAST(seq AS BIGINT) AS seq, round(score, 5) AS score FROM hier WHERE score > 0")
+def hierarchy_view(spark, d):
+    seg, lex, sims = _views(spark, d)
+    return retrieval.hierarchy_view(seg, lex, sims).select("query_id", "source", F.col("seq").cast("long").alias("seq"), F.round("score", 5).alias("score"))
+
+
+FUSED = f"""{S.SEGMENTS}, {GAZ}, {MEN}, {SEEDS}, {STEPS}, {PPR}, {GRAPH}, {LEX}, {DENSE}, {VIEW},
+graph_max AS (SELECT query_id, source, seq, score / max(score) OVER (PARTITION BY query_id) AS base, source || '#' || seq AS k FROM gs),
+graph_view AS (SELECT query_id, source, seq, CAST(0.75 AS DOUBLE) * base + CAST(0.25 AS DOUBLE) * greatest(0, coalesce(sim, 0)) AS g FROM graph_max LEFT JOIN sims USING (query_id, k)),
+gn AS (SELECT query_id, source, seq, g / max(g) OVER (PARTITION BY query_id) AS g FROM graph_view),
+hn AS (SELECT query_id, source, seq, score / max(score) OVER (PARTITION BY query_id) AS h FROM hier WHERE score > 0),
+fused AS (SELECT query_id, source, seq, coalesce(g, 0) AS g, coalesce(h, 0) AS h,
+    CASE WHEN query_id IN (SELECT query_id FROM seed) THEN CAST(0.6 AS DOUBLE) * coalesce(g, 0) + (1 - CAST(0.6 AS DOUBLE)) * coalesce(h, 0) ELSE CAST(0.6 AS DOUBLE) * coalesce(h, 0) + (1 - CAST(0.6 AS DOUBLE)) * coalesce(g, 0) END AS score
+    FROM gn FULL JOIN hn USING (query_id, source, seq))"""
+
+
+def _fused(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    seg, lex, sims = _views(spark, d)
+    sims = saved(sims, "sims")
+    men = saved(entities.mentions(seg, SEG, gazetteer(spark, d)), "mentions")
+    start = saved(seeds_of(spark, d, men), "seeds")
+    pi = graph.ppr_bounded(graph.transitions(men, SEG), start)
+    routes = questions(spark, d).select("query_id").join(start.select("query_id").distinct().withColumn("hit", F.lit(True)), "query_id", "left").select("query_id", F.when(F.col("hit"), "relational").otherwise("local").alias("route"))
+    both = retrieval.fused(retrieval.graph_view(graph.segment_scores(men, SEG, pi), sims), retrieval.hierarchy_view(seg, lex, sims), routes)
+    return seg, both
+
+
+@query(f"WITH {FUSED} SELECT query_id, source, CAST(seq AS BIGINT) AS seq, round(g, 4) AS graph, round(h, 4) AS hierarchy, round(score, 4) AS score FROM fused")
+def fused_scores(spark, d):
+    _, rows = _fused(spark, d)
+    return rows.select("query_id", "source", F.col("seq").cast("long").alias("seq"), *[F.round(c, 4).alias(c) for c in ("graph", "hierarchy", "score")])
+
+
+INTENT = f"intents AS (SELECT query_id, CASE WHEN {' OR '.join(f'''contains(lower(query), '{h}')''' for h in X.CONTINUITY_HINTS)} THEN 'continuity' ELSE 'other' END AS intent FROM asked)"
+TOPK = f"""{FUSED}, {INTENT}, cal AS (SELECT query_id, f.source, f.seq, kind, ordinal, scene, round(CASE WHEN kind = 'reference' THEN score * CAST(1.15 AS DOUBLE)
+    WHEN intent = 'continuity' THEN score * (1 + CAST(0.35 AS DOUBLE) * ordinal / (SELECT max(ordinal) FROM seg)) ELSE score END, 6) AS score FROM fused f JOIN seg USING (source, seq) JOIN intents USING (query_id)),
+match AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ordinal, source, seq) AS rank FROM cal QUALIFY rank <= 8)"""
+
+
+def _matches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    seg, rows = _fused(spark, d)
+    intents = questions(spark, d).select("query_id", X.intent("query").alias("intent"))
+    return seg, saved(retrieval.calibrated(rows, seg, intents, 8), "matches")
+
+
+@query(f"WITH {TOPK} SELECT query_id, source, CAST(seq AS BIGINT) AS seq, round(score, 4) AS score, rank FROM match")
+def calibrated_topk(spark, d):
+    _, rows = _matches(spark, d)
+    return rows.select("query_id", "source", F.col("seq").cast("long").alias("seq"), F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+CLOSED = f"""{TOPK}, near AS (SELECT query_id, m.source, g.seq, round(score * CAST(0.45 AS DOUBLE), 6) AS score, 'neighbour' AS role, rank * 4 + CASE WHEN g.seq < m.seq THEN 0 ELSE 1 END AS turn
+    FROM match m JOIN seg g ON g.source = m.source AND g.scene = m.scene AND abs(g.seq - m.seq) = 1),
+evidence AS (SELECT * FROM (SELECT query_id, source, seq, score, 'match' AS role, 0 AS turn FROM match UNION ALL SELECT * FROM near) QUALIFY row_number() OVER (PARTITION BY query_id, source, seq ORDER BY turn) = 1)"""
+
+
+@query(f"WITH {CLOSED} SELECT query_id, source, CAST(seq AS BIGINT) AS seq, round(score, 4) AS score, role FROM evidence")
+def evidence_closure(spark, d):
+    seg, rows = _matches(spark, d)
+    return retrieval.closure(rows, seg).select("query_id", "source", F.col("seq").cast("long").alias("seq"), F.round("score", 4).alias("score"), "role")
+
+
+@query(f"WITH {CLOSED} SELECT query_id, source, CAST(e.seq AS BIGINT) AS seq, role, round(round(1 - least(score, 1), 4), 3) AS distance, md5(text) AS body FROM evidence e JOIN seg USING (source, seq)")
+def search_hits(spark, d):
+    seg, rows = _matches(spark, d)
+    out = retrieval.hits(retrieval.closure(rows, seg), seg)
+    return out.select("query_id", "source", F.col("seq").cast("long").alias("seq"), "role", F.round("distance", 3).alias("distance"), F.md5(F.col("text").cast("binary")).alias("body"))
+
+
+KEPT_SQL = f"""{CLOSED}, costed AS (SELECT query_id, source, seq, {S.estimate('text')} + 8 AS cost, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ordinal, source, seq) AS nth FROM evidence JOIN seg USING (source, seq)),
+lists AS (SELECT query_id, list({{'spent': CAST(0 AS BIGINT), 'kept': CAST([] AS BIGINT[]), 'cost': CAST(cost AS BIGINT), 'nth': nth}} ORDER BY nth) AS items FROM costed GROUP BY query_id),
+folded AS (SELECT query_id, list_reduce(list_prepend({{'spent': CAST(0 AS BIGINT), 'kept': CAST([] AS BIGINT[]), 'cost': CAST(0 AS BIGINT), 'nth': CAST(0 AS BIGINT)}}, items),
+    lambda a, x: CASE WHEN a.spent + x.cost <= 1500 THEN {{'spent': a.spent + x.cost, 'kept': list_append(a.kept, x.nth), 'cost': a.cost, 'nth': a.nth}} ELSE a END) AS f FROM lists),
+kept AS (SELECT query_id, source, seq, cost FROM costed JOIN folded USING (query_id) WHERE list_contains(f.kept, nth))"""
+
+
+@query(f"WITH {KEPT_SQL} SELECT query_id, source, CAST(seq AS BIGINT) AS seq, CAST(cost AS BIGINT) AS cost FROM kept")
+def context_budget(spark, d):
+    seg, rows = _matches(spark, d)
+    out = retrieval.within_budget(retrieval.closure(rows, seg), seg, 1500)
+    return out.select("query_id", "source", F.col("seq").cast("long").alias("seq"), "cost")
+
+
+@query(
+    f"""WITH {KEPT_SQL}, placed AS (SELECT query_id, source, seq, ordinal, chapter, text, lag(source) OVER w AS ps, lag(seq) OVER w AS pq FROM kept JOIN seg USING (source, seq) WINDOW w AS (PARTITION BY query_id ORDER BY ordinal, source, seq)),
+    runs AS (SELECT *, sum(CASE WHEN ps = source AND seq - pq <= 2 THEN 0 ELSE 1 END) OVER (PARTITION BY query_id ORDER BY ordinal, source, seq) AS block FROM placed)
+    SELECT query_id, CAST(block AS BIGINT) AS block, source, CAST(min(seq) AS BIGINT) AS first_seq, count(*) AS n,
+        md5('### ' || source || CASE WHEN any_value(chapter) IS NULL THEN '' ELSE ' (chương ' || any_value(chapter) || ')' END || chr(10) || string_agg(text, chr(10) ORDER BY seq)) AS body FROM runs GROUP BY query_id, block, source"""
+)
+def context_blocks(spark, d):
+    seg, rows = _matches(spark, d)
+    out = retrieval.blocks(retrieval.within_budget(retrieval.closure(rows, seg), seg, 1500), seg)
+    return out.select("query_id", F.col("block").cast("long").alias("block"), "source", F.col("first_seq").cast("long").alias("first_seq"), "n", F.md5(F.col("text").cast("binary")).alias("body"))
+
+
+# ---- payloads ---------------------------------------------------------------
+
+
+def _payloads(spark: SparkSession, d: str) -> DataFrame:
+    """An extraction payload for every conversation, fenced for odd ids and bare for even ones."""
+    first, last = F.regexp_extract("text", r"\p{L}+", 0), F.regexp_extract("text", r"(\p{L}+)\P{L}*$", 1)
+    kind = F.when(F.col("role") == "user", "Character").when(F.col("role") == "system", "location").otherwise("thing")
+    node = F.struct(
+        F.col("turn").alias("index"),
+        F.array(F.struct(first.alias("name"), kind.alias("type"))).alias("entities"),
+        F.array(F.struct(first.alias("source"), F.lit("speaks  to").alias("relation"), F.when(F.col("turn") % 3 == 0, "He").otherwise(last).alias("target"))).alias("relations"),
+    )
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.to_json(F.struct(F.sort_array(F.collect_list(node)).alias("segments"))).alias("json"))
+    return rows.select(F.col("conv_id").alias("batch_id"), F.when(F.col("conv_id") % 2 == 1, F.concat(F.lit("```json\n"), "json", F.lit("\n```"))).otherwise(F.concat("json", F.lit("\nDone."))).alias("raw"))
+
+
+WORDS = r"w AS (SELECT conv_id AS batch_id, turn AS index, role, regexp_extract(text, '\p{L}+') AS first, regexp_extract(text, '(\p{L}+)\P{L}*$', 1) AS last FROM conversations)"
+
+
+@query(f"WITH {WORDS} SELECT batch_id, CAST(index AS INTEGER) AS index, substr(first, 1, 80) AS name, CASE role WHEN 'user' THEN 'PERSON' WHEN 'system' THEN 'PLACE' ELSE 'PROPER' END AS type FROM w WHERE first <> ''")
+def payload_parse(spark, d):
+    return payload.entities(payload.parsed(_payloads(spark, d)))
+
+
+PRONOUNS = ", ".join(f"'{p}'" for p in payload.PRONOUNS)
+
+
+@query(f"WITH {WORDS}, r AS (SELECT batch_id, CAST(index AS INTEGER) AS index, first AS subject, 'SPEAKS_TO' AS relation, CASE WHEN index % 3 = 0 THEN 'He' ELSE last END AS object FROM w) SELECT * FROM r WHERE subject <> '' AND object <> '' AND {S.fold('subject')} NOT IN ({PRONOUNS}) AND {S.fold('object')} NOT IN ({PRONOUNS})")
+def pronoun_filter(spark, d):
+    return payload.relations(payload.parsed(_payloads(spark, d)))
+
+
+@query(f"WITH {WORDS}, r AS (SELECT first AS subject, last AS object, count(*) AS n FROM w WHERE first <> '' AND last <> '' GROUP BY ALL), {GAZ} SELECT entity, subject, object, n FROM (SELECT entity, r.* FROM gaz JOIN r ON entity = {S.fold('subject')} UNION SELECT entity, r.* FROM gaz JOIN r ON entity = {S.fold('object')})")
+def relations_lookup(spark, d):
+    first, last = F.regexp_extract("text", r"\p{L}+", 0), F.regexp_extract("text", r"(\p{L}+)\P{L}*$", 1)
+    triples = table(spark, d, "conversations").select(first.alias("subject"), last.alias("object")).where("subject <> '' and object <> ''").groupBy("subject", "object").agg(F.count("*").alias("n"))
+    names = F.broadcast(gazetteer(spark, d).select(F.col("key").alias("entity")))
+    ends = [triples.join(names, F.col("entity") == X.fold(end)) for end in ("subject", "object")]
+    return ends[0].unionByName(ends[1]).select("entity", "subject", "object", "n").distinct()
+
+
+@query(
+    f"""WITH {S.SEGMENTS}, u AS (SELECT workspace, list({{'done': CAST([] AS BIGINT[][]), 'items': CAST(1 AS BIGINT), 'chars': length(text)}} ORDER BY ordinal, source, seq) AS u FROM seg GROUP BY workspace),
+    f AS (SELECT workspace, list_reduce(u, lambda a, x: CASE WHEN a.items >= 40 OR a.chars + x.chars > 30000 THEN {{'done': list_append(a.done, [a.items, a.chars]), 'items': CAST(1 AS BIGINT), 'chars': x.chars}} ELSE {{'done': a.done, 'items': a.items + 1, 'chars': a.chars + x.chars}} END) AS f FROM u),
+    b AS (SELECT workspace, list_append(f.done, [f.items, f.chars]) AS b FROM f)
+    SELECT workspace, CAST(i - 1 AS BIGINT) AS batch, b[i][1] AS items, b[i][2] AS chars FROM (SELECT workspace, b, unnest(generate_series(1, length(b))) AS i FROM b)"""
+)
+def batch_cut(spark, d):
+    rows = segments_of(spark, d).withColumn("place", F.struct("ordinal", "source", "seq"))
+    return payload.batches(rows, "workspace", "place", F.length("text")).withColumn("batch", F.col("batch").cast("long"))
+
+
+# ---- records ----------------------------------------------------------------
+
+DATES = "d AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y') WHEN 1 THEN strftime(o_orderdate, '%Y-%m') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y') || '-13' END AS date, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS dd FROM orders)"
+
+
+def _dates(spark: SparkSession, d: str) -> DataFrame:
+    k, t = F.col("o_orderkey"), F.col("o_orderdate")
+    date = F.when(k % 4 == 0, F.date_format(t, "yyyy")).when(k % 4 == 1, F.date_format(t, "yyyy-MM")).when(k % 4 == 2, F.date_format(t, "yyyy-MM-dd")).otherwise(F.concat(F.date_format(t, "yyyy"), F.lit("-13")))
+    return table(spark, d, "orders").select("o_orderkey", date.alias("date"))
+
+
+@query(
+    f"""WITH {DATES} SELECT o_orderkey, date, CAST(CASE o_orderkey % 4 WHEN 0 THEN y * 10000 + 101 WHEN 1 THEN y * 10000 + m * 100 + 1 WHEN 2 THEN y * 10000 + m * 100 + dd END AS INTEGER) AS first,
+    CAST(CASE o_orderkey % 4 WHEN 0 THEN y * 10000 + 1231 WHEN 1 THEN y * 10000 + m * 100 + CASE WHEN m = 2 THEN 29 WHEN m IN (4, 6, 9, 11) THEN 30 ELSE 31 END WHEN 2 THEN y * 10000 + m * 100 + dd END AS INTEGER) AS last FROM d"""
+)
+def date_widen(spark, d):
+    return _dates(spark, d).select("o_orderkey", "date", facts.date_key(F.col("date")).alias("first"), facts.date_key(F.col("date"), True).alias("last"))
+
+
+@query(f"WITH {DATES} SELECT 'R' || o_orderkey AS id, 'bad id' AS problem FROM d UNION ALL SELECT 'R' || o_orderkey, 'bad date' FROM d WHERE o_orderkey % 4 = 3 UNION ALL SELECT 'R' || o_orderkey, 'no source' FROM d WHERE o_orderkey % 5 = 0")
+def records_validate(spark, d):
+    rows = _dates(spark, d).select(
+        F.concat(F.lit("R"), F.col("o_orderkey").cast("string")).alias("id"), F.lit("a claim").alias("claim"), F.when(F.col("o_orderkey") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("s"))).alias("sources"),
+        F.lit("attested").alias("confidence"), "date", F.lit(None).cast("string").alias("until"),
+    )
+    return facts.problems(rows)
+
+
+@query("SELECT 'u' || user_id AS id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY length(event_type) DESC, event_type DESC, event_id DESC) = 1")
+def records_override(spark, d):
+    rows = table(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("id"), F.length("event_type").alias("scope_rank"), F.col("event_type").alias("file"), F.col("event_id").alias("position"), "event_id", "value")
+    return facts.overridden(rows).select("id", "event_id", "value")
+
+
+def _dated(spark: SparkSession, d: str) -> DataFrame:
+    """events as dated records."""
+    key = F.year("ts") * 10000 + F.month("ts") * 100 + F.dayofmonth("ts")
+    return table(spark, d, "events").select("event_id", "event_type", key.alias("start_key"), F.lit(None).cast("int").alias("end_key"))
+
+
+DATED = "rec AS (SELECT event_id, event_type, CAST(year(ts) * 10000 + month(ts) * 100 + day(ts) AS INTEGER) AS start_key FROM events)"
+
+
+@query(f"WITH {DATED} SELECT *, row_number() OVER (ORDER BY start_key, event_id) AS rank FROM rec WHERE start_key BETWEEN 20240110 AND 20240112 QUALIFY rank <= 40")
+def timeline_window(spark, d):
+    rows = facts.timeline(_dated(spark, d), 20240110, 20240112).select("event_id", "event_type", "start_key").orderBy("start_key", "event_id").limit(40)
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy("start_key", "event_id")).cast("long"))
+
+
+@query(f"WITH {DATED} SELECT event_type, count(*) AS n, max(start_key) AS latest FROM rec WHERE start_key <= 20240115 GROUP BY event_type")
+def before_filter(spark, d):
+    return facts.timeline(_dated(spark, d), None, 20240115).groupBy("event_type").agg(F.count("*").alias("n"), F.max("start_key").alias("latest"))
+
+
+@query(
+    f"""WITH u AS (SELECT 'r' || doc_id AS id, text || chr(10) || source || chr(10) || lang AS text, source, doc_id FROM documents),
+    asked AS (SELECT doc_id AS query_id, text || ' ' || source AS query, 15000000 + doc_id AS before FROM documents WHERE doc_id % 100 = 0), {terms_sql('asked')}, {S.bm25('u', 'id', 'terms')},
+    bonus AS (SELECT query_id, id, 2.5 AS bonus FROM u JOIN asked ON contains({S.fold('query')}, source)),
+    s AS (SELECT query_id, id, round(coalesce(score, 0) + CAST(coalesce(bonus, 0) AS DOUBLE), 3) AS score FROM bm25 FULL JOIN bonus USING (query_id, id))
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, 15000000 + doc_id, id) AS rank, id, score FROM s JOIN u USING (id) JOIN asked USING (query_id) WHERE 15000000 + doc_id <= before QUALIFY rank <= 6"""
+)
+def fact_search(spark, d):
+    rows = documents(spark, d).select(
+        F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("claim"), F.array("source").alias("entities"), F.array("lang").alias("tags"), F.lit(None).cast("string").alias("note"),
+        (15000000 + F.col("doc_id")).alias("start_key"), F.lit(None).cast("long").alias("end_key"),
+    )
+    asked = documents(spark, d).where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.concat("text", F.lit(" "), "source").alias("query"), (15000000 + F.col("doc_id")).alias("before"), F.lit(None).cast("long").alias("after"))
+    scores = lexical.bm25(rows.select("id", facts.indexed_text().alias("text")), ["id"], lexical.query_terms(asked))
+    return facts.search(scores, rows, asked).withColumn("rank", F.col("rank").cast("long"))
+
+
+CHECK_TERMS = [t for _, terms in facts.ANACHRONISMS for t in terms]
+
+
+def drafts(spark: SparkSession, d: str) -> DataFrame:
+    """documents as drafts: each gets a term of the lexicon, a year, and a scene's date."""
+    i = F.col("doc_id")
+    term = F.element_at(F.array(*[F.lit(t) for t in CHECK_TERMS]), (i % len(CHECK_TERMS) + 1).cast("int"))
+    text = F.concat_ws(" ", "text", term, (1000 + i % 1000).cast("string"))
+    return facts.prepared(documents(spark, d).select(i.alias("draft_id"), text.alias("text"), ((1300 + i % 700) * 10000 + 1231).cast("int").alias("scene_key")))
+
+
+def records(spark: SparkSession, d: str) -> DataFrame:
+    """The most frequent terms as dated records that introduce them."""
+    n = F.row_number().over(Window.orderBy("key"))
+    rows = entities.frequent_terms(documents(spark, d), 60).withColumn("n", n).withColumn("start_key", ((1200 + 13 * F.col("n")) * 10000 + 101).cast("int"))
+    return rows.select(
+        F.format_string("rec-%03d", "n").alias("id"), F.col("key").alias("claim"), "start_key", F.when(F.col("n") % 3 == 0, F.col("start_key") + 50000).alias("end_key"), (F.col("n") % 4 == 0).alias("ongoing"), (F.col("n") % 5 != 0).alias("locked"),
+        F.array("key").alias("introduces"), F.array().cast("array<string>").alias("anchors"),
+    )
+
+
+TERM_LIST = "[" + ", ".join(f"'{t}'" for t in CHECK_TERMS) + "]"
+LEXICON = "lex(rule, year, place, term) AS (VALUES " + ", ".join(f"({r}, {y}, {i}, '{t}')" for r, (y, terms) in enumerate(facts.ANACHRONISMS) for i, t in enumerate(terms)) + ")"
+DRAFTS = rf"""dr AS (SELECT doc_id AS draft_id, text || ' ' || {TERM_LIST}[doc_id % {len(CHECK_TERMS)} + 1] || ' ' || (1000 + doc_id % 1000) AS text, (1300 + doc_id % 700) * 10000 + 1231 AS scene_key FROM documents),
+df AS (SELECT *, ' ' || regexp_replace({S.fold('text')}, '[^\p{{L}}\p{{N}}_]', ' ', 'g') || ' ' AS clean FROM dr),
+gaz60 AS (SELECT term FROM (SELECT unnest(list_distinct({S.tokens('text')})) AS term FROM documents) WHERE length(term) >= 5 AND NOT list_contains({S.STOP}, term) GROUP BY term ORDER BY count(*) DESC, term LIMIT 60),
+num AS (SELECT term, row_number() OVER (ORDER BY term) AS n FROM gaz60),
+rec AS (SELECT format('rec-{{:03d}}', n) AS id, term, n, (1200 + 13 * n) * 10000 + 101 AS start_key, n % 4 = 0 AS ongoing, n % 5 <> 0 AS locked, 1200 + 13 * n AS y0, 1200 + 13 * n + CASE WHEN n % 3 = 0 THEN 5 ELSE 0 END AS y1 FROM num),
+met AS (SELECT draft_id, scene_key, rec.*, strpos(clean, ' ' || term || ' ') - 1 AS "at" FROM df JOIN rec ON contains(clean, ' ' || term || ' ')),
+early AS (SELECT draft_id, 'anachronism' AS kind, term, "at", id AS record_id FROM met WHERE start_key > scene_key),
+old AS (SELECT draft_id, 'anachronism' AS kind, term, strpos(clean, ' ' || {S.fold('term')} || ' ') - 1 AS "at", CAST(NULL AS VARCHAR) AS record_id FROM df JOIN lex ON contains(clean, ' ' || {S.fold('term')} || ' ')
+    WHERE scene_key // 10000 < year QUALIFY row_number() OVER (PARTITION BY draft_id, rule ORDER BY place) = 1)"""
+
+
+@query(f"WITH {LEXICON}, {DRAFTS} SELECT draft_id, kind, term, \"at\" FROM old")
+def anachronism_terms(spark, d):
+    return facts.anachronisms(drafts(spark, d)).select("draft_id", "kind", "term", "at")
+
+
+@query(f"WITH {LEXICON}, {DRAFTS} SELECT draft_id, kind, term, \"at\", record_id FROM early")
+def premature_records(spark, d):
+    return facts.premature(drafts(spark, d), records(spark, d))
+
+
+YEARS = r"""parts AS (SELECT draft_id, clean, string_split(clean, ' ') AS w FROM df),
+spots AS (SELECT draft_id, w[i] AS word, CAST(list_sum(list_transform(w[1:i - 1], lambda x: length(x) + 1)) AS BIGINT) - 1 AS pos FROM (SELECT draft_id, w, unnest(list_filter(generate_series(2, length(w)), lambda j: regexp_matches(w[j], '^(1[0-9]{3}|20[0-9]{2})$'))) AS i FROM parts)),
+near AS (SELECT m.*, pos, CAST(word AS INTEGER) AS year FROM met m JOIN spots USING (draft_id) WHERE locked AND abs(pos - "at") <= 160),
+wrong AS (SELECT draft_id, 'conflict' AS kind, term, "at", id AS record_id, bool_or(CASE WHEN ongoing THEN year >= y0 ELSE year BETWEEN y0 AND y1 END) AS ok FROM near GROUP BY ALL)"""
+
+
+@query(f"WITH {LEXICON}, {DRAFTS}, {YEARS} SELECT draft_id, kind, term, \"at\", record_id FROM wrong WHERE NOT ok")
+def year_mismatch(spark, d):
+    return facts.year_conflicts(drafts(spark, d), records(spark, d))
+
+
+@query(
+    f"""WITH {LEXICON}, {DRAFTS}, {YEARS}, every AS (SELECT * FROM old UNION ALL SELECT * FROM early UNION ALL SELECT draft_id, kind, term, "at", record_id FROM wrong WHERE NOT ok AND (draft_id, record_id) NOT IN (SELECT (draft_id, record_id) FROM early))
+    SELECT draft_id, kind, count(*) AS n, CAST(min("at") AS BIGINT) AS first_at FROM every GROUP BY ALL"""
+)
+def check_summary(spark, d):
+    found = facts.check(drafts(spark, d), saved(records(spark, d), "records"))
+    return found.groupBy("draft_id", "kind").agg(F.count("*").alias("n"), F.min("at").alias("first_at"))
