@@ -119,12 +119,18 @@ def _residual_pairs(sets: DataFrame, apart: DataFrame) -> DataFrame:
     ordered = exploded.join(frequency, "shingle").groupBy("content", "root", "minor", "n").agg(
         F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("s")
     )
-    prefix = F.expr(f"slice(s, 1, n - cast(ceil({SIMILARITY} * n) as int) + 1)")
-    tokens = ordered.select("content", "root", "minor", "n", F.explode(F.filter(prefix, lambda t: t["f"] > 1)).alias("t"))
-    tokens = tokens.select("content", "root", "minor", "n", F.col("t.shingle").alias("shingle"))
-    minor = tokens.where("minor").select(F.col("content").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), "shingle")
-    other = tokens.select(F.col("content").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), "shingle")
-    met = minor.join(other, (minor.shingle == other.shingle) & (F.col("ra") != F.col("rb")) & (F.col("na") >= SIMILARITY * F.col("nb")) & (F.col("nb") >= SIMILARITY * F.col("na")))
+    # shingles that no other of these nodes has come first and meet nothing: `alone` of them. The others, `rest`, bound the
+    # overlap, and so does the place of a common one among them: as many before it, and as many behind it, as both have.
+    alone = F.size(F.filter("s", lambda t: t["f"] == 1))
+    ordered = ordered.withColumn("alone", alone).withColumn("rest", F.col("n") - F.col("alone"))
+    ordered = ordered.withColumn("take", F.col("n") - F.ceil(F.lit(SIMILARITY) * F.col("n")).cast("int") + 1 - F.col("alone"))
+    able = ordered.select("content", "root", "minor", "n", "rest", F.slice("s", F.col("alone") + 1, F.greatest("take", F.lit(0))).alias("s"))
+    tokens = saved(able.select("content", "root", "minor", "n", "rest", F.posexplode("s").alias("i", "t")).withColumn("shingle", F.col("t.shingle")).drop("t"), "near-prefixes")
+    minor = tokens.where("minor").select(F.col("content").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("rest").alias("ma"), F.col("i").alias("ia"), "shingle")
+    other = tokens.select(F.col("content").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("rest").alias("mb"), F.col("i").alias("ib"), "shingle")
+    most = F.least("ia", "ib") + F.least(F.col("ma") - F.col("ia"), F.col("mb") - F.col("ib"))
+    enough = most >= (F.col("na") + F.col("nb")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6
+    met = minor.join(other, (minor.shingle == other.shingle) & (F.col("ra") != F.col("rb")) & enough)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
