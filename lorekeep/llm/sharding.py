@@ -3,9 +3,9 @@
 Linked documents are those with equal texts. Documents of a group are
 interchangeable, so the state is not one label a document but, for each group,
 how many of its documents each shard holds: at most SHARDS rows for a group of
-any size. All start where a hash puts them. In each round every group names
-the shard that holds most of it, the group's documents elsewhere ask to move
-there, and a shard accepts, largest groups first, as many as its quota has room
+any size. All start where a hash puts them. In each round every group names,
+among the shards with room, the one that holds most of it; the group's documents
+in shards that hold fewer of it ask to move there, and a shard accepts, largest groups first, as many as its quota has room
 for; a request that only partly fits moves in part. Documents that leave make
 room for the next round. Rounds end when nothing moves. Documents without a
 link have no edge to cut: they fill every shard up to its quota at the end, as
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..session import saved
 
 SHARDS = 40
-ROUNDS = 6
+ROUNDS = 8
 #: Hash buckets for two-step ranks, for each partition of the rank.
 RANK_BUCKETS = 64
 
@@ -68,12 +68,14 @@ def propagate(groups: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> Dat
     quota = spark.createDataFrame(list(enumerate(quotas)), "target int, quota long")
     state = saved(groups, "shard-state")
     for _ in range(rounds):
-        best = state.groupBy("g").agg(F.max(F.struct("n", (-F.col("label")).alias("l"))).alias("b"), F.sum("n").alias("size"))
-        best = best.select("g", (-F.col("b.l")).alias("target"), "size")
-        asks = state.join(best, "g").where("label <> target").select("g", "label", "target", "n", "size")
         load = state.groupBy(F.col("label").alias("target")).agg(F.sum("n").alias("held"))
         room = quota.join(load, "target", "left").select("target", F.greatest(F.lit(0), F.col("quota") - F.coalesce("held", F.lit(0))).alias("free"))
-        moves = saved(_accept(asks, F.broadcast(room)), "shard-moves")
+        room = F.broadcast(saved(room, "shard-room"))  # one row a shard
+        place = F.struct("n", (-F.col("label")).alias("l"))
+        sizes = state.groupBy("g").agg(F.sum("n").alias("size"))
+        best = state.join(room.where("free > 0"), F.col("label") == F.col("target")).groupBy("g").agg(F.max(place).alias("b")).join(sizes, "g")
+        asks = state.join(best, "g").where(place < F.col("b")).select("g", "label", (-F.col("b.l")).alias("target"), "n", "size")
+        moves = saved(_accept(asks, room), "shard-moves")
         if not moves.take(1):
             break
         out = moves.select("g", "label", (-F.col("moved")).alias("n"))
