@@ -95,8 +95,8 @@ def _fit(rows, buckets, labels, slot, n_slots, factors: int = 4, epochs: int = 3
             squares = np.stack([np.bincount(row, vectors[a, f] ** 2, m) for f in range(factors)], axis=1)
             z = bias + np.bincount(row, weight[a], m) + 0.5 * (sums * sums - squares).sum(1)
             error = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels[batch]
-            g_w = np.bincount(a, error[row], n_slots) + decay * m * weight
-            g_v = np.stack([np.bincount(a, error[row] * (sums[row, f] - vectors[a, f]), n_slots) for f in range(factors)], axis=1)
+            g_w = np.bincount(a, error[row], n_slots).astype(float) + decay * m * weight
+            g_v = np.stack([np.bincount(a, error[row] * (sums[row, f] - vectors[a, f]), n_slots) for f in range(factors)], axis=1).astype(float)
             g_v += decay * m * vectors
             g_b = error.sum()
             seen_w += g_w * g_w

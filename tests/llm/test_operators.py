@@ -1,0 +1,328 @@
+"""The text-preparation operators against brute force, and on nulls, empty and long texts, ties and repeated rows."""
+
+import hashlib
+import random
+import zlib
+
+import pytest
+from conftest import SMALL
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from lorekeep.llm import chat, decontam, fingerprints, languages, licenses, mixing, near_dup, sharding, toxicity, urls
+from lorekeep.llm import text as T
+from lorekeep.session import table
+
+LONG = "heron " * 60_000
+EDGES = [
+    (1, "A plain text about herons and mills by the river, five words and more.", "en", "s0", 5, "x", 1),
+    (1, "A plain text about herons and mills by the river, five words and more.", "en", "s0", 5, "x", 1),
+    (2, "a plain TEXT about herons and mills by the river five words and more", None, None, None, None, None),
+    (3, None, "fr", "s1", 0, "y", 2),
+    (4, "", "de", "s1", 0, "y", 2),
+    (5, "!!! ???", "de", "s1", 0, "y", 2),
+    (6, LONG, "en", "s2", 0, "y", 2),
+    (7, "one", "en", "s2", 0, "y", 2),
+    (8, "All rights\nreserved. all RIGHTS reserved; licensed under CC BY", "en", "s2", 0, "y", 2),
+    (None, "No id here but words enough to make a shingle of five", "en", "s2", 0, "y", 2),
+]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, label int"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return table(spark, SMALL, "documents")
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    return spark.createDataFrame(EDGES, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return table(spark, SMALL, "labels")
+
+
+@pytest.fixture(scope="module")
+def no_docs(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def texts_of(docs):
+    return {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+
+
+def test_words_by_bytes():
+    import numpy as np
+
+    texts = ["", "A b,c", "é-É x1_y", "\ud7ff日本 語", "..."]
+    raw = [t.encode() for t in texts]
+    words = T.Words(np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))))
+    got = [[bytes(words.bytes[s:e]) for s, e, t in zip(words.start, words.end, words.text) if t == i] for i in range(len(texts))]
+    assert got == [T.words_of(t) for t in texts]
+
+
+def test_license_places(spark, docs, edges):
+    for rows in (docs, edges):
+        got = sorted((r.doc_id or -1, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in licenses.op1_license_scan(rows).collect())
+        want = []
+        for r in rows.collect():
+            words, places, names = T.words_of(r.text), [], set()
+            for phrase, label in licenses.PHRASES.items():
+                own = phrase.encode().split()
+                for i in range(len(words) - len(own) + 1):
+                    if words[i : i + len(own)] == own:
+                        places.append(i)
+                        names.add(label)
+            want.append((r.doc_id or -1, len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(names))))
+        assert got == sorted(want, key=repr) or sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_license_containment(spark):
+    template = {"alpha beta gamma delta epsilon zeta eta theta iota kappa": "ten"}
+    words = list(template)[0].split()
+    rows = [(0, " ".join(words)), (1, " ".join(words[:9]) + " x"), (2, " ".join(words[:8])), (3, "x " * 100 + " y ".join(reversed(words)) + " z" * 90)]
+    got = {r.doc_id: bool(r.hits) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), template, {}).collect()}
+    assert got == {0: True, 1: True, 2: False, 3: True}
+
+
+def shingle_sets(texts):
+    out = {}
+    for i, text in texts.items():
+        w = T.words_of(text)
+        out[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+    return out
+
+
+def brute_classes(texts):
+    sets, parent = shingle_sets(texts), {i: i for i in texts}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(texts)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            x, y = sets[a], sets[b]
+            if len(x & y) >= 0.8 * len(x | y):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    return {i: find(i) for i in ids}
+
+
+def near_copies(n=60, seed=5):
+    """A base, copies with up to four changed words, copies of copies, and others."""
+    rng, vocabulary = random.Random(seed), [f"w{i}" for i in range(400)]
+    base = [rng.choice(vocabulary) for _ in range(120)]
+    made = [base]
+    for _ in range(n):
+        words = list(rng.choice(made))
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        made.append(words)
+    made += [[rng.choice(vocabulary) for _ in range(80)] for _ in range(10)]
+    return {i: " ".join(w) for i, w in enumerate(made)}
+
+
+def test_near_duplicates_equal_brute_force(spark, docs):
+    for texts in (texts_of(docs), near_copies(), near_copies(120, 6)):
+        rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        got = {r.doc_id: r.class_id for r in near_dup.op2_near_dedup(rows).collect()}
+        assert got == brute_classes(texts)
+
+
+def test_near_duplicates_of_edges(edges, no_docs):
+    got = [(r.doc_id, r.class_id) for r in near_dup.op2_near_dedup(edges).collect()]
+    assert sorted(got, key=repr) == sorted([(1, 1), (1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 6), (7, 7), (8, 8), (None, None)], key=repr)
+    kept = near_dup.one_of_each(edges)
+    assert kept.columns == edges.columns
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([1, 3, 5, 6, 7, 8, None], key=repr)
+    assert near_dup.op2_near_dedup(no_docs).count() == 0
+
+
+def test_probability_jaccard_estimate():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    values = rng.integers(1, 1 << 62, 300, dtype=np.uint64)
+    a, b = dict(zip(values[:200], rng.integers(1, 4, 200))), dict(zip(values[50:250], rng.integers(1, 4, 200)))
+    exact = sum(1 / sum(max(a.get(y, 0) / a[x], b.get(y, 0) / b[x]) for y in set(a) | set(b)) for x in set(a) & set(b))
+    text = np.repeat([0, 1], [len(a), len(b)])
+    out = near_dup.probminhash(text, np.array([*a, *b], dtype=np.uint64), np.array([*a.values(), *b.values()], float), 2, 4000)
+    assert abs((out[0] == out[1]).mean() - exact) < 0.04
+
+
+def test_mixing_meets_targets(spark, docs, labels, edges, no_docs):
+    rows = [(i, 10 + i % 7, [p, 1 - p]) for i in range(200) for p in [(i % 11) / 10]]
+    members = spark.createDataFrame(rows, "doc_id long, tokens long, p array<double>")
+    rated, _ = mixing.rates(members, [0.7, 0.3])
+    got = rated.collect()
+    n = sum(r.tokens for r in got)
+    assert min(r.rate for r in got) >= 0
+    for k, share in enumerate((0.7, 0.3)):
+        assert abs(sum(r.tokens * r.rate * r.p[k] for r in got) / n - share) < 1e-4
+    out = mixing.op3_mixing(edges, labels)
+    assert out.count() == len(EDGES) and out.where("rate < 0 or isnan(rate)").count() == 0
+    assert mixing.op3_mixing(no_docs, labels).count() == 0
+    mixed = mixing.mixed(docs, labels, {"good": 0.9, "low": 0.1}, "good")
+    good = {r.doc_id for r in labels.where("quality = 1 and toxic = 0").collect()} & set(texts_of(docs))
+    assert mixed.columns == docs.columns and len(good & {r.doc_id for r in mixed.collect()}) >= 0.9 * len(good)
+    assert mixing.mixed(edges, labels, {"good": 0.9, "low": 0.1}, "good").columns == edges.columns
+
+
+def test_languages_of_held_out(docs, edges, no_docs):
+    got = languages.op4_language(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.93 * len(got)
+    out = {r.doc_id: r.lang_pred for r in languages.op4_language(edges).collect()}
+    assert out[3] == out[4] == out[5] == "und" and languages.op4_language(edges).count() == len(EDGES)
+    assert languages.op4_language(no_docs).count() == 0
+
+
+@given(st.text(), st.text())
+@settings(max_examples=5, deadline=None)
+def test_chat_escape_is_reversible(spark, text, role):
+    tricky = text + "<|im_end|>" + role + "\\<\\|\n"
+    tricky = tricky.encode("utf-16", "surrogatepass").decode("utf-16", "ignore")
+    rows = [(1, 0, tricky, tricky), (1, 1, "assistant", tricky), (1, 2, "assistant", None), (1, 3, None, tricky)]
+    chats = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = chat.read_back(chats).first()
+    assert [(t.role, t.text) for t in got.turns] == [(r or "", t or "") for _, _, r, t in rows]
+    assert list(got.learnt) == [tricky, ""]
+    escaped = tricky.replace("\\", "\\\\").replace("<|", "<\\|")
+    whole = got.text
+    assert [whole[s.start : s.start + s.chars] for s in got.loss] == [escaped, ""]
+
+
+def test_chat_equals_oracle(spark):
+    import compare
+
+    assert compare.differences(spark, {"q": lambda s, d: chat.op5_chat(table(s, d, "conversations"))}, {"q": chat.ORACLE}, "q", SMALL) == ""
+
+
+URLS = [
+    (1, "http://Example.COM/en/7?x", "example.com", "/en/7", "example.com/en/7", "allow"),
+    (2, "https://a.b.com/en/9#t", "a.b.com", "/en/9", "com/en/", "block"),
+    (3, "https://notexample.com/en/7", "notexample.com", "/en/7", "com/en/", "block"),
+    (4, "ftp://net/de/", "net", "/de/", "net/de/", "allow"),
+    (5, "x://s.example.net/de/81", "s.example.net", "/de/81", "example.net/de/8", "block"),
+    (6, "//a.org/es/1", "", "", None, None),
+    (7, None, "", "", None, None),
+    (8, "http://a.org?x=://b.org/es/", "a.org", "", None, None),
+]
+
+
+def test_url_rules(spark):
+    rows = spark.createDataFrame([(i, u, "<p>words</p>", "clash") for i, u, *_ in URLS], "page_id long, url string, html string, score string")
+    got = {r.page_id: r for r in urls.op6_url_filter(rows).collect()}
+    for i, _, host, path, rule, verdict in URLS:
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule)
+        assert got[i].verdict == verdict if verdict else got[i].verdict in ("allow", "block")
+    assert urls.op6_url_filter(rows.limit(0)).count() == 0
+
+
+def test_url_words():
+    split = urls.Segmenter({"online": 50, "casino": 20, "line": 30, "on": 200, "cas": 1})
+    assert split.split("onlinecasino") == ["online", "casino"] and split.split("") == []
+
+
+def brute_fingerprint(hashes, window):
+    n = max(1, len(hashes) - window + 1)
+    out = []
+    for i in range(n if hashes else 0):
+        part = hashes[i : i + window]
+        least = min(part)
+        at = i + max(k for k, h in enumerate(part) if h == least)
+        if at not in out:
+            out.append(at)
+    return out
+
+
+def test_winnowing_equals_brute_force(spark):
+    rng = random.Random(3)
+    texts = [(i, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 60)))) for i in range(40)]
+    held = fingerprints.with_word_hashes(spark.createDataFrame(texts, "doc_id long, text string"), "text", "wh")
+    held = held.withColumn("g", fingerprints.shingles("wh", fingerprints.GRAM))
+    held = fingerprints.with_fingerprint(held, "text", "f").select("g", fingerprints.positions("f").alias("p"), fingerprints.hashes("f").alias("h"))
+    for r in held.collect():
+        hashes = [g & ((1 << 40) - 1) for g in r.g]
+        assert list(r.p) == brute_fingerprint(hashes, fingerprints.WINDOW) and [hashes[p] for p in r.p] == list(r.h)
+
+
+def test_edited_texts(spark, docs, edges):
+    for rows in (docs, edges):
+        given_rows = sorted(((r.doc_id, r.text or "") for r in rows.collect()), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+        want = []
+        for k, (i, text) in enumerate(given_rows):
+            half = len(text) // 2
+            edited = text[: len(text) - half] + given_rows[(k + 1) % len(given_rows)][1][:half]
+            want.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest()))
+        got = fingerprints.op7_fingerprints(rows).collect()
+        assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=repr) == sorted(want, key=repr)
+        assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    assert fingerprints.op7_fingerprints(edges.limit(0)).count() == 0
+
+
+def test_decontamination(spark, docs, edges):
+    bench = table(spark, SMALL, "benchmark")
+    items = {r.item_id: b" " + b" ".join(T.words_of(r.text)) + b" " for r in bench.collect()}
+    want = {(i, k) for i, t in texts_of(docs).items() for k, x in items.items() if x in b" " + b" ".join(T.words_of(t)) + b" "}
+    got = {(r.doc_id, r.item_id) for r in decontam.op8_decontamination(docs, bench).collect()}
+    assert got == want
+    odd = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "herons and mills by the river, five words and more", "x"), (3, "herons and mills by the river, five words and more", "y"), (4, "one", "z")], "item_id long, text string, score string")
+    found = sorted((r.doc_id, r.item_id) for r in decontam.op8_decontamination(edges, odd).collect())
+    assert found == [(1, 3), (1, 3), (2, 3), (7, 4)]
+    assert decontam.without_leaks(edges, odd).columns == edges.columns and decontam.without_leaks(edges, odd).count() == len(EDGES) - 4
+    assert decontam.op8_decontamination(docs, odd.limit(0)).count() == 0
+
+
+def test_sharding(spark, docs, edges):
+    big = spark.createDataFrame([(i, "same" if i % 3 == 0 else f"pair {i // 4}" if i % 2 else f"own {i}") for i in range(600)], "doc_id long, text string")
+    for rows, n in ((docs, 200), (edges, len(EDGES)), (big, 600)):
+        got = sharding.op9_sharding(rows).collect()
+        assert len(got) == n
+        sizes = {k: sorted(r.slot for r in got if r.shard == k) for k in range(40)}
+        assert max(map(len, sizes.values())) - min(map(len, sizes.values())) <= 1
+        assert all(s == list(range(len(s))) for s in sizes.values())
+        texts = rows.collect()
+        want = sorted(((r.doc_id, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in texts), key=repr)
+        assert sorted(((r.doc_id, r.size, r.text_crc32) for r in got), key=repr) == want
+    pairs = {}
+    for r in got:
+        pairs.setdefault(r.text_crc32, set()).add(r.shard)
+    groups = {zlib.crc32(f"pair {k}".encode()) for k in range(150)} & set(pairs)
+    assert sum(len(pairs[g]) > 1 for g in groups) <= 0.1 * len(groups)  # few cut edges
+    assert len(pairs[zlib.crc32(b"same")]) <= 36  # 200 rows need at least 14 shards of 15
+    assert sharding.op9_sharding(edges.limit(0)).count() == 0
+
+
+def test_toxicity_of_held_out(spark, docs, labels, edges, no_docs):
+    rows = toxicity.op10_toxicity(table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")).collect()
+    known = {r.doc_id: r.toxic for r in table(spark, "/root/testdata/sf0.01", "labels").collect()}
+    held = [r for r in rows if r.held_out and r.doc_id in known]
+    assert sum(r.predicted == known[r.doc_id] for r in held) >= 0.9 * len(held)
+    assert toxicity.op10_toxicity(edges, labels).count() == len(EDGES)
+    assert toxicity.op10_toxicity(no_docs, labels).count() == 0
+    odd = spark.createDataFrame([(1, 1, None), (None, 1, 1), (1, 0, 1), (6, 1, 0), (6, 1, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.op10_toxicity(edges, odd).count() == len(EDGES)
+    clean = toxicity.without_toxic(edges, toxicity.fit(edges, toxicity.training_rows(labels, False)))
+    assert clean.columns == edges.columns
+
+
+def test_interactions_of_terms():
+    """Two terms that are harmless alone and toxic together: a factorization machine learns it, a linear model cannot."""
+    import numpy as np
+
+    rng, rows, buckets, labels = np.random.default_rng(0), [], [], []
+    for i in range(1200):
+        a, b = rng.random(2) < 0.5
+        own = [k for k, on in ((1, a), (2, b)) if on] + [3]
+        rows += [i] * len(own)
+        buckets += own
+        labels.append(float(a == b))
+    slot = np.arange(4)
+    w, v, bias = toxicity._fit(np.array(rows), np.array(buckets), np.array(labels), slot, 4, epochs=60)
+    model = toxicity.Model(slot, w, v, bias)
+    s = model.scores(4, np.array([0, 0, 0, 1, 1, 2, 2, 3]), np.array([1, 2, 3, 1, 3, 2, 3, 3]))
+    assert min(s[0], s[3]) > 0.8 and max(s[1], s[2]) < 0.2

@@ -1,0 +1,28 @@
+"""The pipeline's stages on the smallest tables."""
+
+from conftest import SMALL
+
+import corpus_pipeline
+from lorekeep.llm import text as T
+from lorekeep.session import saved, table
+
+
+def test_stages_in_order(spark):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontaminate", "mix", "shard"]
+    docs = table(spark, SMALL, "documents")
+    columns, seen = docs.columns, [docs.count()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = saved(stage(spark, docs, SMALL), f"test-{name}")
+        assert docs.columns == columns, name
+        seen.append(docs.count())
+        if name == "near_dedup":
+            words = [tuple(T.words_of(r.text)) for r in docs.collect()]
+            assert len(words) == len(set(words))
+        if name == "decontaminate":
+            items = [b" " + b" ".join(T.words_of(r.text)) + b" " for r in table(spark, SMALL, "benchmark").collect()]
+            assert not any(x in b" " + b" ".join(T.words_of(r.text)) + b" " for r in docs.collect() for x in items)
+    assert seen[0] > seen[1] > seen[2] > seen[3] > 0
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
+    counts = [sum(r.shard == k for r in last) for k in range(40)]
+    assert len(last) == seen[4] and max(counts) - min(counts) <= 1
+    assert corpus_pipeline.run(spark, SMALL).count() == len(last)
