@@ -43,11 +43,15 @@ def records(spark: SparkSession, folders: list[str]) -> DataFrame:
     """Raw records of the .yaml files of folders, later folders ranking higher. A curated list, read on the driver."""
     import yaml
 
+    class Loader(yaml.SafeLoader):
+        """Dates stay text: the records' own rules judge them."""
+
+    Loader.yaml_implicit_resolvers = {k: [(tag, e) for tag, e in v if not tag.endswith(":timestamp")] for k, v in yaml.SafeLoader.yaml_implicit_resolvers.items()}
     rows = []
     for scope, folder in enumerate(folders):
         texts = spark.read.option("pathGlobFilter", "*.{yaml,yml}").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
         for file, text in sorted((r["file"], r["value"]) for r in texts.collect()):
-            for position, item in enumerate(yaml.safe_load(text) or []):
+            for position, item in enumerate(yaml.load(text, Loader) or []):
                 many = {k: [str(x) for x in (v if isinstance(v, list) else [v]) if str(x).strip()] for k in ("entities", "tags", "introduces", "anchors") if (v := item.get(k)) is not None}
                 own = item.get("sources", item.get("source"))
                 until = item.get("until", item.get("date_end"))
