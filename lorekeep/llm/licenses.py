@@ -157,3 +157,20 @@ def op1_license_scan(docs: DataFrame) -> DataFrame:
         joined(F.col("hits")).alias("labels"),
         F.coalesce(F.array_max(F.transform("hits", lambda h: h["similarity"])), F.lit(0.0)).alias("score"),
     )
+
+
+def oracle() -> str:
+    """DuckDB text of op1: every phrase at every place, every template against every block."""
+    places = ", ".join(
+        f"list_transform(list_filter(generate_series(0, len(w) - {len(p.split())}), lambda i: {' AND '.join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(p.split()))}), lambda i: {{'place': i, 'label': '{label}'}})"
+        for p, label in PHRASES.items()
+    )
+    templates = ", ".join(f"{{'label': '{label}', 'words': [{', '.join(f"'{x}'" for x in dict.fromkeys(t.split()))}]}}" for t, label in TEMPLATES.items())
+    return rf"""WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+found AS (SELECT doc_id, len(w) AS n, flatten([{places}]) AS base,
+    list_filter(list_transform([{templates}], lambda t: {{'label': t.label, 'best': list_max(list_transform(range(0, greatest(1, len(w)), {STRIDE}), lambda b: CAST(len(list_intersect(list_distinct(w[b + 1:b + {BLOCK}]), t.words)) AS DOUBLE) / len(t.words)))}}), lambda t: t.best >= {THRESHOLD} - 1e-9) AS own FROM words),
+named AS (SELECT *, list_transform(base, lambda x: x.label) AS b, list_transform(own, lambda x: x.label) AS o FROM found)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(base) AS BIGINT) AS n_base, CAST(list_min(list_transform(base, lambda x: x.place)) AS BIGINT) AS first_word,
+    CAST(list_max(list_transform(base, lambda x: x.place)) AS BIGINT) AS last_word, array_to_string(list_sort(list_distinct(b)), ',') AS base_labels,
+    array_to_string(list_sort(list_distinct(list_concat(b, o))), ',') AS labels,
+    CASE WHEN len(base) > 0 THEN 1.0 ELSE coalesce(list_max(list_transform(own, lambda x: x.best)), 0.0) END::DOUBLE AS score FROM named"""
