@@ -105,3 +105,25 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
     found = saved(leaks(docs, benchmark, text).select(F.col("key").alias("__leak")).distinct(), "leaks")
     kept = docs.join(bounded(found, BROADCAST_ROWS).hint("shuffle_hash"), text_key(text) == F.col("__leak"), "left_anti")
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _sql_words(x: str) -> str:
+    return rf"list_filter(regexp_split_to_array(lower(coalesce({x}, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda v: v <> '')"
+
+
+def _sql_grams(w: str) -> str:
+    return f"CASE WHEN len({w}) >= {SIZE} THEN list_transform(generate_series(1, len({w}) - {SIZE - 1}), lambda i: array_to_string({w}[i:i + {SIZE - 1}], ' ')) WHEN len({w}) > 0 THEN [array_to_string({w}, ' ') || ' (short)'] ELSE [] END"
+
+
+#: DuckDB text of op8: every window that puts a shared shingle where an item has it, against every item it shares one with.
+ORACLE = f"""WITH d AS (SELECT doc_id, {_sql_words('text')} AS w FROM documents), i AS (SELECT item_id, {_sql_words('text')} AS w FROM benchmark),
+dg AS (SELECT doc_id, w, {_sql_grams('w')} AS g FROM d), ig AS (SELECT item_id, w, {_sql_grams('w')} AS g FROM i WHERE len(w) > 0),
+du AS (SELECT doc_id, unnest(g) AS gram, generate_subscripts(g, 1) - 1 AS pos FROM dg), iu AS (SELECT item_id, len(w) AS n, unnest(g) AS gram, generate_subscripts(g, 1) - 1 AS ipos FROM ig),
+met AS (SELECT doc_id, item_id, greatest(pos - ipos, 0) AS start, n FROM du JOIN iu USING (gram)),
+win AS (SELECT DISTINCT doc_id, start, n FROM met), pairs AS (SELECT DISTINCT doc_id, item_id FROM met),
+cut AS (SELECT doc_id, start, list_slice(w, start + 1, start + n) AS w FROM win JOIN d USING (doc_id)), wg AS (SELECT doc_id, start, len(w) AS n_words, {_sql_grams('w')} AS g FROM cut),
+scored AS (SELECT doc_id, item_id, start, n_words, list_sum(list_transform(generate_series(1, len(ig.g)), lambda k: CASE WHEN len(list_filter(wg.g, lambda o: o = ig.g[k])) >= len(list_filter(ig.g[1:k], lambda o: o = ig.g[k]))
+        THEN len(replace(replace(ig.g[k], ' (short)', ''), ' ', '')) ELSE 0 END)) / list_sum(list_transform(ig.g, lambda x: len(replace(replace(x, ' (short)', ''), ' ', '')))) AS similarity
+    FROM wg JOIN pairs USING (doc_id) JOIN ig USING (item_id))
+SELECT doc_id, item_id, CAST(start AS INTEGER) AS start_word, CAST(n_words AS INTEGER) AS n_words, CAST(similarity AS DOUBLE) AS similarity FROM scored WHERE similarity >= {SIMILARITY}
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1"""

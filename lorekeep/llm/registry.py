@@ -47,4 +47,4 @@ def op10_toxicity(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_near_dedup, op3_mixing, op4_language, op5_chat, op6_url_filter, op7_fingerprints, op8_decontamination, op9_sharding, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {"op1_license_scan": licenses.oracle(), "op5_chat": chat.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": licenses.oracle(), "op5_chat": chat.ORACLE, "op8_decontamination": decontam.ORACLE}
