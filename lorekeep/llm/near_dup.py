@@ -16,8 +16,10 @@ proposes all its pairs (a bounded number for each node). A larger one proposes
 LEADERS pairs for each node, and what its leaders leave apart is settled
 exactly by a prefix-filtered similarity join: shingles of these nodes are
 ordered by their frequency, rarest first, and two nodes at similarity t share
-one of the first n - ceil(t n) + 1 shingles of each. So no bucket is ever
-expanded into all its pairs and none is cut off.
+one of the first n - ceil(t n) + 1 shingles of each; bounds on the overlap (from
+the place of that shingle, and from bit sets of the two texts) drop pairs that
+cannot reach t before any is built. So no bucket is ever expanded into all its
+pairs and none is cut off.
 
 Defined cases: rows with equal words share a class; null and empty texts have
 equal (no) words; a text that has characters but no word is equal only to the
@@ -45,6 +47,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 SMALL, LEADERS = 6, 2
+MARKS = 8
+MARK_NAMES = [f"mark{k}" for k in range(MARKS)]
 
 
 def probminhash(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n_texts: int, registers: int) -> np.ndarray:
@@ -95,9 +99,20 @@ def _sketch(batches):
 
 
 def _shingles(batches):
+    """The shingles of each text, and MARKS numbers whose 64 bits each shingle toggles one of: two sets differ in at
+    least as many shingles as their marks differ in bits."""
     for batch, raw, offsets in T.pieces(batches, "text"):
+        n = batch.num_rows
         _, (text, element, _) = _shingle_sets(raw, offsets)
-        yield pa.RecordBatch.from_arrays([batch.column(0), T.lists(text, element.astype(np.int64), batch.num_rows, pa.int64())], names=["content", "shingles"])
+        for row in range(0, n, 1024):  # a few rows' bits at a time
+            upto = min(row + 1024, n)
+            part = (text >= row) & (text < upto)
+            own, values = text[part] - row, element[part]
+            bit = own * (64 * MARKS) + (T.mix(values) % np.uint64(64 * MARKS)).astype(np.int64)
+            odd = (np.bincount(bit, minlength=(upto - row) * 64 * MARKS) & 1).astype(np.uint8).reshape(upto - row, 64 * MARKS)
+            marks = np.packbits(odd, axis=1, bitorder="little").view(np.int64)
+            columns = [batch.column(0).slice(row, upto - row), T.lists(own, values.astype(np.int64), upto - row, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(marks[:, k]) for k in range(MARKS)]], names=["content", "shingles", *MARK_NAMES])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -126,10 +141,13 @@ def _residual_pairs(sets: DataFrame, apart: DataFrame) -> DataFrame:
     ordered = ordered.withColumn("take", F.col("n") - F.ceil(F.lit(SIMILARITY) * F.col("n")).cast("int") + 1 - F.col("alone"))
     able = ordered.select("content", "root", "minor", "n", "rest", F.slice("s", F.col("alone") + 1, F.greatest("take", F.lit(0))).alias("s"))
     tokens = saved(able.select("content", "root", "minor", "n", "rest", F.posexplode("s").alias("i", "t")).withColumn("shingle", F.col("t.shingle")).drop("t"), "near-prefixes")
-    minor = tokens.where("minor").select(F.col("content").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("rest").alias("ma"), F.col("i").alias("ia"), "shingle")
-    other = tokens.select(F.col("content").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("rest").alias("mb"), F.col("i").alias("ib"), "shingle")
+    tokens = tokens.join(sets.select("content", *MARK_NAMES), "content")
+    minor = tokens.where("minor").select(*[F.col(m).alias(f"a_{m}") for m in MARK_NAMES], F.col("content").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("rest").alias("ma"), F.col("i").alias("ia"), "shingle")
+    other = tokens.select(*MARK_NAMES, F.col("content").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("rest").alias("mb"), F.col("i").alias("ib"), "shingle")
     most = F.least("ia", "ib") + F.least(F.col("ma") - F.col("ia"), F.col("mb") - F.col("ib"))
-    enough = most >= (F.col("na") + F.col("nb")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6
+    needed = (F.col("na") + F.col("nb")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6
+    apart = sum((F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(m))) for m in MARK_NAMES[1:]), F.bit_count(F.col(f"a_{MARK_NAMES[0]}").bitwiseXOR(F.col(MARK_NAMES[0]))))
+    enough = (most >= needed) & ((F.col("na") + F.col("nb") - apart) / 2 >= needed)
     met = minor.join(other, (minor.shingle == other.shingle) & (F.col("ra") != F.col("rb")) & enough)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -157,7 +175,7 @@ def classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     wanted = pairs.select(F.col("a").alias("content")).union(pairs.select("b")).distinct()
     own = nodes.join(wanted, "content", "left_semi").select("content", F.col("own.doc_id").alias("own_id"), F.col("own.key").alias("key"))
     texts = keyed.join(own.hint("shuffle_hash"), (keyed.key == own.key) & keyed.doc_id.eqNullSafe(own.own_id)).select("content", "text")
-    sets = saved(texts.mapInArrow(_shingles, "content string, shingles array<long>").dropDuplicates(["content"]), "near-sets")
+    sets = saved(texts.mapInArrow(_shingles, "content string, shingles array<long>, " + ", ".join(f"{m} long" for m in MARK_NAMES)).dropDuplicates(["content"]), "near-sets")
 
     links = saved(_verified(pairs, sets), "near-links")
     roots = components(links)
