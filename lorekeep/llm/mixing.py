@@ -83,7 +83,8 @@ def fit(docs: DataFrame, labels: DataFrame, domains: list[str], per_domain: int
         ids = part if ids is None else ids.union(part)
     ids = saved(ids, "mix-sample")
     sample = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(ids), "doc_id")
-    sample = _with_terms(sample, "text").select("domain", F.explode("terms").alias("bucket"))
+    # saved before it is exploded: Spark would else test the size of every document's terms before the join with the sample
+    sample = saved(_with_terms(sample, "text").select("domain", "terms"), "mix-terms").select("domain", F.explode("terms").alias("bucket"))
     counts = sample.groupBy("domain", "bucket").agg(F.count("*").alias("n")).collect()  # at most N_BUCKETS rows for each domain
     sizes = {r["domain"]: r["n"] for r in ids.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     shares = {r["domain"]: r["n"] for r in named.groupBy("domain").agg(F.count("*").alias("n")).collect()}
