@@ -29,6 +29,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import saved
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # The rules of the contract.
@@ -98,11 +100,19 @@ def _bucket(word: str) -> int:
 
 
 def word_counts(pages: DataFrame, max_words: int = 50_000) -> dict[str, int]:
-    """The most frequent words of all pages; bounded by max_words. Seeds that they lack count once."""
+    """The most frequent words of all pages, at most max_words. Seeds that they lack count once."""
     text = F.regexp_replace(F.lower(F.coalesce("html", F.lit(""))), r"<[^>]*>", " ")
     words = pages.select(F.explode(F.regexp_extract_all(text, F.lit(rf"\p{{L}}{{1,{LONGEST}}}"), F.lit(0))).alias("word"))
-    top = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(max_words)
-    counts = {r["word"]: r["n"] for r in top.collect()}
+    # counts fall into at most 8 steps a doubling; whole steps are kept, from the most frequent, as long as they fit
+    counted = words.groupBy("word").agg(F.count("*").alias("n")).withColumn("step", F.floor(F.log2("n") * 8).cast("int"))
+    counted = saved(counted, "url-words")
+    least, room = None, max_words
+    for r in counted.groupBy("step").agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():
+        room -= r["words"]
+        if room < 0:
+            break
+        least = r["step"]
+    counts = {r["word"]: r["n"] for r in counted.where(F.col("step") >= least).collect()} if least is not None else {}
     for seed in SEEDS:
         counts.setdefault(seed, 1)
     return counts
