@@ -45,42 +45,47 @@ def _ranked(df: DataFrame, parts: list[str], order: list[Column], name: str, buc
     return within.join(sums, [*parts, "__k"]).withColumn(name, (F.col("__before") + F.col("__r") - 1).cast("long")).drop("__k", "__r", "__before")
 
 
-def _accept(asks: DataFrame, room: DataFrame) -> DataFrame:
-    """asks(g, label, target, n, size) with `moved`: how many of n fit into the room(target, free), largest groups first.
+def _of_shard(values: list[int], label: Column) -> Column:
+    """One number for each shard, as an expression: no table has to be broadcast."""
+    return F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), label + 1)
+
+
+def _accept(asks: DataFrame, free: list[int]) -> DataFrame:
+    """asks(g, label, target, n, size) with `moved`: how many of n fit into the target's free places, largest groups first.
 
     Requests are summed by (target, size) first; only the size that straddles the edge of the room is ranked singly.
     """
     by_size = asks.groupBy("target", "size").agg(F.sum("n").alias("all"))
     larger = Window.partitionBy("target").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
-    by_size = by_size.withColumn("before", F.coalesce(F.sum("all").over(larger), F.lit(0))).join(room, "target")
-    asks = asks.join(by_size, ["target", "size"])
+    by_size = by_size.withColumn("before", F.coalesce(F.sum("all").over(larger), F.lit(0)))
+    asks = asks.join(by_size, ["target", "size"]).withColumn("free", _of_shard(free, F.col("target")))
+    upto = Window.partitionBy("target", "size").orderBy("g", "label").rowsBetween(Window.unboundedPreceding, -1)
     whole = asks.where("before + `all` <= free").withColumn("moved", F.col("n"))
     edge = asks.where("before < free and before + `all` > free")
-    upto = Window.partitionBy("target").orderBy("g", "label").rowsBetween(Window.unboundedPreceding, -1)
     fits = F.col("free") - F.col("before") - F.coalesce(F.sum("n").over(upto), F.lit(0))
     edge = edge.withColumn("moved", F.greatest(F.lit(0), F.least(F.col("n"), fits)))
     return whole.unionByName(edge).where("moved > 0").select("g", "label", "target", "moved")
 
 
 def propagate(groups: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """groups(g, label, n): how many documents of group g the shard `label` holds. The state after the rounds."""
-    spark = groups.sparkSession
-    quota = spark.createDataFrame(list(enumerate(quotas)), "target int, quota long")
-    state = saved(groups, "shard-state")
+    """groups(g, label, n): how many documents of group g the shard `label` holds. The state after the rounds.
+
+    A move takes documents to where more of their group are, so the sum of squares of n grows until nothing moves.
+    """
+    state, before = saved(groups, "shard-state"), None
     for _ in range(rounds):
-        load = state.groupBy(F.col("label").alias("target")).agg(F.sum("n").alias("held"))
-        room = quota.join(load, "target", "left").select("target", F.greatest(F.lit(0), F.col("quota") - F.coalesce("held", F.lit(0))).alias("free"))
-        room = F.broadcast(saved(room, "shard-room"))  # one row a shard
+        now = {r["label"]: (r["held"], r["squares"]) for r in state.groupBy("label").agg(F.sum("n").alias("held"), F.sum(F.col("n") * F.col("n")).alias("squares")).collect()}
+        squares = sum(s for _, s in now.values())
+        if squares == before:
+            break
+        before = squares
+        free = [max(0, q - now.get(k, (0, 0))[0]) for k, q in enumerate(quotas)]
         place = F.struct("n", (-F.col("label")).alias("l"))
-        sizes = state.groupBy("g").agg(F.sum("n").alias("size"))
-        best = state.join(room.where("free > 0"), F.col("label") == F.col("target")).groupBy("g").agg(F.max(place).alias("b")).join(sizes, "g")
+        best = state.groupBy("g").agg(F.max(F.when(_of_shard(free, F.col("label")) > 0, place)).alias("b"), F.sum("n").alias("size"))
         asks = state.join(best, "g").where(place < F.col("b")).select("g", "label", (-F.col("b.l")).alias("target"), "n", "size")
-        moves = saved(_accept(asks, room), "shard-moves")
-        if not moves.take(1):
-            break
-        out = moves.select("g", "label", (-F.col("moved")).alias("n"))
-        into = moves.select("g", F.col("target").alias("label"), F.col("moved").alias("n"))
-        state = saved(state.unionByName(out).unionByName(into).groupBy("g", "label").agg(F.sum("n").alias("n")).where("n > 0"), "shard-state")
+        steps = F.array(F.struct("label", (-F.col("moved")).alias("n")), F.struct(F.col("target").alias("label"), F.col("moved").alias("n")))
+        moves = _accept(asks, free).select("g", F.explode(steps).alias("s")).select("g", "s.label", "s.n")
+        state = saved(state.unionByName(moves).groupBy("g", "label").agg(F.sum("n").alias("n")).where("n > 0"), "shard-state")
     return state
 
 
@@ -99,10 +104,8 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, text: str = "text") -> DataF
     state = propagate(linked.groupBy("g", start.alias("label")).agg(F.count("*").alias("n")), quotas)
 
     # what a shard holds beyond its quota goes to the filling; the largest groups stay
-    spark = docs.sparkSession
-    quota = F.broadcast(spark.createDataFrame(list(enumerate(quotas)), "target int, free long"))
     held = state.join(state.groupBy("g").agg(F.sum("n").alias("size")), "g").withColumn("target", F.col("label"))
-    kept = saved(_accept(held, quota).select("g", F.col("target").alias("label"), F.col("moved").alias("n")), "shard-kept")
+    kept = saved(_accept(held, quotas).select("g", F.col("target").alias("label"), F.col("moved").alias("n")), "shard-kept")
     spans = Window.partitionBy("g").orderBy("label")
     spans = kept.withColumn("upto", F.sum("n").over(spans)).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("upto", "label"))).alias("spans"))
     placed = _ranked(linked, ["g"], [F.col("doc_id"), F.col("copy")], "rank").join(spans, "g", "left")
