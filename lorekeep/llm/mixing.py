@@ -172,8 +172,8 @@ def op3_mixing(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | N
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], keep: str, text: str = "text") -> DataFrame:
     """The rows of docs, all columns, each as often as its rate says: its whole part, and once more if a hash of
-    (doc_id, text) falls below its fraction. The budget gives the documents of domain `keep` rates of about HEADROOM, so
-    they stay, a few come twice, and the other domains move to their targets."""
+    (doc_id, text) falls below its fraction. The budget asks for HEADROOM times the tokens of domain `keep`; a document
+    whose likeliest domain it is comes at least once, even where the targets could do with less of it."""
     names = list(targets)
     model = fit(docs, labels, names, text=text)
     own = with_members(docs.select("doc_id", F.col(text).alias("text")), model).select("doc_id", "tokens", "p")
@@ -182,7 +182,9 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], keep: s
     budget = HEADROOM * kept * sum(targets.values()) / targets[keep] if kept else None
     _, steps = rates(own, list(targets.values()), budget)
     draw = F.pmod(F.xxhash64("doc_id", text), F.lit(1_000_000)) / 1_000_000
-    rated = with_members(docs, model, text, "__tokens", "__p").withColumn("__times", F.floor(_rate(steps, "__p") + draw).cast("int"))
+    rated = with_members(docs, model, text, "__tokens", "__p")
+    likely = F.when(F.get("__p", names.index(keep)) >= F.array_max("__p"), 1).otherwise(0)
+    rated = rated.withColumn("__times", F.greatest(F.floor(_rate(steps, "__p") + draw).cast("int"), likely))
     # no filter on the computed number: it would be pushed below and evaluate the memberships once more for each use
     drawn = rated.select("*", F.explode(F.array_repeat(F.lit(1), F.col("__times"))).alias("__copy"))
     return drawn.select(*[F.col(f"`{c}`") for c in docs.columns])
