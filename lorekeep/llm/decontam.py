@@ -7,9 +7,13 @@ are fingerprinted; equal windows are fingerprinted once, however many texts
 hold them. The 64-bit SimHash sums, over the window's words, the word's hash
 bits as signs weighted by the word's length. RADIUS + 1 blocks of bits: two
 fingerprints at most RADIUS apart agree in at least one block, so the join on
-(block, bits) finds them all. Then the weighted shingles decide: the letters
-of the item's shingles that the window has too, with multiplicity, over all
-letters of the item's shingles, must reach 0.8.
+(block, bits) finds them all. A window with foreign words at an end can be
+farther than RADIUS from its item at similarity 0.8 or more, so windows outside
+are settled exactly: an item's rarest shingles that hold more than a fifth of
+its letters are its prefix, and a window that has none of them cannot reach
+0.8, so the join on them proposes all others. Then the weighted shingles
+decide: the letters of the item's shingles that the window has too, with
+multiplicity, over all letters of the item's shingles, must reach 0.8.
 
 Defined cases: null and wordless texts and items match nothing; an item or
 text of fewer than five words is one shingle; rows that repeat are each
@@ -20,7 +24,7 @@ are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import saved
@@ -56,6 +60,19 @@ def _blocks(fingerprint: str, radius: int):
     ])
 
 
+def _overlaps(different: DataFrame, items: DataFrame) -> DataFrame:
+    """(wid, iid): every window with a shingle of an item's prefix; any other misses more than 1 - SIMILARITY of the item."""
+    every = F.aggregate("gw", F.lit(0), lambda a, w: a + w)
+    grams = items.dropDuplicates(["iid"]).select("iid", every.alias("every"), F.explode(F.arrays_zip("grams", "gw")).alias("t"))
+    grams = saved(grams.groupBy("iid", "every", F.col("t.grams").alias("gram")).agg(F.sum("t.gw").alias("w")), "leak-grams")
+    frequency = grams.groupBy("gram").agg(F.count("*").alias("f"))
+    rarer = Window.partitionBy("iid").orderBy("f", "gram").rowsBetween(Window.unboundedPreceding, -1)
+    prefixes = grams.join(frequency, "gram").withColumn("before", F.coalesce(F.sum("w").over(rarer), F.lit(0)))
+    prefixes = prefixes.where(F.col("before") <= (1 - SIMILARITY) * F.col("every") + 1e-6).select("iid", "gram")
+    prefixes = bounded(saved(prefixes, "leak-prefixes"), BROADCAST_ROWS)
+    return different.select("wid", F.explode(F.array_distinct("grams")).alias("gram")).join(prefixes, "gram").select("wid", "iid")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """(key, item_id, start_word, n_words, similarity): for each different text (key: md5) and item its best window."""
     items = with_word_hashes(benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct(), "text", "wh", "wl")
@@ -78,9 +95,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
     different = saved(different.withColumn("grams", shingles("wh", SIZE)), "leak-prints")
     marks = saved(items.withColumn("fingerprint", _simhash("wh", "wl")), "leak-marks")
     blocks_w = different.select("wid", "fingerprint", F.explode(_blocks("fingerprint", RADIUS)).alias("b")).select("wid", "fingerprint", "b.*")
-    blocks_i = marks.select("item_id", "iid", F.col("fingerprint").alias("mark"), F.explode(_blocks("fingerprint", RADIUS)).alias("b")).select("item_id", "iid", "mark", "b.*")
-    near = blocks_w.join(blocks_i, ["block", "bits"]).where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("mark"))) <= RADIUS).select("wid", "item_id", "iid").distinct()
-    both = near.join(different.select("wid", F.col("grams").alias("wg")), "wid").join(items.select("item_id", "iid", F.col("grams").alias("ig"), "gw"), ["item_id", "iid"])
+    blocks_i = marks.select("iid", F.col("fingerprint").alias("mark"), F.explode(_blocks("fingerprint", RADIUS)).alias("b")).select("iid", "mark", "b.*").distinct()
+    near = blocks_w.join(blocks_i, ["block", "bits"]).where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("mark"))) <= RADIUS).select("wid", "iid")
+    near = near.unionByName(_overlaps(different, items)).distinct()
+    both = near.join(different.select("wid", F.col("grams").alias("wg")), "wid").join(items.select("item_id", "iid", F.col("grams").alias("ig"), "gw"), "iid")
 
     # each item shingle, by its rank among equal ones, is met if the window has at least so many of it
     rows = F.transform("ig", lambda g, i: F.struct(g.alias("g"), F.get(F.col("gw"), i).alias("w"), F.size(F.filter(F.slice("ig", 1, i + 1), lambda o: o == g)).alias("nth")))

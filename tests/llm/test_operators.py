@@ -277,6 +277,34 @@ def test_decontamination(spark, docs, edges):
     assert decontam.op8_decontamination(docs, odd.limit(0)).count() == 0
 
 
+def test_decontamination_of_truncated_passages_equals_oracle(spark, tmp_path, monkeypatch):
+    import compare
+
+    monkeypatch.setattr(compare, "TABLES", ["documents", "benchmark"])
+    rng = random.Random(11)
+
+    def words(n):
+        return ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 11))) for _ in range(n)]
+
+    items, texts = [], []
+    for i in range(120):
+        n = rng.choice([15, 20, 30, 50])
+        item = words(n)
+        items.append((i, " ".join(item)))
+        cut = max(1, n // 10)
+        texts.append(" ".join([*words(20), *words(cut), *item[cut:], *words(20)]))  # first words foreign
+        texts.append(" ".join([*words(9), *item[: n - cut], *words(20)]))
+        edited = list(item)
+        edited[n // 2] = words(1)[0]
+        texts.append(" ".join([*item[cut:], *words(5), *edited]))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    run = {"q": lambda s, d: decontam.op8_decontamination(table(s, d, "documents"), table(s, d, "benchmark"))}
+    assert compare.differences(spark, run, {"q": decontam.ORACLE}, "q", str(tmp_path)) == ""
+    nameless = spark.createDataFrame([(None, items[0][1])], "item_id long, text string")
+    assert {r.doc_id for r in decontam.op8_decontamination(table(spark, str(tmp_path), "documents"), nameless).collect()} >= {0}
+
+
 def test_sharding(spark, docs, edges):
     big = spark.createDataFrame([(i, "same" if i % 3 == 0 else f"pair {i // 4}" if i % 2 else f"own {i}") for i in range(600)], "doc_id long, text string")
     for rows, n in ((docs, 200), (edges, len(EDGES)), (big, 600)):
