@@ -3,13 +3,19 @@
 Linked documents are those with equal texts. Documents of a group are
 interchangeable, so the state is not one label a document but, for each group,
 how many of its documents each shard holds: at most SHARDS rows for a group of
-any size. All start where a hash puts them. In each round every group names,
-among the shards with room, the one that holds most of it; the group's documents
-in shards that hold fewer of it ask to move there, and a shard accepts, largest groups first, as many as its quota has room
-for; a request that only partly fits moves in part. Documents that leave make
-room for the next round. Rounds end when nothing moves. Documents without a
-link have no edge to cut: they fill every shard up to its quota at the end, as
-do the linked ones that a shard holds beyond it.
+any size. All start dealt out evenly in the order of a hash. In each round every
+group names as many of its shards as its size over the quota needs, those that
+hold most of it; the group's documents in its other shards ask to move there.
+Shards let documents go and come in equal numbers (swaps, and longer cycles of
+shards) or into free room, largest groups first; a request that only partly fits
+moves in part. Rounds alternate: in the first kind, ties between a group's
+shards fall by a hash of the round; in the second, shards with room come first;
+in the third only large groups ask (each size in turn), and where a shard is
+full, parts of smaller groups leave it for the askers' shards in equal numbers,
+each part whole, which cuts nothing. Rounds end when nobody asks, or when
+nothing has moved for QUIET rounds and two more for each size that asks.
+Documents without a link have no edge to cut:
+they fill every shard up to its quota at the end.
 
 Law `rows`: quotas differ by at most one, so counts do. Ranks are counted in
 two steps (in hash buckets, then over the buckets' sums), so no task needs all
@@ -23,13 +29,18 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import saved
 
 SHARDS = 40
-ROUNDS = 8
+#: Rounds in a row without a move that end the propagation, beside two for each size that asks.
+QUIET = 4
+#: Only a guard: every move makes the sum of squares of n grow, so rounds end by themselves; more than these raise.
+MOST_ROUNDS = 1000
 #: Hash buckets for two-step ranks, for each partition of the rank.
 RANK_BUCKETS = 64
 
@@ -45,21 +56,59 @@ def _ranked(df: DataFrame, parts: list[str], order: list[Column], name: str, buc
     return within.join(sums, [*parts, "__k"]).withColumn(name, (F.col("__before") + F.col("__r") - 1).cast("long")).drop("__k", "__r", "__before")
 
 
-def _of_shard(values: list[int], label: Column) -> Column:
-    """One number for each shard, as an expression: no table has to be broadcast."""
-    return F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), label + 1)
-
-
-def _accept(asks: DataFrame, free: list[int]) -> DataFrame:
-    """asks(g, label, target, n, size) with `moved`: how many of n fit into the target's free places, largest groups first.
-
-    Requests are summed by (target, size) first; only the size that straddles the edge of the room is ranked singly.
+def _of_shard(values: list[int], at: Column) -> Column:
+    """One number for each shard (or pair of shards), as a folded expression: no table has to be broadcast."""
+    return F.element_at(F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>"), at.cast("int") + 1)
+
+
+def _flows(asked: dict[tuple[int, int], int], free: list[int]) -> dict[tuple[int, int], int]:
+    """How many documents may go from one shard to another, at most as asked: all go round cycles of shards, shortest
+    first, where free room is a node that takes what it holds from each shard and gives to any shard."""
+    n = len(free)
+    left: list[dict[int, int]] = [{} for _ in range(n + 1)]
+    for (a, b), k in asked.items():
+        left[a][b] = k
+    for k, room in enumerate(free):
+        if room > 0:
+            left[k][n] = room
+    left[n] = {k: sum(asked.values()) for k in range(n)}
+    for a, b in sorted(asked):  # two shards that swap
+        k = min(left[a].get(b, 0), left[b].get(a, 0))
+        left[a][b] -= k
+        if k:
+            left[b][a] -= k
+    for a, b in sorted(asked):
+        while left[a][b] > 0:
+            came, line = {b: a}, [b]
+            for x in line:
+                if x == a:
+                    break
+                for y, k in left[x].items():
+                    if k > 0 and y not in came:
+                        came[y] = x
+                        line.append(y)
+            if a not in came:
+                break
+            path, x = [(a, b)], a
+            while x != b:
+                path.append((came[x], x))
+                x = came[x]
+            k = min(left[x][y] for x, y in path)
+            for x, y in path:
+                left[x][y] -= k
+    return {(a, b): k - left[a][b] for (a, b), k in asked.items() if k > left[a][b]}
+
+
+def _accept(asks: DataFrame, parts: list[str], free: Column) -> DataFrame:
+    """asks(g, label, target, n, size) with `moved`: how many of n fit into the free places of parts, largest groups first.
+
+    Requests are summed by (parts, size) first; only the size that straddles the edge of the room is ranked singly.
     """
-    by_size = asks.groupBy("target", "size").agg(F.sum("n").alias("all"))
-    larger = Window.partitionBy("target").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    by_size = asks.groupBy(*parts, "size").agg(F.sum("n").alias("all"))
+    larger = Window.partitionBy(*parts).orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
     by_size = by_size.withColumn("before", F.coalesce(F.sum("all").over(larger), F.lit(0)))
-    asks = asks.join(by_size, ["target", "size"]).withColumn("free", _of_shard(free, F.col("target")))
-    upto = Window.partitionBy("target", "size").orderBy("g", "label").rowsBetween(Window.unboundedPreceding, -1)
+    asks = asks.join(by_size, [*parts, "size"]).withColumn("free", free)
+    upto = Window.partitionBy(*parts, "size").orderBy("g", "label").rowsBetween(Window.unboundedPreceding, -1)
     whole = asks.where("before + `all` <= free").withColumn("moved", F.col("n"))
     edge = asks.where("before < free and before + `all` > free")
     fits = F.col("free") - F.col("before") - F.coalesce(F.sum("n").over(upto), F.lit(0))
@@ -67,26 +116,83 @@ def _accept(asks: DataFrame, free: list[int]) -> DataFrame:
     return whole.unionByName(edge).where("moved > 0").select("g", "label", "target", "moved")
 
 
-def propagate(groups: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """groups(g, label, n): how many documents of group g the shard `label` holds. The state after the rounds.
+def _places(wanted: dict[tuple[int, int], int], offers: dict[tuple[int, int], int]) -> list[tuple[int, int, int, int, int]]:
+    """(label, n, first, end, target): which of the parts of n documents that shard `label` offers, by their rank, go to
+    `target`, each whole, so that together they are at most as many as the documents wanted from target to label."""
+    left, out = dict(wanted), []
+    for label, n in sorted(offers, reverse=True):
+        first, count = 0, offers[label, n]
+        for a, b in sorted(left):
+            units = min(count - first, left[a, b] // n) if b == label else 0
+            if units:
+                out.append((label, n, first, first + units, a))
+                left[a, b] -= units * n
+                first += units
+    return out
+
+
+def propagate(groups: DataFrame, quotas: list[int], most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """groups(g, label, n): how many documents of group g the shard `label` holds. The state when nothing moves any more.
 
-    A move takes documents to where more of their group are, so the sum of squares of n grows until nothing moves.
+    A move takes documents to where at least as many of their group are, so the sum of squares of n grows until nothing moves.
     """
-    state, before = saved(groups, "shard-state"), None
-    for _ in range(rounds):
-        now = {r["label"]: (r["held"], r["squares"]) for r in state.groupBy("label").agg(F.sum("n").alias("held"), F.sum(F.col("n") * F.col("n")).alias("squares")).collect()}
-        squares = sum(s for _, s in now.values())
-        if squares == before:
-            break
-        before = squares
-        free = [max(0, q - now.get(k, (0, 0))[0]) for k, q in enumerate(quotas)]
-        place = F.struct("n", (-F.col("label")).alias("l"))
-        best = state.groupBy("g").agg(F.max(F.when(_of_shard(free, F.col("label")) > 0, place)).alias("b"), F.sum("n").alias("size"))
-        asks = state.join(best, "g").where(place < F.col("b")).select("g", "label", (-F.col("b.l")).alias("target"), "n", "size")
+    n_shards, state, quiet, powers = len(quotas), saved(groups, "shard-state"), 0, []
+    held = {r["label"]: r["held"] for r in state.groupBy("label").agg(F.sum("n").alias("held")).collect()}
+    free = [q - held.get(k, 0) for k, q in enumerate(quotas)]
+    for turn in range(most_rounds):
+        kind = turn % 3
+        if (kind == 1 and max(free) <= 0) or (kind == 2 and not powers):
+            continue
+        tie = F.xxhash64(F.lit(turn), "g", "label")
+        roomless = (_of_shard(free, F.col("label")) <= 0).cast("int") if kind == 1 else F.lit(0)
+        shards_of = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), roomless.alias("roomless"), tie.alias("tie"), "label")))
+        lists_of = state.groupBy("g").agg(shards_of.alias("s"), F.sum("n").alias("size"))
+        lists = lists_of.where(F.size("s") > 1)
+        lists = lists.withColumn("k", F.least(F.ceil(F.col("size") / F.lit(max(max(quotas), 1))).cast("int"), F.size("s")))
+        goals = F.slice("s", 1, F.col("k"))
+        if kind == 1:  # those with room, if there are any
+            goals = F.filter(goals, lambda t: t["roomless"] == 0)
+        lists = lists.withColumn("goals", goals).where(F.size("goals") > 0)
+        asks = lists.select("g", "size", "k", "goals", F.posexplode("s").alias("at", "p")).where("at >= k")
+        target = F.get("goals", F.pmod(F.col("at") + turn, F.size("goals")))["label"]
+        asks = saved(asks.select("g", F.col("p.label").alias("label"), target.alias("target"), (-F.col("p.m")).alias("n"), "size"), "shard-asks")
+        # each third round only groups of `least` documents or more ask, and parts of smaller ones leave for them, each whole
+        least = (1 << powers[turn // 3 % len(powers)] - 1) + 1 if kind == 2 else 0
+        asks = asks.where(F.col("size") >= least)
+        asked: dict[tuple[int, int], int] = {}
+        by_power = asks.groupBy("label", "target", F.ceil(F.log2("size")).cast("int").alias("power")).agg(F.sum("n").alias("n")).collect()
+        for r in by_power:
+            asked[r["label"], r["target"]] = asked.get((r["label"], r["target"]), 0) + r["n"]
+        if kind == 0:
+            if not asked:
+                return state
+            powers = sorted({r["power"] for r in by_power} - {1}, reverse=True)
+        flows, moves = _flows(asked, free), []
+        stuck = {k: n - flows.get(k, 0) for k, n in asked.items() if n > flows.get(k, 0)}
+        if least and stuck:
+            small = state.join(lists_of.where(F.col("size") < least).select("g"), "g").where(F.col("n") <= max(stuck.values()))
+            offers = {(r["label"], r["n"]): r["k"] for r in small.groupBy("label", "n").agg(F.count("*").alias("k")).collect()}
+            places = _places(stuck, offers)
+            if places:
+                chosen = small.sparkSession.createDataFrame(places, "label int, n long, first long, end long, target int")
+                by_part = Window.partitionBy("label", "n").orderBy(F.xxhash64(F.lit(turn), "g"), "g")
+                ranked = small.withColumn("rank", F.row_number().over(by_part) - 1).join(chosen, ["label", "n"]).where("rank >= first and rank < end")
+                moves.append(ranked.select("g", "label", "target", F.col("n").alias("moved")))
+                for label, n, first, end, a in places:
+                    flows[a, label] = flows.get((a, label), 0) + (end - first) * n
+        quiet = 0 if flows else quiet + 1
+        if quiet >= QUIET + 2 * len(powers):
+            return state
+        if not flows:
+            continue
+        may = _of_shard([flows.get((a, b), 0) for a in range(n_shards) for b in range(n_shards)], F.col("label") * n_shards + F.col("target"))
         steps = F.array(F.struct("label", (-F.col("moved")).alias("n")), F.struct(F.col("target").alias("label"), F.col("moved").alias("n")))
-        moves = _accept(asks, free).select("g", F.explode(steps).alias("s")).select("g", "s.label", "s.n")
+        moves.append(_accept(asks, ["label", "target"], may))
+        moves = reduce(DataFrame.unionByName, moves).select("g", F.explode(steps).alias("s")).select("g", "s.label", "s.n")
         state = saved(state.unionByName(moves).groupBy("g", "label").agg(F.sum("n").alias("n")).where("n > 0"), "shard-state")
-    return state
+        held = {r["label"]: r["held"] for r in state.groupBy("label").agg(F.sum("n").alias("held")).collect()}
+        free = [q - held.get(k, 0) for k, q in enumerate(quotas)]
+    raise RuntimeError(f"label propagation still moves documents after {most_rounds} rounds")
 
 
 def shards(docs: DataFrame, n_shards: int = SHARDS, text: str = "text") -> DataFrame:
@@ -100,12 +206,12 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, text: str = "text") -> DataF
     total = rows.count()
     quotas = [total // n_shards + (k < total % n_shards) for k in range(n_shards)]
     linked = saved(rows.join(counts.where("of_group > 1"), "g"), "shard-linked")
-    start = F.pmod(F.xxhash64(F.lit(29), "rid"), F.lit(n_shards)).cast("int")
-    state = propagate(linked.groupBy("g", start.alias("label")).agg(F.count("*").alias("n")), quotas)
+    dealt = _ranked(linked.withColumn("one", F.lit(0)), ["one"], [F.xxhash64(F.lit(29), "rid"), F.col("doc_id"), F.col("copy")], "at", 4096)
+    state = propagate(dealt.groupBy("g", F.pmod("at", F.lit(n_shards)).cast("int").alias("label")).agg(F.count("*").alias("n")), quotas)
 
     # what a shard holds beyond its quota goes to the filling; the largest groups stay
     held = state.join(state.groupBy("g").agg(F.sum("n").alias("size")), "g").withColumn("target", F.col("label"))
-    kept = saved(_accept(held, quotas).select("g", F.col("target").alias("label"), F.col("moved").alias("n")), "shard-kept")
+    kept = saved(_accept(held, ["target"], _of_shard(quotas, F.col("target"))).select("g", F.col("target").alias("label"), F.col("moved").alias("n")), "shard-kept")
     spans = Window.partitionBy("g").orderBy("label")
     spans = kept.withColumn("upto", F.sum("n").over(spans)).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("upto", "label"))).alias("spans"))
     placed = _ranked(linked, ["g"], [F.col("doc_id"), F.col("copy")], "rank").join(spans, "g", "left")

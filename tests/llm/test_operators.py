@@ -325,6 +325,26 @@ def test_sharding(spark, docs, edges):
     assert sharding.op9_sharding(edges.limit(0)).count() == 0
 
 
+def test_sharding_gathers_large_groups(spark):
+    half = [(i, "same" if i % 3 == 0 else f"pair {i // 4}" if i % 2 else f"own {i}") for i in range(600)]
+    full = [(i, "same" if i < 200 else f"pair {i // 2}") for i in range(600)]
+    for rows, cut in ((half, 0.02), (full, 0.15)):
+        got = sharding.op9_sharding(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        of, at = dict(rows), {}
+        for r in got:
+            at.setdefault(of[r.doc_id], set()).add(r.shard)
+        linked = [t for t in at if t.startswith("pair")]
+        assert len(at["same"]) <= -(-200 // 15) + 1
+        assert sum(len(at[t]) > 1 for t in linked) <= cut * len(linked)
+
+
+def test_flows_keep_quotas():
+    assert sharding._flows({(0, 1): 3, (1, 0): 2}, [0, 0]) == {(0, 1): 2, (1, 0): 2}
+    assert sharding._flows({(0, 1): 3, (1, 2): 2, (2, 0): 5}, [0, 0, 0]) == {(0, 1): 2, (1, 2): 2, (2, 0): 2}
+    assert sharding._flows({(0, 1): 3, (1, 2): 4}, [0, 0, 1]) == {(0, 1): 1, (1, 2): 1}
+    assert sharding._flows({(0, 1): 3}, [4, 0]) == {}
+
+
 def test_toxicity_of_held_out(spark, docs, labels, edges, no_docs):
     rows = toxicity.op10_toxicity(table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")).collect()
     known = {r.doc_id: r.toxic for r in table(spark, "/root/testdata/sf0.01", "labels").collect()}
