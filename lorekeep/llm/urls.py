@@ -3,9 +3,10 @@
 The longest rule (host suffix and path prefix) that fits a url decides. For
 the others, a host is cut at dots, dashes and digits, and every part is split
 into words by a unigram Viterbi: the split whose words have the largest product
-of probabilities. Word counts come from the text of all pages (tags removed);
-the most frequent `max_words` are kept (a documented bound), and an unseen word
-costs ever more with its length. A multinomial naive Bayes over the hashed words
+of probabilities. Word counts come from the text of all pages (tags removed) and
+stay in a table; each different host is joined with the counts of just those of
+its substrings that are words, and split once. An unseen word costs ever more
+with its length. A multinomial naive Bayes over the hashed words
 of host and path, counted over all pages, then decides; its classes are the
 pages that have one of the SEEDS among their words and the others.
 
@@ -30,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import saved
+from .columns import bounded
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -40,7 +42,10 @@ RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "e
 SEEDS = {"ads", "adserver", "betting", "casino", "malware", "phishing", "poker", "porn", "slots", "spam", "track", "tracker", "tracking", "viagra", "xxx"}
 
 BUCKETS = 1 << 16
-LONGEST = 20
+#: Letters that a part of a host name may have; longer runs of letters are split at least there.
+LONGEST = 63
+#: A broadcast side is counted first and holds at most so many rows.
+BROADCAST_ROWS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,11 +68,10 @@ def rule_for(host: str, path: str, rules: dict[str, str]) -> Column:
 class Segmenter:
     """Unigram Viterbi over letters."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) or 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        total = total or sum(counts.values()) or 1
         self.cost = {w: -math.log(n / total) for w, n in counts.items()}
         self.unseen = [math.log(total * 10.0) + k * math.log(10.0) for k in range(LONGEST + 1)]
-        self.known: dict[str, list[str]] = {}
 
     def split(self, name: str) -> list[str]:
         best: list[tuple[float, int]] = [(0.0, 0)]
@@ -84,54 +88,68 @@ class Segmenter:
         return out[::-1]
 
     def host(self, host: str) -> list[str]:
-        found = self.known.get(host)
-        if found is None:
-            found = [w for part in re.findall(r"[^\W\d_]+", host) for w in self.split(part)]
-            if len(self.known) < 50_000:
-                self.known[host] = found
-        return found
+        return [w for part in _parts(host) for w in self.split(part)]
 
-    def words(self, host: str, path: str) -> list[str]:
-        return [*self.host(host), *("/" + (w if not w.isdigit() else "0") for w in re.findall(r"[^\W\d_]+|\d+", path.lower()))]
+
+def _parts(host: str) -> list[str]:
+    return re.findall(r"[^\W\d_]+", host)
+
+
+def _words(host_words: list[str], path: str) -> list[str]:
+    return [*host_words, *("/" + (w if not w.isdigit() else "0") for w in re.findall(r"[^\W\d_]+|\d+", path.lower()))]
 
 
 def _bucket(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
-def word_counts(pages: DataFrame, max_words: int = 50_000) -> dict[str, int]:
-    """The most frequent words of all pages, at most max_words. Seeds that they lack count once."""
+def word_counts(pages: DataFrame) -> DataFrame:
+    """(word, n): the words of all pages. Seeds that they lack count once."""
     text = F.regexp_replace(F.lower(F.coalesce("html", F.lit(""))), r"<[^>]*>", " ")
-    words = pages.select(F.explode(F.regexp_extract_all(text, F.lit(rf"\p{{L}}{{1,{LONGEST}}}"), F.lit(0))).alias("word"))
-    # counts fall into at most 8 steps a doubling; whole steps are kept, from the most frequent, as long as they fit
-    counted = words.groupBy("word").agg(F.count("*").alias("n")).withColumn("step", F.floor(F.log2("n") * 8).cast("int"))
-    counted = saved(counted, "url-words")
-    least, room = None, max_words
-    for r in counted.groupBy("step").agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():
-        room -= r["words"]
-        if room < 0:
-            break
-        least = r["step"]
-    counts = {r["word"]: r["n"] for r in counted.where(F.col("step") >= least).collect()} if least is not None else {}
-    for seed in SEEDS:
-        counts.setdefault(seed, 1)
-    return counts
-
-
-def _class_counts(shared):
-    def count(batches):
-        segmenter = Segmenter(shared.value)
-        seen: Counter = Counter()
+    words = pages.select(F.explode(F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
+    seeds = pages.sparkSession.createDataFrame([(w,) for w in sorted(SEEDS)], "word string").withColumn("n", F.lit(0).cast("long"))
+    counted = words.groupBy("word").agg(F.count("*").alias("n")).unionByName(seeds)
+    return saved(counted.groupBy("word").agg(F.greatest(F.sum("n"), F.lit(1).cast("long")).alias("n")), "url-words")
+
+
+def _substrings(batches):
+    for batch in batches:
+        hosts, words = [], []
+        for host in batch.column(0).to_pylist():
+            own = {p[i:j] for p in _parts(host) for i in range(len(p)) for j in range(i + 1, min(len(p), i + LONGEST) + 1)}
+            hosts += [host] * len(own)
+            words += own
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(words, pa.string())], names=["host", "word"])
+
+
+def _split(total: int):
+    def split(batches):
         for batch in batches:
-            for host, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = segmenter.words(host, path)
-                label = int(any(w.lstrip("/") in SEEDS for w in words))
-                seen[(label, -1)] += 1
-                seen.update((label, _bucket(w)) for w in words)
-        keys = list(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([seen[k] for k in keys], pa.int64())], names=["label", "bucket", "n"])
+            words = [Segmenter({o["word"]: o["n"] for o in own or ()}, total).host(host) for host, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], names=["host", "words"])
+
+    return split
+
+
+def host_words(urls: DataFrame, counts: DataFrame) -> DataFrame:
+    """(host, words): each different host once, split with the counts of all words."""
+    total = counts.agg(F.sum("n")).first()[0]
+    hosts = saved(urls.select("host").distinct(), "url-hosts")
+    own = hosts.mapInArrow(_substrings, "host string, word string").join(counts, "word")
+    own = own.groupBy("host").agg(F.collect_list(F.struct("word", "n")).alias("own"))
+    return saved(hosts.join(own, "host", "left").select("host", "own").mapInArrow(_split(total), "host string, words array<string>"), "url-splits")
+
 
-    return count
+def _class_counts(batches):
+    seen: Counter = Counter()
+    for batch in batches:
+        for host, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            words = _words(host, path)
+            label = int(any(w.lstrip("/") in SEEDS for w in words))
+            seen[(label, -1)] += 1
+            seen.update((label, _bucket(w)) for w in words)
+    keys = list(seen)
+    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([seen[k] for k in keys], pa.int64())], names=["label", "bucket", "n"])
 
 
 def op6_url_filter(pages: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
@@ -140,8 +158,8 @@ def op6_url_filter(pages: DataFrame, rules: dict[str, str] | None = None) -> Dat
     spark = pages.sparkSession
     host, path = host_and_path("url")
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
-    unigrams = spark.sparkContext.broadcast(word_counts(pages))
-    rows = urls.select("host", "path").mapInArrow(_class_counts(unigrams), "label int, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect()
+    urls = urls.join(bounded(host_words(urls, word_counts(pages)), BROADCAST_ROWS), "host")
+    rows = urls.select("words", "path").mapInArrow(_class_counts, "label int, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect()
     counts, pages_of = np.zeros((2, BUCKETS)), [0, 0]
     for r in rows:  # at most two rows a bucket
         if r["bucket"] < 0:
@@ -157,12 +175,12 @@ def op6_url_filter(pages: DataFrame, rules: dict[str, str] | None = None) -> Dat
     model = spark.sparkContext.broadcast((odds, prior))
 
     def judge(batches):
-        segmenter, (weights, start) = Segmenter(unigrams.value), model.value
+        weights, start = model.value
         for batch in batches:
-            scores = [start + sum(weights[_bucket(w)] for w in segmenter.words(h, p)) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
+            scores = [start + sum(weights[_bucket(w)] for w in _words(h, p)) for h, p in zip(batch.column(4).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(scores, pa.float64())], names=[*batch.schema.names[:4], "score"])
 
-    judged = urls.withColumn("rule", rule_for("host", "path", rules)).mapInArrow(judge, "page_id long, host string, path string, rule string, score double")
+    judged = urls.select("page_id", "host", "path", rule_for("host", "path", rules).alias("rule"), "words").mapInArrow(judge, "page_id long, host string, path string, rule string, score double")
     ruled = F.lit(None).cast("string")
     for rule, verdict in rules.items():
         ruled = F.when(F.col("rule") == rule, verdict).otherwise(ruled)

@@ -227,6 +227,17 @@ def test_url_words():
     assert split.split("onlinecasino") == ["online", "casino"] and split.split("") == []
 
 
+def test_url_words_of_a_large_vocabulary(spark):
+    """Rare words count too: of more than 50,000 words, hosts made of those seen once are still split into them."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rare = ["q" + "".join(letters[k // 26**i % 26] for i in range(4)) + "x" for k in range(60_000)]
+    rows = [(i, f"http://{rare[i]}{rare[i + 1]}.org/", " ".join(rare[i * 600 : (i + 1) * 600])) for i in range(100)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    host, path = urls.host_and_path("url")
+    got = {r.host: list(r.words) for r in urls.host_words(pages.select(host.alias("host"), path.alias("path")), urls.word_counts(pages)).collect()}
+    assert len(got) == 100 and all(got[f"{rare[i]}{rare[i + 1]}.org"][:2] == rare[i : i + 2] for i in range(100))
+
+
 def brute_fingerprint(hashes, window):
     n = max(1, len(hashes) - window + 1)
     out = []
