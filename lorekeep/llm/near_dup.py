@@ -1,11 +1,12 @@
 """Near-duplicate detection: ProbMinHash, banding, exact verification.
 
-Every text is a weighted set of five-word shingles (weight 1 + ln times).
+Every text is a set of distinct five-word shingles of equal weight, as the
+verification counts them, so that repeated lines do not move candidates.
 ProbMinHash gives each shingle a Poisson process whose rate is its weight; the
 process's points fall on random registers, and each register keeps the shingle
 with the earliest point. A text stops when every register is filled and the
 latest of them precedes all points to come. Two registers agree with the
-probability Jaccard similarity of the two weighted sets.
+probability Jaccard similarity of the two sets, here the share that is verified.
 
 BANDS bands of ROWS registers propose pairs: two texts at similarity 0.8 meet
 in no band with probability 5e-5, at 0.85 with 5e-7. Pairs are verified
@@ -80,8 +81,8 @@ def _shingle_sets(raw: np.ndarray, offsets: np.ndarray):
 def _sketch(batches):
     for batch, raw, offsets in T.pieces(batches, "text"):
         n = batch.num_rows
-        words, (text, element, times) = _shingle_sets(raw, offsets)
-        registers = probminhash(text, element, 1 + np.log(times), n, BANDS * ROWS).reshape(n, BANDS, ROWS)
+        words, (text, element, _) = _shingle_sets(raw, offsets)
+        registers = probminhash(text, element, np.ones(len(element)), n, BANDS * ROWS).reshape(n, BANDS, ROWS)
         bands = np.zeros((n, BANDS), dtype=np.uint64)
         for k in range(ROWS):
             bands = T.mix(bands ^ registers[:, :, k])

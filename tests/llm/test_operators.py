@@ -133,6 +133,21 @@ def test_near_duplicates_equal_brute_force(spark, docs):
         assert got == brute_classes(texts)
 
 
+def test_near_duplicates_with_repeated_lines(spark):
+    """Equal sets of shingles, a third of them repeated 2 times in one text and 300 times in the other: one class each."""
+    rng, texts = random.Random(9), {}
+    for k in range(30):
+        line, rest = " ".join(f"l{rng.random()}" for _ in range(30)), " ".join(f"r{rng.random()}" for _ in range(70))
+        texts[2 * k], texts[2 * k + 1] = f"{line} {line} {rest}", " ".join([line] * 300 + [rest])
+    got = {r.doc_id: r.class_id for r in near_dup.op2_near_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in texts}
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(texts), "key": [str(i) for i in texts], "text": list(texts.values())})
+    bands = [b for out in near_dup._sketch([batch]) for b in out.column(3).to_pylist()]
+    assert all(bands[i] == bands[i - i % 2] for i in texts)  # so each pair meets in every band
+
+
 def test_near_duplicates_of_edges(edges, no_docs):
     got = [(r.doc_id, r.class_id) for r in near_dup.op2_near_dedup(edges).collect()]
     assert sorted(got, key=repr) == sorted([(1, 1), (1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 6), (7, 7), (8, 8), (None, None)], key=repr)
