@@ -48,3 +48,8 @@ def shingle_weights(lengths: str, size: int = 5) -> Column:
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """df marked for broadcast if it has at most so many rows (counted), else df as it is; df should be a saved table."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def whole_rows(df: DataFrame) -> DataFrame:
+    """df as one column `row` that holds all its columns, so that columns of any names can stand beside them; `row.*` gives them back."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))

@@ -13,7 +13,7 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
     Each round ends in a written table, so lineage stays short and a lost
     executor costs one round. A node's links are only ever reduced to their
-    minimum, never collected.
+    minimum, never collected. Raises if max_rounds are not enough.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = saved(e, "cc")
@@ -30,5 +30,7 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if tuple(now) == before:
             break
         before = tuple(now)
+    else:
+        raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

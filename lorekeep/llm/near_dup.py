@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from ..session import saved
 from . import text as T
+from .columns import whole_rows
 from .components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -154,8 +155,8 @@ def _residual_pairs(sets: DataFrame, apart: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, links): for each row of docs doc_id, key (md5 of its text), content, class_id and n_links (links of its
-    words to other words); the verified links (a, b, similarity) between contents."""
+    """(rows, links): for each row of docs doc_id, key (md5 of its text), content, root and class_id; the verified links
+    (a, b, similarity) between contents, of which there are enough to join each class, not all pairs."""
     keyed = docs.select("doc_id", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = saved(keyed.mapInArrow(_sketch, "doc_id long, key string, content string, bands array<long>"), "near-rows")
     nodes = saved(
@@ -188,25 +189,23 @@ def classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     if more.take(1):
         links = links.unionByName(more).distinct()
         roots = components(links)
-    ends = links.select(F.col("a").alias("content")).unionByName(links.select(F.col("b").alias("content")))
-    n_links = ends.groupBy("content").agg(F.count("*").alias("n_links"))
     of_node = nodes.select("content", "least").join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
     of_root = of_node.groupBy("root").agg(F.min("least").alias("class_id"))
-    of_node = of_node.join(of_root, "root").join(n_links, "content", "left").select("content", "class_id", "root", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    of_node = of_node.join(of_root, "root").select("content", "class_id", "root")
     return rows.select("doc_id", "key", "content").join(of_node, "content"), links
 
 
 def op2_near_dedup(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, class_id, n_links and whether it is the one of its class to keep."""
+    """One row per document: doc_id, class_id and whether it is the one of its class to keep."""
     rows, _ = classes(docs)
-    return rows.select("doc_id", "class_id", "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return rows.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs, all columns, without all but the first (least doc_id, then text) of each class."""
     rows, _ = classes(docs, text)
     keep = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
-    keep = keep.select(F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__key"))
-    keyed = docs.withColumn("__text_key", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    kept = keyed.join(keep.hint("shuffle_hash"), (F.col("__text_key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__text_key"]).drop("__text_key")
+    keep = keep.select(F.col("first.doc_id").alias("id"), F.col("first.key").alias("key"))
+    keyed = whole_rows(docs).withColumn("own_key", F.md5(F.coalesce(F.col(f"row.`{text}`"), F.lit("")).cast("binary"))).withColumn("own_id", F.col("row.doc_id"))
+    kept = keyed.join(keep.hint("shuffle_hash"), (F.col("own_key") == F.col("key")) & F.col("own_id").eqNullSafe(F.col("id")), "left_semi")
+    return kept.dropDuplicates(["own_id", "own_key"]).select("row.*")
