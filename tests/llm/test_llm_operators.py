@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 
 from lorekeep.llm import chat, decontam, fingerprints, languages, licenses, mixing, near_dup, sharding, toxicity, urls
 from lorekeep.llm import text as T
-from lorekeep.session import table
+from lorekeep.session import saved, table
 
 LONG = "heron " * 60_000
 EDGES = [
@@ -303,7 +303,8 @@ def test_decontamination(spark, docs, edges):
     assert decontam.op8_decontamination(docs, odd.limit(0)).count() == 0
 
 
-def test_decontamination_of_truncated_passages_equals_oracle(spark, tmp_path, monkeypatch):
+def test_decontamination_equals_all_windows(spark, tmp_path, monkeypatch):
+    """Truncated, edited and rearranged passages, and short items inside long texts, against every window in SQL."""
     import compare
 
     monkeypatch.setattr(compare, "TABLES", ["documents", "benchmark"])
@@ -313,7 +314,7 @@ def test_decontamination_of_truncated_passages_equals_oracle(spark, tmp_path, mo
         return ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 11))) for _ in range(n)]
 
     items, texts = [], []
-    for i in range(120):
+    for i in range(160):
         n = rng.choice([15, 20, 30, 50])
         item = words(n)
         items.append((i, " ".join(item)))
@@ -323,12 +324,25 @@ def test_decontamination_of_truncated_passages_equals_oracle(spark, tmp_path, mo
         edited = list(item)
         edited[n // 2] = words(1)[0]
         texts.append(" ".join([*item[cut:], *words(5), *edited]))
+    swapped = [words(40) for _ in range(5)]
+    items += [(200 + k, " ".join(w)) for k, w in enumerate(swapped)]
+    texts += [" ".join([*words(30), *w[20:], *w[:20], *words(30)]) for w in swapped]
+    short = [words(k) for k in (1, 2, 3, 4)]
+    items += [(300 + k, " ".join(w)) for k, w in enumerate(short)]
+    texts += [" ".join([*words(30), *w, *words(30)]) for w in short] + [" ".join(w) for w in short]
+    line = words(6)
+    items.append((400, " ".join(line * 5)))  # repeated shingles count as often as the item has them
+    texts += [" ".join(line * 5), " ".join([*words(3), *line, *line, *words(30)]), " ".join(line * 50), " ".join(line * 4)]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    run = {"q": lambda s, d: decontam.op8_decontamination(table(s, d, "documents"), table(s, d, "benchmark"))}
-    assert compare.differences(spark, run, {"q": decontam.ORACLE}, "q", str(tmp_path)) == ""
+    docs, bench = table(spark, str(tmp_path), "documents"), table(spark, str(tmp_path), "benchmark")
+    found = saved(decontam.op8_decontamination(docs, bench), "test-leaks")
+    assert compare.differences(spark, {"q": lambda s, d: found}, {"q": decontam.ORACLE}, "q", str(tmp_path)) == ""
+    got = {(r.doc_id, r.item_id) for r in found.collect()}
+    assert {(480 + k, 200 + k) for k in range(5)} <= got  # swapped halves
+    assert {(485 + k, 300 + k) for k in range(4)} | {(489 + k, 300 + k) for k in range(4)} <= got  # short items
     nameless = spark.createDataFrame([(None, items[0][1])], "item_id long, text string")
-    assert {r.doc_id for r in decontam.op8_decontamination(table(spark, str(tmp_path), "documents"), nameless).collect()} >= {0}
+    assert {r.doc_id for r in decontam.op8_decontamination(docs, nameless).collect()} >= {0}
 
 
 def test_sharding(spark, docs, edges):
