@@ -1,16 +1,20 @@
 """Toxicity: a factorization machine over hashed terms.
 
-Terms are the words of the whole text and the first four, five and six bytes
-of each word (stems), each set once per text and hashed into 2**18 buckets. An
-additive linear model only sums a weight for each term; the factorization
-machine adds, for each pair of present terms, the product of their latent
-vectors, so that an insult beside a group mention can weigh more than both.
+Terms are the words of the whole text and the first five bytes of each word
+(stems), each set once per text and hashed into 2**18 buckets. An additive
+linear model only sums a weight for each term; the factorization machine adds,
+for each pair of present terms, the product of their latent vectors over the
+number of the text's terms, so that an insult beside a group mention can weigh
+more than both.
 
 Fitting: at most `per_class` labelled rows of each class (the ones with the
-smallest hash of their id), the `max_terms` buckets whose document frequency
-differs most between the classes, Adagrad on the logistic loss, and a bias
-corrected to the share of the label over all training rows. Scoring is one
-pass over the texts without a shuffle.
+smallest hash of their id); every term that they hold has a weight and a latent
+vector, none is left out beforehand. Both are fitted to the logistic loss with
+all rows in every step: the weights by proximal steps, whose threshold is KAPPA
+standard deviations of what chance would give (so most weights are 0), the
+vectors by Adagrad as long as the loss of a held-back part of the rows falls.
+The bias is corrected to the share of the label over all training rows. Scoring
+is one pass over the texts without a shuffle.
 
 Defined cases: a null or empty text has no terms and gets the bias alone; rows
 that repeat are scored alike; labels that are null, or whose document is
@@ -36,13 +40,20 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 N_BUCKETS = 1 << 18
 #: 0 stands for the whole word, the others for its first bytes.
-TERM_LENGTHS = (0, 4, 5, 6)
+TERM_LENGTHS = (0, 5)
 THRESHOLD = 0.3
+#: A weight leaves 0 where its gradient is so many standard deviations of a term without effect; it stays for a fifth.
+KAPPA, STAYS = 3.5, 0.2
+FACTORS, STEPS, PATIENCE, HELD_BACK = 4, 60, 8, 0.15
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
 @dataclass
 class Model:
-    """slot: for each bucket, where its weights are (0: none, with zero weights)."""
+    """slot: for each bucket, where its weight and latent vector are (0: none, with zeros)."""
 
     slot: np.ndarray
     weight: np.ndarray
@@ -51,13 +62,14 @@ class Model:
 
     def scores(self, n: int, rows: np.ndarray, buckets: np.ndarray) -> np.ndarray:
         """buckets must be distinct within each row."""
+        share = 0.5 / np.maximum(np.bincount(rows, minlength=n), 1)
         at = self.slot[buckets]
         rows, at = rows[at > 0], at[at > 0]
         z = np.bincount(rows, self.weight[at], n) + self.bias
         for v in self.factors.T:
             s = np.bincount(rows, v[at], n)
-            z += 0.5 * (s * s - np.bincount(rows, v[at] ** 2, n))
-        return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
+            z += share * (s * s - np.bincount(rows, v[at] ** 2, n))
+        return _sigmoid(z)
 
 
 def terms(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,34 +91,66 @@ def _term_lists(batches):
         )
 
 
-def _fit(rows, buckets, labels, slot, n_slots, factors: int = 4, epochs: int = 30, rate: float = 0.2, decay: float = 2e-4):
-    """Adagrad over minibatches; rows (sorted) and buckets are the terms, labels has one entry a row."""
+def _sums(values: np.ndarray, starts: np.ndarray, empty: np.ndarray) -> np.ndarray:
+    """Sums of consecutive values between the starts."""
+    out = np.add.reduceat(np.concatenate((values, np.zeros_like(values[:1]))), np.minimum(starts, len(values)))
+    out[empty] = 0
+    return out
+
+
+def _fit(rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray, rate: float = 0.3, step: float = 0.05) -> Model:
+    """rows (sorted) and buckets (distinct in a row) are the terms, labels has one entry a row."""
     n, rng = len(labels), np.random.default_rng(7)
-    weight, vectors, bias = np.zeros(n_slots), rng.normal(0, 0.01, (n_slots, factors)), 0.0
-    vectors[0] = 0
-    seen_w, seen_v, seen_b = np.full(n_slots, 1e-6), np.full((n_slots, factors), 1e-6), 1e-6
-    at, first = slot[buckets], np.searchsorted(rows, np.arange(n + 1))
-    for _ in range(epochs):
-        for batch in np.array_split(rng.permutation(n), max(1, n // 256)):
-            take = np.concatenate([np.arange(first[i], first[i + 1]) for i in batch])
-            row = np.repeat(np.arange(len(batch)), first[batch + 1] - first[batch])
-            a, m = at[take], len(batch)
-            sums = np.stack([np.bincount(row, vectors[a, f], m) for f in range(factors)], axis=1)
-            squares = np.stack([np.bincount(row, vectors[a, f] ** 2, m) for f in range(factors)], axis=1)
-            z = bias + np.bincount(row, weight[a], m) + 0.5 * (sums * sums - squares).sum(1)
-            error = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels[batch]
-            g_w = np.bincount(a, error[row], n_slots).astype(float) + decay * m * weight
-            g_v = np.stack([np.bincount(a, error[row] * (sums[row, f] - vectors[a, f]), n_slots) for f in range(factors)], axis=1).astype(float)
-            g_v += decay * m * vectors
-            g_b = error.sum()
-            seen_w += g_w * g_w
-            seen_v += g_v * g_v
-            seen_b += g_b * g_b
-            weight -= rate * g_w / np.sqrt(seen_w)
-            vectors -= 0.25 * rate * g_v / np.sqrt(seen_v)
-            bias -= rate * g_b / np.sqrt(seen_b)
-            weight[0], vectors[0] = 0, 0
-    return weight, vectors, bias
+    used, at = np.unique(buckets, return_inverse=True)
+    by_term = np.argsort(at, kind="stable")
+    of_term, row_of = np.searchsorted(at[by_term], np.arange(len(used))), rows[by_term]
+    of_row, count = np.searchsorted(rows, np.arange(n)), np.bincount(rows, minlength=n)
+    bare, none = count == 0, np.zeros(len(used), bool)
+    back = rng.random(n) < HELD_BACK if n >= 100 else np.zeros(n, bool)
+    taught, share = ~back, 0.5 / np.maximum(count, 1)
+    p = min(max(float(labels[taught].mean()), 1e-3), 1 - 1e-3)
+    spread = p * (1 - p) * np.maximum(_sums(taught[row_of].astype(float), of_term, none), 1e-9)  # of a gradient without effect
+    limit = KAPPA * np.sqrt(spread)
+
+    def losses(z: np.ndarray) -> np.ndarray:
+        return np.logaddexp(0, np.where(labels == 1, -z, z))
+
+    weight, bias, last, kept = np.zeros(len(used)), np.log(p / (1 - p)), np.inf, None
+    for _ in range(STEPS):
+        z = bias + _sums(weight[at], of_row, bare)
+        loss = losses(z)[taught].mean()
+        if loss > last + 1e-3:  # the step was too long for terms that stand together: back, and shorter ones
+            step, (weight, bias) = step / 2, kept
+            z = bias + _sums(weight[at], of_row, bare)
+        else:
+            last, kept = loss, (weight, bias)
+        s = _sigmoid(z)
+        error = np.where(taught, s - labels, 0.0)
+        moved = weight - step * _sums(error[row_of], of_term, none) / spread
+        weight = np.sign(moved) * np.maximum(np.abs(moved) - step * limit / spread * np.where(weight != 0, STAYS, 1.0), 0)
+        bias -= 0.5 * error.sum() / max((s * (1 - s))[taught].sum(), 1e-3)
+    weight, bias = kept
+    linear = bias + _sums(weight[at], of_row, bare)
+    vectors, seen = rng.normal(0, 0.05, (FACTORS, len(used))), np.full((FACTORS, len(used)), 1e-6)
+    judged = back if back.any() else taught
+    best, since, found = losses(linear)[judged].mean(), 0, np.zeros((FACTORS, len(used)))
+    for _ in range(STEPS):
+        own = [v[at] for v in vectors]
+        sums = [_sums(v, of_row, bare) for v in own]
+        z = linear + share * (sum(s * s for s in sums) - _sums(sum(v * v for v in own), of_row, bare))
+        loss = losses(z)[judged].mean()
+        if loss < best - 1e-5:
+            best, since, found = loss, 0, vectors
+        elif (since := since + 1) > PATIENCE:
+            break
+        error = np.where(taught, _sigmoid(z) - labels, 0.0) * 2 * share
+        alone = _sums(error[row_of], of_term, none)
+        gradient = np.stack([_sums((error * s)[row_of], of_term, none) - alone * v for s, v in zip(sums, vectors)])
+        seen = seen + gradient * gradient
+        vectors = vectors - rate * gradient / np.sqrt(seen)
+    slot = np.zeros(N_BUCKETS, np.int32)
+    slot[used] = np.arange(1, len(used) + 1)
+    return Model(slot, np.concatenate(([0.0], weight)), np.vstack((np.zeros((1, FACTORS)), found.T)), float(bias))
 
 
 def training_rows(labels: DataFrame, held_out: bool = True) -> DataFrame:
@@ -115,7 +159,7 @@ def training_rows(labels: DataFrame, held_out: bool = True) -> DataFrame:
     return rows.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2) if held_out else rows
 
 
-def fit(docs: DataFrame, labelled: DataFrame, per_class: int = 4000, max_terms: int = 4096) -> Model:
+def fit(docs: DataFrame, labelled: DataFrame, per_class: int = 4000) -> Model:
     """labelled: (doc_id, label). The sample is bounded by per_class rows of each class."""
     none = Model(np.zeros(N_BUCKETS, np.int32), np.zeros(1), np.zeros((1, 1)), -40.0)
     labelled = labelled.groupBy("doc_id").agg(F.max("label").alias("label"))  # a document labelled twice counts once
@@ -131,37 +175,15 @@ def fit(docs: DataFrame, labelled: DataFrame, per_class: int = 4000, max_terms:
     ids = saved(ids, "toxicity-sample")  # at most 2 * per_class rows
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text")
     sample = saved(sample.mapInArrow(_term_lists, "doc_id long, label int, terms array<int>"), "toxicity-terms")
-    sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
-    by_term = sample.select(F.explode("terms").alias("term"), "label").groupBy("term").agg(
-        F.sum("label").cast("double").alias("a"), F.sum(1 - F.col("label")).cast("double").alias("b")
-    )
-    p, q = (F.col("a") + 0.5) / (n1 + 1), (F.col("b") + 0.5) / (n0 + 1)
-    z = F.abs(F.log(p / q)) / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    chosen = [r["term"] for r in by_term.where("a + b >= 3").withColumn("z", z).where("z > 2.5").orderBy(F.desc("z"), "term").limit(max_terms).collect()]
-    slot = np.zeros(N_BUCKETS, np.int32)
-    slot[chosen] = np.arange(1, len(chosen) + 1)
-    data = sample.select("label", "terms").mapInArrow(_only(slot), "label int, terms array<int>").toArrow()
-    order = np.random.default_rng(3).permutation(data.num_rows)
-    data = data.take(pa.array(order))
+    data = sample.select("label", "terms").orderBy("doc_id", "label", "terms").toArrow()
     labels = np.asarray(data["label"], dtype=float)
-    column = data["terms"].combine_chunks()
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    rows = np.repeat(np.arange(len(labels)), np.diff(np.asarray(column.offsets)))
-    weight, vectors, bias = _fit(rows, np.asarray(column.flatten()), labels, slot, len(chosen) + 1)
-    bias += np.log(counts[1] / counts[0]) - np.log(max(n1, 1) / max(n0, 1))
-    return Model(slot, weight, vectors, float(bias))
-
-
-def _only(slot: np.ndarray):
-    def only(batches):
-        for batch in batches:
-            lists = batch.column(1)
-            values, rows = np.asarray(lists.flatten()), np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
-            keep = slot[values] > 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), T.lists(rows[keep], values[keep], len(lists), pa.int32())], names=["label", "terms"])
-
-    return only
+    lists = data["terms"].combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    rows = np.repeat(np.arange(len(labels)), np.diff(np.asarray(lists.offsets)))
+    model = _fit(rows, np.asarray(lists.flatten()).astype(np.int64), labels)
+    n1 = labels.sum()
+    model.bias += float(np.log(counts[1] / counts[0]) - np.log(max(n1, 1) / max(len(labels) - n1, 1)))
+    return model
 
 
 def score(docs: DataFrame, model: Model, columns: list[str], text: str = "text") -> DataFrame:

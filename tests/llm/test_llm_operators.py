@@ -398,19 +398,30 @@ def test_toxicity_of_held_out(spark, docs, labels, edges, no_docs):
     assert clean.columns == edges.columns
 
 
-def test_interactions_of_terms():
-    """Two terms that are harmless alone and toxic together: a factorization machine learns it, a linear model cannot."""
+def test_interactions_of_terms(spark):
+    """Two words that are harmless alone, and toxic together or both missing: no weight of a single word can tell."""
+    rng, rows, known = random.Random(0), [], []
+    for i in range(1600):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = [f"filler{rng.randrange(60)}x" for _ in range(12)] + ["thatlot"] * a + ["vermin"] * b
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        known.append((i, 1, int(a == b)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(known, "doc_id long, quality int, toxic int")
+    held = [r for r in toxicity.op10_toxicity(docs, labels).collect() if r.held_out]
+    assert len(held) > 300 and sum((r.score >= 0.5) == (known[r.doc_id][2] == 1) for r in held) >= 0.95 * len(held)
+
+
+def test_factorization_machine_equals_sums_over_pairs():
     import numpy as np
 
-    rng, rows, buckets, labels = np.random.default_rng(0), [], [], []
-    for i in range(1200):
-        a, b = rng.random(2) < 0.5
-        own = [k for k, on in ((1, a), (2, b)) if on] + [3]
-        rows += [i] * len(own)
-        buckets += own
-        labels.append(float(a == b))
-    slot = np.arange(4)
-    w, v, bias = toxicity._fit(np.array(rows), np.array(buckets), np.array(labels), slot, 4, epochs=60)
-    model = toxicity.Model(slot, w, v, bias)
-    s = model.scores(4, np.array([0, 0, 0, 1, 1, 2, 2, 3]), np.array([1, 2, 3, 1, 3, 2, 3, 3]))
-    assert min(s[0], s[3]) > 0.8 and max(s[1], s[2]) < 0.2
+    rng = np.random.default_rng(2)
+    slot = np.zeros(toxicity.N_BUCKETS, np.int32)
+    slot[[5, 7, 9, 11]] = [1, 2, 3, 4]
+    model = toxicity.Model(slot, np.concatenate(([0.0], rng.normal(size=4))), np.vstack((np.zeros((1, 3)), rng.normal(size=(4, 3)))), 0.1)
+    texts = [[5, 7, 9], [11], [], [5, 7, 9, 11, 13]]  # 13 was never seen
+    got = model.scores(4, np.repeat(np.arange(4), [len(t) for t in texts]), np.array([b for t in texts for b in t]))
+    for t, s in zip(texts, got):
+        at = [slot[b] for b in t if slot[b]]
+        pairs = sum(model.factors[i] @ model.factors[j] for k, i in enumerate(at) for j in at[k + 1 :])
+        assert abs(s - 1 / (1 + np.exp(-(0.1 + sum(model.weight[at]) + pairs / max(len(t), 1))))) < 1e-9
