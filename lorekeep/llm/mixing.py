@@ -1,17 +1,25 @@
 """Mixing sources to target weights: soft memberships and nonnegative document rates.
 
 Built-in Spark functions only; the driver sees vectors with one number for
-each domain. A naive Bayes classifier over hashed words, fitted on at most
-`per_domain` labelled rows of each domain, gives every document a posterior
-over the domains. Terms are the distinct words of the whole text and three
-shape terms: its shares of capitals, of symbols and of different words, each
-in steps. Only terms whose frequency differs clearly between the domains count,
-and their evidence is halved, so that memberships stay soft. The expected tokens of a domain are the sum of
-rate x tokens x posterior. Projected-gradient least squares then moves all
-rates from 1 until these totals match the targets: a document's gradient is
-its posterior times the domains' residuals, rates are cut at 0, and the step
-is Barzilai and Borwein's. As the gradients of all rounds are a few numbers,
-a document's rate is a fold over them, so no round writes a table.
+each domain, and the evidence of at most a third of the labelled sample. A naive
+Bayes classifier over hashed words, fitted on two thirds of at most `per_domain`
+labelled rows of each domain, gives every document evidence for each domain;
+multinomial logistic calibration on the other third (one slope, one offset a
+domain, weighted to the domains' true shares) turns it into posteriors. Terms
+are the distinct words of the whole text and three shape terms: its shares of
+capitals, of symbols and of different words, each in steps. Only terms whose
+frequency differs clearly between the domains count.
+
+The expected tokens of a domain are the sum of rate x tokens x posterior.
+Projected-gradient least squares moves all rates from 1 until these totals
+match the targets (with a slight pull back to 1): a document's gradient is its
+posterior times the domains' residuals. The steps of all rounds are accumulated
+as one vector over the domains, scaled by the second moments of the posteriors
+whose rates can move, and halved until the loss falls; a document's rate is 1
+less its posterior times that vector, projected to 0 to MOST. So the state is a
+few numbers and no round writes a table. It ends when no step is left: then the
+totals are within TOLERANCE of the targets, or no nonnegative rates come closer
+with these memberships. What is reached is returned.
 
 Defined cases: a null or empty text has no tokens, the prior as posterior and
 rate 1 at first like others; a missing domain (no labelled rows) has posterior
@@ -29,14 +37,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import saved
-from .columns import words
-
-N_BUCKETS = 4096
-#: Terms count whose log odds are at least so many standard errors from 0; their sum is multiplied by SOFTNESS.
-CLEAR, SOFTNESS = 3.0, 0.5
+from .columns import whole_rows, words
+
+N_BUCKETS = 16384
+#: Terms count whose log odds are at least so many standard errors from 0.
+CLEAR = 3.0
+#: No document is drawn more often.
+MOST = 4.0
+#: Shares may differ so much from their targets.
+TOLERANCE = 1e-4
+#: Weight of the rates' squared distance from 1 beside that of the totals from their targets.
+PULL = 1e-6
 #: Target share of the tokens of each domain.
 TARGETS = {"good": 0.85, "low": 0.13, "toxic": 0.02}
-#: Rate of the kept domain's documents where mixing draws from the corpus.
+#: Tokens of the kept domain that are asked for, over those that there are.
 HEADROOM = 1.1
 
 
@@ -51,7 +65,7 @@ def _bucket(word: Column) -> Column:
 
 def _with_terms(df: DataFrame, text: str, tokens: str = "tokens", terms: str = "terms") -> DataFrame:
     """df with its number of words and the distinct buckets of its terms."""
-    held = df.withColumn("__w", F.transform(words(text), _bucket)).withColumn("__d", F.array_distinct("__w"))
+    held = df.withColumn("every", F.transform(words(text), _bucket)).withColumn("different", F.array_distinct("every"))
     n = F.greatest(F.length(F.coalesce(F.col(text), F.lit(""))), F.lit(1))
 
     def step(name: str, share: Column) -> Column:
@@ -59,22 +73,83 @@ def _with_terms(df: DataFrame, text: str, tokens: str = "tokens", terms: str = "
 
     capitals = F.coalesce(F.regexp_count(F.col(text), F.lit(r"\p{Lu}")), F.lit(0)) / n
     symbols = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[!#$%&*+/<=>?@\\^_|~]")), F.lit(0)) / n
-    different = F.size("__d") / F.greatest(F.size("__w"), F.lit(1))
+    different = F.size("different") / F.greatest(F.size("every"), F.lit(1))
     shape = F.array(step("capitals", capitals), step("symbols", symbols), step("different", different * different))
-    return held.withColumn(tokens, F.size("__w").cast("long")).withColumn(terms, F.array_union("__d", shape)).drop("__w", "__d")
+    return held.withColumn(tokens, F.size("every").cast("long")).withColumn(terms, F.array_union("different", shape)).drop("every", "different")
+
+
+def _solved(matrix: list[list[float]], right: list[float]) -> list[float]:
+    """The solution of a small system by elimination."""
+    rows = [[*m, r] for m, r in zip(matrix, right)]
+    for i in range(len(rows)):
+        top = max(range(i, len(rows)), key=lambda j: abs(rows[j][i]))
+        rows[i], rows[top] = rows[top], rows[i]
+        for j in range(len(rows)):
+            if j != i and rows[i][i]:
+                times = rows[j][i] / rows[i][i]
+                rows[j] = [x - times * y for x, y in zip(rows[j], rows[i])]
+    return [r[-1] / r[i] if r[i] else 0.0 for i, r in enumerate(rows)]
 
 
 @dataclass
 class Classifier:
-    """weights: for each domain, the log odds of each bucket against the mean of all domains; prior: None if unseen."""
+    """weights: for each domain, the log odds of each bucket against the mean of all domains; a domain's score is slope x
+    evidence + offset (None if the domain is unseen)."""
 
     domains: list[str]
     weights: list[list[float]]
-    priors: list[float | None]
+    slope: float
+    offsets: list[float | None]
+
+
+def _posteriors(z: list[float]) -> list[float]:
+    top = max(z)
+    e = [math.exp(x - top) for x in z]
+    return [x / sum(e) for x in e]
+
+
+def calibrated(rows: list[tuple[int, list[float]]], shares: list[float], rounds: int = 50) -> tuple[float, list[float]]:
+    """(slope, offsets) of rows(domain, evidence for each domain) by Newton steps on the log loss, each domain weighted to
+    its share; evidence without effect has slope 0."""
+    k = len(shares)
+    counts = [sum(d == i for d, _ in rows) for i in range(k)]
+    of = [s / c if c else 0.0 for s, c in zip(shares, counts)]
+    params = [0.5, *[math.log(s / shares[0]) for s in shares[1:]]]
+
+    def scores(q: list[float], e: list[float]) -> list[float]:
+        return [q[0] * e[0], *[q[0] * x + c for x, c in zip(e[1:], q[1:])]]
+
+    def loss(q: list[float]) -> float:
+        return sum(-of[d] * math.log(max(_posteriors(scores(q, e))[d], 1e-300)) for d, e in rows) + 1e-3 * sum(x * x for x in q[1:])
+
+    now = loss(params)
+    for _ in range(rounds):
+        gradient, hessian = [2e-3 * (i > 0) * x for i, x in enumerate(params)], [[(2e-3 if i else 1e-9) * (i == j) for j in range(k)] for i in range(k)]
+        for d, e in rows:
+            p = _posteriors(scores(params, e))
+            features = [[e[i], *[float(i == j) for j in range(1, k)]] for i in range(k)]
+            mean = [sum(p[i] * features[i][j] for i in range(k)) for j in range(k)]
+            for a in range(k):
+                gradient[a] += of[d] * (mean[a] - features[d][a])
+                for b in range(k):
+                    hessian[a][b] += of[d] * sum(p[i] * (features[i][a] - mean[a]) * (features[i][b] - mean[b]) for i in range(k))
+        step, size = _solved(hessian, gradient), 1.0
+        while size > 1e-6 and loss(trial := [max(x - size * y, 0.0) if i == 0 else x - size * y for i, (x, y) in enumerate(zip(params, step))]) > now:
+            size /= 2
+        if size <= 1e-6 or now - loss(trial) < 1e-9:
+            break
+        params, now = trial, loss(trial)
+    return params[0], [0.0, *params[1:]]
+
+
+def _evidence(buckets: str, weights: list[float]) -> Column:
+    """The sum of the weights of the buckets."""
+    table = F.split(F.lit(",".join(f"{x:.6g}" if x else "0" for x in weights)), ",").cast("array<double>")  # a constant of N_BUCKETS numbers
+    return F.aggregate(buckets, F.lit(0.0), lambda a, x: a + F.element_at(table, x + 1))
 
 
 def fit(docs: DataFrame, labels: DataFrame, domains: list[str], per_domain: int = 1500, text: str = "text") -> Classifier:
-    """Naive Bayes over the distinct hashed words of at most per_domain labelled documents of each domain."""
+    """Naive Bayes over the distinct hashed words of at most per_domain labelled documents of each domain, and its calibration."""
     named = labels.select("doc_id", domain_of().alias("domain")).where("domain is not null and doc_id is not null")
     named = named.groupBy("doc_id").agg(F.max("domain").alias("domain")).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     ids = None
@@ -83,10 +158,12 @@ def fit(docs: DataFrame, labels: DataFrame, domains: list[str], per_domain: int
         ids = part if ids is None else ids.union(part)
     ids = saved(ids, "mix-sample")
     sample = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(ids), "doc_id")
+    third = (F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(3)) == 0).alias("third")
     # saved before it is exploded: Spark would else test the size of every document's terms before the join with the sample
-    sample = saved(_with_terms(sample, "text").select("domain", "terms"), "mix-terms").select("domain", F.explode("terms").alias("bucket"))
-    counts = sample.groupBy("domain", "bucket").agg(F.count("*").alias("n")).collect()  # at most N_BUCKETS rows for each domain
-    sizes = {r["domain"]: r["n"] for r in ids.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    sample = saved(_with_terms(sample, "text").select("domain", "terms", third), "mix-terms")
+    taught = sample.where("not third")
+    counts = taught.select("domain", F.explode("terms").alias("bucket")).groupBy("domain", "bucket").agg(F.count("*").alias("n")).collect()  # at most N_BUCKETS rows for each domain
+    sizes = {r["domain"]: r["n"] for r in taught.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     shares = {r["domain"]: r["n"] for r in named.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     total = sum(shares.get(d, 0) for d in domains)
     table = {d: [0] * N_BUCKETS for d in domains}
@@ -96,95 +173,126 @@ def fit(docs: DataFrame, labels: DataFrame, domains: list[str], per_domain: int
     weights = []
     for d in domains:
         n, rest, own = sizes.get(d, 0), sum(sizes.get(e, 0) for e in seen if e != d), [0.0] * N_BUCKETS
-        for b in range(N_BUCKETS) if d in seen and len(seen) > 1 else ():
+        for b in range(N_BUCKETS) if n and rest else ():
             x, y = table[d][b] + 0.5, sum(table[e][b] for e in seen if e != d) + 0.5
             odds = math.log(x / (n + 1)) - math.log(y / (rest + 1))
             own[b] = odds if abs(odds) >= CLEAR * math.sqrt(1 / x + 1 / y) else 0.0
         weights.append(own)
-    return Classifier(domains, weights, [math.log(shares[d] / total) if shares.get(d) else None for d in domains])
-
-
-def _evidence(buckets: str, weights: list[float]) -> Column:
-    """The sum of the weights of the buckets."""
-    table = F.split(F.lit(",".join(f"{x:.6g}" for x in weights)), ",").cast("array<double>")  # a constant of N_BUCKETS numbers
-    return F.aggregate(buckets, F.lit(0.0), lambda a, x: a + F.element_at(table, x + 1))
+    if not seen:
+        return Classifier(domains, weights, 0.0, [None] * len(domains))
+    shown = sample.where("third").select("domain", F.array(*[_evidence("terms", weights[domains.index(d)]) for d in seen]).alias("e")).collect()  # bounded by the sample
+    slope, offsets = calibrated([(seen.index(r["domain"]), list(r["e"])) for r in shown], [shares[d] / total for d in seen])
+    return Classifier(domains, weights, slope, [offsets[seen.index(d)] if d in seen else None for d in domains])
 
 
 def with_members(df: DataFrame, model: Classifier, text: str = "text", tokens: str = "tokens", p: str = "p") -> DataFrame:
     """df with its number of words and its posteriors, in the order of the model's domains."""
     k = len(model.domains)
-    if all(x is None for x in model.priors):
+    if all(x is None for x in model.offsets):
         return df.withColumn(tokens, F.size(words(text)).cast("long")).withColumn(p, F.array(*[F.lit(1.0 / k)] * k))
-    held = _with_terms(df, text, tokens, "__b")
-    z = []
-    for prior, own in zip(model.priors, model.weights):
-        z.append(F.lit(None).cast("double") if prior is None else F.lit(prior) + SOFTNESS * _evidence("__b", own))
-    held = held.withColumn("__z", F.array(*z))
-    held = held.withColumn("__e", F.transform("__z", lambda x: F.coalesce(F.exp(x - F.array_max("__z")), F.lit(0.0))))
-    held = held.withColumn("__sum", F.aggregate("__e", F.lit(0.0), lambda a, x: a + x))
-    return held.withColumn(p, F.transform("__e", lambda x: x / F.col("__sum"))).drop("__b", "__z", "__e", "__sum")
-
-
-def _rate(steps: list[list[float]], p: str = "p") -> Column:
-    """The rate after these projected steps from 1: a fold over the steps, each a vector over the domains."""
-    if not steps:
-        return F.lit(1.0)
-    k = len(steps[0])
-    moves = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
-    return F.aggregate(moves, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - sum((F.get(F.col(p), i) * F.get(s, i) for i in range(1, k)), F.get(F.col(p), 0) * F.get(s, 0))))
-
-
-def rates(members: DataFrame, targets: list[float], budget: float | None = None, rounds: int = 25, tolerance: float = 1e-6) -> tuple[DataFrame, list[list[float]]]:
-    """members with `rate`; targets are shares of budget (all tokens, if not given) for each domain of p."""
-    k = len(targets)
-    first = members.agg(F.sum("tokens").alias("n"), *[F.sum(F.col("tokens") * F.get("p", i)).alias(f"t{i}") for i in range(k)]).first()
+    held = _with_terms(df, text, tokens, "buckets")
+    base = next(own for own, offset in zip(model.weights, model.offsets) if offset is not None)
+    z, first = [], True
+    for offset, own in zip(model.offsets, model.weights):  # against the first domain, so that one sum less is needed
+        z.append(F.lit(None).cast("double") if offset is None else F.lit(offset) if first else F.lit(offset) + model.slope * _evidence("buckets", [x - y for x, y in zip(own, base)]))
+        first = first and offset is None
+    held = held.withColumn("z", F.array(*z))
+    held = held.withColumn("e", F.transform("z", lambda x: F.coalesce(F.exp(x - F.array_max("z")), F.lit(0.0))))
+    held = held.withColumn("sum", F.aggregate("e", F.lit(0.0), lambda a, x: a + x))
+    return held.withColumn(p, F.transform("e", lambda x: x / F.col("sum"))).drop("buckets", "z", "e", "sum")
+
+
+@dataclass
+class Fit:
+    """moved: the accumulated steps, a vector over the domains; targets and reached: shares of the budget; settled: no
+    step is left (the targets are met, or cannot be met more closely)."""
+
+    moved: list[float]
+    targets: list[float]
+    reached: list[float]
+    settled: bool
+
+
+def _vector(values: list[float]) -> Column:
+    """A constant array; as one object, so that rounds with other values share their compiled code."""
+    return F.split(F.lit(",".join(repr(float(x)) for x in values)), ",").cast("array<double>")
+
+
+def _along(moved: list[float], p: str = "p") -> Column:
+    return F.aggregate(F.zip_with(p, _vector(moved), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+
+
+def _rate(moved: list[float], p: str = "p") -> Column:
+    """1 less the posteriors times the accumulated steps, projected to 0 to MOST."""
+    return F.least(F.lit(MOST), F.greatest(F.lit(0.0), 1 - _along(moved, p)))
+
+
+def rates(members: DataFrame, targets: list[float], budget: float | None = None, rounds: int = 60) -> tuple[DataFrame, Fit]:
+    """members with `rate`, and the fit; targets are shares of budget (all tokens, if not given) for each domain of p."""
+    k, p = len(targets), [F.get("p", i) for i in range(len(targets))]
+    first = members.agg(F.sum("tokens").alias("n"), *[F.sum(F.col("tokens") * x).alias(f"t{i}") for i, x in enumerate(p)]).first()
     n = float(first["n"] or 0)
     if n == 0:
-        return members.withColumn("rate", F.lit(1.0)), []
+        return members.withColumn("rate", F.lit(1.0)), Fit([0.0] * k, targets, targets, True)
     present = [(first[f"t{i}"] or 0.0) > 0 for i in range(k)]
-    whole = sum(t for t, here in zip(targets, present) if here) or 1.0
-    goal = [t / whole * (budget or n) if here else 0.0 for t, here in zip(targets, present)]
-    totals, steps, step, before = [first[f"t{i}"] or 0.0 for i in range(k)], [], 1.0, None
+    whole, scale = sum(t for t, here in zip(targets, present) if here) or 1.0, (budget or n) / n
+    goal = [t / whole * scale if here else 0.0 for t, here in zip(targets, present)]
+
+    def measured(moved: list[float]) -> tuple[float, list[float], list[list[float]]]:
+        """The least-squares dual, the totals, and the second moments of the posteriors whose rates may move."""
+        rows = members.select("tokens", "p", (1 - _along(moved)).alias("bare")).withColumn("r", F.least(F.lit(MOST), F.greatest(F.lit(0.0), F.col("bare"))))
+        t, free = F.col("tokens") / n, (F.col("bare") > 0) & (F.col("bare") < MOST)
+        sums = [F.sum(t * F.col("r") * x).alias(f"t{i}") for i, x in enumerate(p)]
+        moments = [F.sum(F.when(free, t * p[i] * p[j]).otherwise(0.0)).alias(f"g{i}_{j}") for i in range(k) for j in range(i + 1)]
+        out = rows.agg(*sums, *moments, F.sum(t * F.col("r") * (F.col("bare") - F.col("r") / 2)).alias("dual")).first()
+        dual = out["dual"] + sum(g * x for g, x in zip(goal, moved)) + PULL / 2 * sum(x * x for x in moved)
+        return dual, [out[f"t{i}"] for i in range(k)], [[out[f"g{max(i, j)}_{min(i, j)}"] for j in range(k)] for i in range(k)]
+
+    moved, settled = [0.0] * k, False
+    dual, totals, moments = measured(moved)
     for _ in range(rounds):
-        residual = [(t - g) / n for t, g in zip(totals, goal)]
-        if max(abs(x) for x in residual) <= tolerance:
+        gradient = [t - g - PULL * x for t, g, x in zip(totals, goal, moved)]
+        if max(map(abs, gradient)) <= TOLERANCE * scale:
+            settled = True
+            break
+        step, size = _solved([[x + (PULL + 1e-12) * (i == j) for j, x in enumerate(row)] for i, row in enumerate(moments)], gradient), 1.0
+        while size > 1e-4:
+            trial = [x + size * y for x, y in zip(moved, step)]
+            after = measured(trial)
+            if after[0] < dual:
+                break
+            size /= 4
+        else:
             break
-        trial = [*steps, [step * x for x in residual]]
-        now = members.select("tokens", "p", _rate(steps).alias("old"), _rate(trial).alias("new")).agg(
-            *[F.sum(F.col("tokens") * F.col("new") * F.get("p", i)).alias(f"t{i}") for i in range(k)],
-            F.sum(F.col("tokens") * (F.col("new") - F.col("old")) ** 2).alias("moved"),
-        ).first()
-        after = [now[f"t{i}"] for i in range(k)]
-        change = sum((a - t) ** 2 for a, t in zip(after, totals)) / n
-        steps, totals = trial, after
-        step = now["moved"] / change if change > 0 else 1.0
-    return members.withColumn("rate", _rate(steps)), steps
+        moved, (dual, totals, moments) = trial, after
+    return members.withColumn("rate", _rate(moved)), Fit(moved, [g / scale for g in goal], [t / scale for t in totals], settled)
 
 
 def op3_mixing(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """doc_id, tokens, p_<domain> for each domain, and rate: how often the document is to be drawn in expectation."""
+    """doc_id, tokens, p_<domain> for each domain, rate (how often the document is to be drawn in expectation), and, the
+    same in every row, reached_<domain>: the share of the tokens that these rates give the domain."""
     targets = targets or TARGETS
     model = fit(docs, labels, list(targets))
     members = saved(with_members(docs.select("doc_id", "text"), model).select("doc_id", "tokens", "p"), "mix-members")
-    rated, _ = rates(members, list(targets.values()))
-    return rated.select("doc_id", "tokens", *[F.get("p", i).alias(f"p_{d}") for i, d in enumerate(targets)], "rate")
+    rated, found = rates(members, list(targets.values()))
+    return rated.select(
+        "doc_id", "tokens", *[F.get("p", i).alias(f"p_{d}") for i, d in enumerate(targets)], "rate", *[F.lit(float(x)).alias(f"reached_{d}") for d, x in zip(targets, found.reached)]
+    )
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], keep: str, text: str = "text") -> DataFrame:
     """The rows of docs, all columns, each as often as its rate says: its whole part, and once more if a hash of
-    (doc_id, text) falls below its fraction. The budget asks for HEADROOM times the tokens of domain `keep`; a document
-    whose likeliest domain it is comes at least once, even where the targets could do with less of it."""
+    (doc_id, text) falls below its fraction, so at most MOST times. The budget asks for HEADROOM times the tokens of
+    domain `keep`."""
     names = list(targets)
     model = fit(docs, labels, names, text=text)
     own = with_members(docs.select("doc_id", F.col(text).alias("text")), model).select("doc_id", "tokens", "p")
     own = saved(own, "mix-members")
     kept = own.agg(F.sum(F.col("tokens") * F.get("p", names.index(keep)))).first()[0] or 0.0
     budget = HEADROOM * kept * sum(targets.values()) / targets[keep] if kept else None
-    _, steps = rates(own, list(targets.values()), budget)
-    draw = F.pmod(F.xxhash64("doc_id", text), F.lit(1_000_000)) / 1_000_000
-    rated = with_members(docs, model, text, "__tokens", "__p")
-    likely = F.when(F.get("__p", names.index(keep)) >= F.array_max("__p"), 1).otherwise(0)
-    rated = rated.withColumn("__times", F.greatest(F.floor(_rate(steps, "__p") + draw).cast("int"), likely))
+    _, found = rates(own, list(targets.values()), budget)
+    rows = whole_rows(docs).withColumn("text", F.col(f"row.`{text}`"))
+    draw = F.pmod(F.xxhash64("row.doc_id", "text"), F.lit(1_000_000)) / 1_000_000
+    rated = with_members(rows, model).withColumn("times", F.floor(_rate(found.moved) + draw).cast("int"))
     # no filter on the computed number: it would be pushed below and evaluate the memberships once more for each use
-    drawn = rated.select("*", F.explode(F.array_repeat(F.lit(1), F.col("__times"))).alias("__copy"))
-    return drawn.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rated.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select("row.*")

@@ -169,22 +169,47 @@ def test_probability_jaccard_estimate():
     assert abs((out[0] == out[1]).mean() - exact) < 0.04
 
 
-def test_mixing_meets_targets(spark, docs, labels, edges, no_docs):
-    rows = [(i, 10 + i % 7, [p, 1 - p]) for i in range(200) for p in [(i % 11) / 10]]
-    members = spark.createDataFrame(rows, "doc_id long, tokens long, p array<double>")
-    rated, _ = mixing.rates(members, [0.7, 0.3])
-    got = rated.collect()
-    n = sum(r.tokens for r in got)
-    assert min(r.rate for r in got) >= 0
-    for k, share in enumerate((0.7, 0.3)):
-        assert abs(sum(r.tokens * r.rate * r.p[k] for r in got) / n - share) < 1e-4
+def test_rates_meet_targets_or_come_closest(spark):
+    """Against projected gradient over the rates themselves, one number a document, on reachable and unreachable targets."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet([0.6, 0.5, 0.4], 150) * 0.85 + 0.05  # no document is wholly of one domain
+    tokens = rng.integers(0, 60, 150)
+    members = spark.createDataFrame([(i, int(t), [float(x) for x in q]) for i, (t, q) in enumerate(zip(tokens, p))], "doc_id long, tokens long, p array<double>")
+    n = tokens.sum()
+    for targets in ([0.5, 0.3, 0.2], [0.2, 0.2, 0.6], [0.98, 0.01, 0.01], [0.0, 0.0, 1.0]):
+        rated, found = mixing.rates(members, targets)
+        rate = np.array([r.rate for r in rated.orderBy("doc_id").collect()])
+        assert found.settled and rate.min() >= 0 and rate.max() <= mixing.MOST
+        reached = (tokens * rate) @ p / n
+        assert np.allclose(reached, found.reached, atol=1e-9)
+        r, step = np.ones(150), 1 / np.linalg.norm(np.sqrt(tokens / n)[:, None] * p, 2) ** 2
+        for _ in range(20_000):
+            r = np.clip(r - step * p @ ((tokens * r) @ p / n - targets), 0, mixing.MOST)
+        least = np.linalg.norm((tokens * r) @ p / n - targets)
+        assert np.linalg.norm(reached - targets) <= least + 1e-3
+
+
+def test_mixing(spark, docs, labels, edges, no_docs):
+    big, marks = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    out = mixing.op3_mixing(big, marks)
+    first = out.first()
+    for domain, target in mixing.TARGETS.items():
+        assert abs(first[f"reached_{domain}"] - target) <= 0.01 * target
+    assert out.count() == big.count()
+    known = {r.doc_id: (r.quality, r.toxic) for r in marks.collect()}
+    likely = [(max(("good", "low", "toxic"), key=lambda d: r[f"p_{d}"]), known[r.doc_id]) for r in out.collect() if r.doc_id in known]
+    assert sum(d == ("toxic" if t else "good" if q else "low") for d, (q, t) in likely) >= 0.8 * len(likely)
     out = mixing.op3_mixing(edges, labels)
     assert out.count() == len(EDGES) and out.where("rate < 0 or isnan(rate)").count() == 0
     assert mixing.op3_mixing(no_docs, labels).count() == 0
     mixed = mixing.mixed(docs, labels, {"good": 0.9, "low": 0.1}, "good")
     good = {r.doc_id for r in labels.where("quality = 1 and toxic = 0").collect()} & set(texts_of(docs))
-    assert mixed.columns == docs.columns and len(good & {r.doc_id for r in mixed.collect()}) >= 0.9 * len(good)
-    assert mixing.mixed(edges, labels, {"good": 0.9, "low": 0.1}, "good").columns == edges.columns
+    assert mixed.columns == docs.columns and len(good & {r.doc_id for r in mixed.collect()}) >= 0.8 * len(good)
+    odd = docs.withColumn("p", docs.lang).withColumn("tokens", docs.lang).withColumn("times", docs.lang).withColumn("row", docs.lang)
+    mixed = mixing.mixed(odd, labels, {"good": 0.9, "low": 0.1}, "good")
+    assert mixed.columns == odd.columns and mixed.where("p <> lang or tokens <> lang or times <> lang or row <> lang").count() == 0
 
 
 def test_languages_of_held_out(docs, edges, no_docs):
