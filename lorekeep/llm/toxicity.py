@@ -93,18 +93,25 @@ def _term_lists(batches):
 
 def _sums(values: np.ndarray, starts: np.ndarray, empty: np.ndarray) -> np.ndarray:
     """Sums of consecutive values between the starts."""
-    out = np.add.reduceat(np.concatenate((values, np.zeros_like(values[:1]))), np.minimum(starts, len(values)))
-    out[empty] = 0
+    inside = ~empty
+    out = np.zeros(len(starts))
+    if inside.any():
+        out[inside] = np.add.reduceat(values, starts[inside])
     return out
 
 
 def _fit(rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray, rate: float = 0.3, step: float = 0.05) -> Model:
     """rows (sorted) and buckets (distinct in a row) are the terms, labels has one entry a row."""
     n, rng = len(labels), np.random.default_rng(7)
-    used, at = np.unique(buckets, return_inverse=True)
-    by_term = np.argsort(at, kind="stable")
-    of_term, row_of = np.searchsorted(at[by_term], np.arange(len(used))), rows[by_term]
-    of_row, count = np.searchsorted(rows, np.arange(n)), np.bincount(rows, minlength=n)
+    held = np.bincount(buckets, minlength=N_BUCKETS)
+    used = np.flatnonzero(held)
+    slot = np.zeros(N_BUCKETS, np.int32)
+    slot[used] = np.arange(1, len(used) + 1)
+    at = slot[buckets] - 1
+    of_term, row_of = np.cumsum(held[used]) - held[used], rows[np.argsort(at, kind="stable")].astype(np.int32)
+    count = np.bincount(rows, minlength=n)
+    of_row = np.cumsum(count) - count
+    del rows, buckets
     bare, none = count == 0, np.zeros(len(used), bool)
     back = rng.random(n) < HELD_BACK if n >= 100 else np.zeros(n, bool)
     taught, share = ~back, 0.5 / np.maximum(count, 1)
@@ -135,9 +142,11 @@ def _fit(rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray, rate: float
     judged = back if back.any() else taught
     best, since, found = losses(linear)[judged].mean(), 0, np.zeros((FACTORS, len(used)))
     for _ in range(STEPS):
-        own = [v[at] for v in vectors]
-        sums = [_sums(v, of_row, bare) for v in own]
-        z = linear + share * (sum(s * s for s in sums) - _sums(sum(v * v for v in own), of_row, bare))
+        sums, z = [], linear.copy()
+        for v in vectors:
+            own = v[at]
+            sums.append(_sums(own, of_row, bare))
+            z += share * (sums[-1] * sums[-1] - _sums(own * own, of_row, bare))
         loss = losses(z)[judged].mean()
         if loss < best - 1e-5:
             best, since, found = loss, 0, vectors
@@ -148,8 +157,6 @@ def _fit(rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray, rate: float
         gradient = np.stack([_sums((error * s)[row_of], of_term, none) - alone * v for s, v in zip(sums, vectors)])
         seen = seen + gradient * gradient
         vectors = vectors - rate * gradient / np.sqrt(seen)
-    slot = np.zeros(N_BUCKETS, np.int32)
-    slot[used] = np.arange(1, len(used) + 1)
     return Model(slot, np.concatenate(([0.0], weight)), np.vstack((np.zeros((1, FACTORS)), found.T)), float(bias))
 
 
@@ -175,12 +182,12 @@ def fit(docs: DataFrame, labelled: DataFrame, per_class: int = 4000) -> Model:
     ids = saved(ids, "toxicity-sample")  # at most 2 * per_class rows
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text")
     sample = saved(sample.mapInArrow(_term_lists, "doc_id long, label int, terms array<int>"), "toxicity-terms")
-    data = sample.select("label", "terms").orderBy("doc_id", "label", "terms").toArrow()
+    data = sample.select("label", "terms").orderBy("doc_id", "label", "terms").toArrow()  # at most 2 * per_class rows
     labels = np.asarray(data["label"], dtype=float)
     lists = data["terms"].combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    rows = np.repeat(np.arange(len(labels)), np.diff(np.asarray(lists.offsets)))
-    model = _fit(rows, np.asarray(lists.flatten()).astype(np.int64), labels)
+    rows = np.repeat(np.arange(len(labels), dtype=np.int32), np.diff(np.asarray(lists.offsets)))
+    model = _fit(rows, np.asarray(lists.flatten()), labels)
     n1 = labels.sum()
     model.bias += float(np.log(counts[1] / counts[0]) - np.log(max(n1, 1) / max(len(labels) - n1, 1)))
     return model
