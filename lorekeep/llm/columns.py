@@ -21,30 +21,6 @@ def text_key(text: str | Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def with_word_hashes(df: DataFrame, text: str | Column, name: str = "wh", lengths: str | None = None) -> DataFrame:
-    """df with an array of the hashes of its words, and of their lengths if asked for."""
-    if lengths is None:
-        return df.withColumn(name, F.transform(words(text), lambda w: F.xxhash64(w)))
-    held = df.withColumn("__words", words(text))
-    return held.withColumn(name, F.transform("__words", lambda w: F.xxhash64(w))).withColumn(lengths, F.transform("__words", F.length)).drop("__words")
-
-
-def shingles(hashes: str, size: int = 5) -> Column:
-    """Hashes of the runs of so many words; fewer words are one run, none are none. hashes must be a stored column."""
-    n = F.size(hashes)
-    runs = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*[F.get(F.col(hashes), i + k) for k in range(size)]))
-    return F.when(n >= size, runs).when(n > 0, F.array(F.xxhash64(F.lit(size), F.array_join(F.transform(hashes, lambda h: h.cast("string")), " ")))).otherwise(
-        F.array().cast("array<bigint>")
-    )
-
-
-def shingle_weights(lengths: str, size: int = 5) -> Column:
-    """Letters in each run of words, in the order of shingles()."""
-    n = F.size(lengths)
-    runs = F.transform(F.sequence(F.lit(0), n - size), lambda i: sum((F.get(F.col(lengths), i + k) for k in range(1, size)), F.get(F.col(lengths), i)))
-    return F.when(n >= size, runs).when(n > 0, F.array(F.aggregate(lengths, F.lit(0), lambda a, b: a + b))).otherwise(F.array().cast("array<int>"))
-
-
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """df marked for broadcast if it has at most so many rows (counted), else df as it is; df should be a saved table."""
     return F.broadcast(df) if df.count() <= rows else df

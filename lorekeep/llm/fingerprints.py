@@ -1,16 +1,19 @@
 """Document fingerprints by winnowing, and each text beside an edited one.
 
-Built-in Spark functions only. A text's k-grams are its runs of GRAM words; the
-hash of each is 40 bits of xxhash64. Of every WINDOW consecutive k-grams the
-least hash is chosen, the rightmost among equal ones; chosen k-grams keep their
-position (their first word). So any run of GRAM + WINDOW - 1 words that two
-texts share gives both the same chosen hash, wherever it stands. A chosen
-k-gram is one number, hash x 2**23 - position, so the least number of a window
-is the rightmost least hash.
+Built-in Spark functions only. A text's k-grams are its runs of GRAM code
+points. Their rolling hash is a polynomial modulo PRIME over numbers of the code
+points; that of a run twice as long is made of the two halves' hashes, so three
+passes over the text give all runs of eight. Of every WINDOW consecutive k-grams
+the least (mixed) hash is chosen, the rightmost among equal ones, again by
+passes that double the width; chosen k-grams keep their position. So any run of
+GRAM + WINDOW - 1 code points that two texts share gives both the same chosen
+hash, wherever it stands. A chosen k-gram is one number, hash x 2**31 -
+position, so the least number of a window is the rightmost least hash, and any
+position that an array can have fits.
 
 Likeness of two fingerprints: common distinct hashes over all distinct hashes;
 1 if both are empty. Defined cases: null counts as empty; a text of fewer than
-GRAM words is one k-gram, one without words has an empty fingerprint; fewer
+GRAM code points is one k-gram, an empty one has an empty fingerprint; fewer
 k-grams than WINDOW are one window; rows that repeat are each fingerprinted.
 Extra columns are ignored.
 """
@@ -20,30 +23,55 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .columns import shingles, with_word_hashes
+#: Both are powers of two.
+GRAM, WINDOW = 8, 16
+PRIME, BASE = (1 << 31) - 1, 1_000_003
+POSITIONS = 1 << 31
 
-GRAM, WINDOW = 5, 8
-POSITIONS = 1 << 23
+
+def _long(x: int) -> Column:
+    return F.lit(x).cast("bigint")
+
+
+def _pairs(values: str, apart: int, join) -> Column:
+    """join(x, y) of every value and the one so many places behind it."""
+    n = F.size(values) - apart
+    return F.zip_with(F.slice(values, 1, F.greatest(n, F.lit(0))), F.slice(values, 1 + apart, F.greatest(n, F.lit(0))), join)
+
+
+def _rolled(width: int):
+    """The hash of a run from those of its two halves of so many code points."""
+    power = _long(pow(BASE, width, PRIME))
+    return lambda x, y: (x * power + y) % _long(PRIME)
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df with `name`: the chosen k-grams of text in order, each hash x 2**23 - position."""
-    held = with_word_hashes(df, text, "__wh").withColumn("__g", shingles("__wh", GRAM))
-    low = F.lit((1 << 40) - 1).cast("bigint")
-    held = held.withColumn("__p", F.transform("__g", lambda h, i: h.bitwiseAND(low) * POSITIONS - i))
-    n = F.size("__p")
-    least = F.transform(F.sequence(F.lit(1), F.greatest(n - WINDOW + 1, F.lit(1))), lambda i: F.array_min(F.slice("__p", i, WINDOW)))
-    return held.withColumn(name, F.when(n > 0, F.array_distinct(least)).otherwise(F.array().cast("array<bigint>"))).drop("__wh", "__g", "__p")
+    """df with `name`: the chosen k-grams of text in order, each hash x 2**31 - position."""
+    chars, none = F.length(text), F.array().cast("array<bigint>")
+    held = df.withColumn("n", F.when(chars > 0, F.greatest(chars - (GRAM - 1), F.lit(1))).otherwise(0))
+    whole, full = chars >= GRAM, F.col("n") >= WINDOW
+    codes = F.transform(F.split(text, ""), lambda c: F.pmod(F.xxhash64(c), _long(PRIME)))
+    held = held.withColumn("h", F.when(whole, codes).when(chars > 0, F.array(F.xxhash64(text))).otherwise(none))
+    width = 1
+    while width < GRAM:
+        held = held.withColumn("h", F.when(whole, _pairs("h", width, _rolled(width))).otherwise(F.col("h")))
+        width *= 2
+    held = held.withColumn("h", F.transform("h", lambda h, i: F.shiftrightunsigned(F.xxhash64(h), 32) * _long(POSITIONS) - i))
+    width = 1
+    while width < WINDOW:
+        held = held.withColumn("h", F.when(full, _pairs("h", width, lambda x, y: F.least(x, y))).otherwise(F.col("h")))
+        width *= 2
+    return held.withColumn(name, F.when(full, F.array_distinct("h")).when(F.col("n") > 0, F.array(F.array_min("h"))).otherwise(none)).drop("h", "n")
 
 
 def hashes(name: str) -> Column:
     """The hashes of a fingerprint column, in order."""
-    return F.transform(name, lambda p: F.shiftright(p + (POSITIONS - 1), 23))
+    return F.transform(name, lambda p: F.shiftrightunsigned(p + _long(POSITIONS - 1), 31))
 
 
 def positions(name: str) -> Column:
-    """The first word of each chosen k-gram."""
-    return F.transform(name, lambda p: (F.shiftright(p + (POSITIONS - 1), 23) * POSITIONS - p).cast("int"))
+    """The first code point of each chosen k-gram."""
+    return F.transform(name, lambda p: (F.shiftleft(F.shiftrightunsigned(p + _long(POSITIONS - 1), 31), 31) - p).cast("int"))
 
 
 def likeness(a: str, b: str) -> Column:
@@ -57,22 +85,36 @@ def printed(name: str) -> Column:
     return F.array_join(F.transform(name, lambda h: F.lower(F.hex(h))), " ")
 
 
+def _place(heads: list[int], of: Column) -> Column:
+    """How many of the descending heads are at least `of`, less one: looked up in blocks, then in one of them."""
+    size = max(1, round(len(heads) ** 0.5))
+    blocks = [heads[k : k + size] for k in range(0, len(heads), size)]
+
+    def array(values: list[int]) -> Column:
+        return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+    coarse = F.greatest(F.size(F.filter(array([b[0] for b in blocks]), lambda h: h >= of)), F.lit(1))
+    block = F.split(F.element_at(F.split(F.lit(";".join(",".join(map(str, b)) for b in blocks)), ";"), coarse), ",").cast("array<bigint>")
+    return (coarse - 1) * size + F.size(F.filter(block, lambda h: h >= of)) - 1
+
+
 def beside_next(docs: DataFrame, text: str = "text", ranges: int | None = None) -> DataFrame:
     """(doc_id, text, ..., own): every row once, and the first rows of each id range once more (own: false) in the range
     before it, so that a window over `range` ordered by descending doc_id sees every row's successor.
 
-    Ranges are cut at quantiles of doc_id; they are as many as shuffle partitions, so that no task holds all rows.
+    Ranges are cut at quantiles of doc_id, eight for each shuffle partition, so that partitions hold about equally much.
     """
-    ranges = ranges or min(2000, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = ranges or 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select("doc_id")
     cut = ids.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges + 1)], 20 * ranges).alias("q"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")).first()
     heads = sorted(set(cut["q"] or []), reverse=True)  # greatest id of each range; nulls are the last range
     n = len(heads)
-    bounds = F.array(*[F.lit(h).cast("bigint") for h in heads]) if heads else F.array().cast("array<bigint>")
-    own = F.when(F.col("doc_id").isNull(), F.lit(n)).otherwise(F.size(F.filter(bounds, lambda h: h >= F.col("doc_id"))) - 1)
+    own = F.when(F.col("doc_id").isNull(), F.lit(n)).otherwise(_place(heads, F.col("doc_id")) if heads else F.lit(0))
     body = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"), own.cast("int").alias("range"))
     last = n if cut["nulls"] else max(n - 1, 0)
-    first = F.when(F.col("doc_id").isNull(), F.lit(cut["nulls"] > 0)).otherwise(F.array_contains(bounds, F.col("doc_id")))
+    # the rows of a range's greatest id are the ones that the range before it needs to see
+    head = F.element_at(F.split(F.lit(",".join(map(str, [*heads, 0]))), ",").cast("array<bigint>"), F.col("range") + 1)
+    first = F.when(F.col("doc_id").isNull(), F.lit(cut["nulls"] > 0)).otherwise(F.col("doc_id") == head)
     before = F.when(F.col("range") == 0, F.lit(last + 1)).otherwise(F.col("range")) - 1
     places = F.when(first, F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("turn")), F.struct(before.cast("int").alias("range"), F.when(F.col("range") == 0, 2).otherwise(1).alias("turn")))).otherwise(
         F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("turn")))
@@ -81,17 +123,18 @@ def beside_next(docs: DataFrame, text: str = "text", ranges: int | None = None)
 
 
 def op7_fingerprints(docs: DataFrame) -> DataFrame:
-    """One row per document, with its fingerprint, that of its edited text, and their likenesses."""
+    """One row per document: its fingerprint and that of its edited text (hashes in hex), the positions of their k-grams
+    (first code points), and the likenesses."""
     rows = beside_next(docs)
     # turn 1 and 2: rows of the next range, seen last; a range of one id only has no other order to rely on
     order = Window.partitionBy("range").orderBy("turn", F.desc_nulls_last("doc_id"), "text")
     rows = rows.withColumn("next", F.lead("text").over(order))
-    rows = with_fingerprint(rows, "text", "__f").withColumn("f", hashes("__f")).drop("__f")
+    rows = with_fingerprint(rows, "text", "chosen").withColumn("f", hashes("chosen"))
     rows = rows.withColumn("f_next", F.lead("f").over(order)).where("turn = 0")
     rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("half", F.floor(F.col("n_chars") / 2).cast("int"))
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.col("half")).cast("int")), F.substring("next", F.lit(1), F.col("half")))
     rows = rows.withColumn("edited", edited).drop("text", "next", "half")
-    rows = with_fingerprint(rows, "edited", "__f").withColumn("e", hashes("__f"))
+    rows = with_fingerprint(rows, "edited", "edited_chosen").withColumn("e", hashes("edited_chosen"))
     return rows.select(
         "doc_id",
         "n_chars",
@@ -100,4 +143,6 @@ def op7_fingerprints(docs: DataFrame) -> DataFrame:
         printed("e").alias("edited_fingerprint"),
         likeness("f", "e").alias("near_edited"),
         likeness("f", "f_next").alias("near_next"),
+        positions("chosen").alias("positions"),
+        positions("edited_chosen").alias("edited_positions"),
     )

@@ -292,15 +292,37 @@ def brute_fingerprint(hashes, window):
 
 def test_winnowing_equals_brute_force(spark):
     rng = random.Random(3)
-    texts = [(i, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 60)))) for i in range(40)]
-    held = fingerprints.with_word_hashes(spark.createDataFrame(texts, "doc_id long, text string"), "text", "wh")
-    held = held.withColumn("g", fingerprints.shingles("wh", fingerprints.GRAM))
-    held = fingerprints.with_fingerprint(held, "text", "f").select("g", fingerprints.positions("f").alias("p"), fingerprints.hashes("f").alias("h"))
-    for r in held.collect():
-        hashes = [g & ((1 << 40) - 1) for g in r.g]
+    texts = [(i, "".join(rng.choice("ab \u00e9\U0001f600") for _ in range(n))) for i, n in enumerate([*range(0, 30), 60, 200])]
+    held = fingerprints.with_fingerprint(spark.createDataFrame(texts, "doc_id long, text string"), "text", "f")
+    held = held.select("text", fingerprints.positions("f").alias("p"), fingerprints.hashes("f").alias("h")).collect()
+    known = {}  # equal grams have equal hashes, wherever they stand
+    for r in held:
+        for p, h in zip(r.p, r.h):
+            assert known.setdefault(r.text[p : p + fingerprints.GRAM] if len(r.text) >= fingerprints.GRAM else r.text, h) == h
+    grams = {g: None for r in held for g in (r.text[i : i + fingerprints.GRAM] for i in range(max(1, len(r.text) - fingerprints.GRAM + 1))) if g}
+    alone = fingerprints.with_fingerprint(spark.createDataFrame([(g,) for g in grams], "text string"), "text", "f").select("text", fingerprints.hashes("f").alias("h"))
+    grams = {r.text: r.h[0] for r in alone.collect()}
+    for r in held:
+        hashes = [grams[r.text[i : i + fingerprints.GRAM]] for i in range(max(1, len(r.text) - fingerprints.GRAM + 1))] if r.text else []
         assert list(r.p) == brute_fingerprint(hashes, fingerprints.WINDOW) and [hashes[p] for p in r.p] == list(r.h)
 
 
+def test_match_guarantee(spark):
+    """Any shared run of GRAM + WINDOW - 1 code points gives a shared hash, at places as far apart as the runs."""
+    rng, need = random.Random(8), fingerprints.GRAM + fingerprints.WINDOW - 1
+    rows, at = [], {}
+    for i in range(40):
+        shared = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(need))
+        a, b = ("".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(rng.randrange(90))) for _ in range(2))
+        rows += [(2 * i, a + shared + b), (2 * i + 1, b + shared + a)]
+        at[2 * i], at[2 * i + 1] = len(a), len(b)
+    held = fingerprints.with_fingerprint(spark.createDataFrame(rows, "doc_id long, text string"), "text", "f")
+    got = {r.doc_id: dict(zip(r.h, r.p)) for r in held.select("doc_id", fingerprints.positions("f").alias("p"), fingerprints.hashes("f").alias("h")).collect()}
+    for i in range(40):
+        x, y = got[2 * i], got[2 * i + 1]
+        assert any(x[h] - at[2 * i] == y[h] - at[2 * i + 1] >= 0 for h in set(x) & set(y))
+
+
 def test_edited_texts(spark, docs, edges):
     for rows in (docs, edges):
         given_rows = sorted(((r.doc_id, r.text or "") for r in rows.collect()), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
@@ -312,6 +334,7 @@ def test_edited_texts(spark, docs, edges):
         got = fingerprints.op7_fingerprints(rows).collect()
         assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=repr) == sorted(want, key=repr)
         assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+        assert all(len(r.positions) == len(r.fingerprint.split()) and len(r.edited_positions) == len(r.edited_fingerprint.split()) for r in got)
     assert fingerprints.op7_fingerprints(edges.limit(0)).count() == 0
 
 
