@@ -1,7 +1,8 @@
 r"""Chat formatting with built-in Spark expressions only.
 
-A conversation's rows are collected as structs, sorted by turn, and adjacent
-turns of one role are merged into one block:
+A conversation's rows are collected as structs and sorted by turn; array
+functions then merge adjacent turns of one role into one block, and blocks are
+concatenated:
 
     <|im_start|>role\ntext<|turn|>text<|im_end|>\n<|im_start|>role\n...
 
@@ -21,7 +22,7 @@ are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, END, TURN = "<|im_start|>", "<|im_end|>", "<|turn|>"
@@ -43,28 +44,42 @@ def unescaped_role(role: Column) -> Column:
     return unescaped(F.replace(role, F.lit("<\\n"), F.lit("\n")))
 
 
+def merged(turns: str) -> Column:
+    """Blocks (role, texts) of the sorted turns: cut where the role differs from the one before."""
+    n, t = F.size(turns), F.col(turns)
+    heads = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(t, i - 1)["role"] != F.get(t, i)["role"]))
+    ends = F.concat(F.slice(heads, 2, n), F.array(n))
+    return F.zip_with(heads, ends, lambda i, j: F.struct(F.get(t, i)["role"].alias("role"), F.transform(F.slice(t, i + 1, j - i), lambda x: x["text"]).alias("texts")))
+
+
+def _with_spans(blocks: Column) -> Column:
+    """The loss spans of written blocks (learn, head, bodies): a fold that keeps the place in the formatted string."""
+    span = "struct<start:bigint,chars:int,piece:int,skip:int>"
+    none = F.array().cast(f"array<{span}>")
+
+    def of_block(at: Column, b: Column) -> Column:
+        start = F.struct((at["at"] + F.length(b["head"])).alias("at"), at["piece"].alias("piece"), F.length(b["head"]).alias("skip"), at["spans"].alias("spans"))
+
+        def of_text(a: Column, body: Column) -> Column:
+            own = F.struct(a["at"].alias("start"), F.length(body).alias("chars"), a["piece"].alias("piece"), a["skip"].alias("skip")).cast(span)
+            spans = F.when(b["learn"], F.concat(a["spans"], F.array(own))).otherwise(a["spans"])
+            return F.struct((a["at"] + F.length(body) + len(TURN)).alias("at"), (a["piece"] + 1).alias("piece"), F.lit(len(TURN)).alias("skip"), spans.alias("spans"))
+
+        done = F.aggregate(b["bodies"], start, of_text)
+        return F.struct((done["at"] - len(TURN) + len(END) + 1).alias("at"), (done["piece"] + 1).alias("piece"), done["spans"].alias("spans"))
+
+    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(0).alias("piece"), none.alias("spans"))
+    return F.aggregate(blocks, begin, of_block, lambda a: a["spans"])
+
+
 def formatted(conversations: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_blocks, text, loss), one row for each conversation."""
-    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = rows.withColumn("before", F.lag("role").over(order)).withColumn("nth", F.row_number().over(order))
-    opens = F.col("before").isNull() | (F.col("before") != F.col("role"))
-    head = F.when(~opens, TURN).otherwise(F.concat(F.when(F.col("nth") > 1, END + "\n").otherwise(""), F.lit(START), escaped_role(F.col("role")), F.lit("\n")))
-    cuts = F.when(opens & (F.col("nth") > 1), 2).otherwise(1)
-    rows = rows.select("conv_id", "nth", opens.alias("opens"), (F.col("role") == "assistant").alias("learn"), head.alias("head"), escaped(F.col("text")).alias("body"), cuts.alias("cuts"))
-    upto = Window.partitionBy("conv_id").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("end", F.sum(F.length("head") + F.length("body")).over(upto)).withColumn("piece", F.sum("cuts").over(upto) - 1)
-    skip = F.when(F.col("opens"), F.length("head") - F.when(F.col("nth") > 1, len(END) + 1).otherwise(0)).otherwise(len(TURN))
-    span = F.struct((F.col("end") - F.length("body")).alias("start"), F.length("body").alias("chars"), F.col("piece").cast("int").alias("piece"), skip.cast("int").alias("skip"))
-    turn = F.struct("nth", F.concat("head", "body").alias("part"), F.when(F.col("learn"), span).alias("span"))
-    held = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"), F.count("*").alias("n_turns"), F.sum(F.col("opens").cast("long")).alias("n_blocks"))
-    return held.select(
-        "conv_id",
-        "n_turns",
-        "n_blocks",
-        F.concat(F.array_join(F.transform("turns", lambda t: t["part"]), ""), F.lit(END + "\n")).alias("text"),
-        F.filter(F.transform("turns", lambda t: t["span"]), lambda s: s.isNotNull()).alias("loss"),
-    )
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    held = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns")).withColumn("blocks", merged("turns"))
+    head = F.transform("blocks", lambda b: F.struct((b["role"] == "assistant").alias("learn"), F.concat(F.lit(START), escaped_role(b["role"]), F.lit("\n")).alias("head"), F.transform(b["texts"], escaped).alias("bodies")))
+    held = held.select("conv_id", F.size("turns").cast("long").alias("n_turns"), head.alias("blocks"))
+    text = F.transform("blocks", lambda b: F.concat(b["head"], F.array_join(b["bodies"], TURN), F.lit(END + "\n")))
+    return held.select("conv_id", "n_turns", F.size("blocks").cast("long").alias("n_blocks"), F.array_join(text, "").alias("text"), _with_spans(F.col("blocks")).alias("loss"))
 
 
 def read_back(chats: DataFrame) -> DataFrame:

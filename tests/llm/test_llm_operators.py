@@ -241,6 +241,21 @@ def test_chat_equals_oracle(spark):
     assert compare.differences(spark, {"q": lambda s, d: chat.op5_chat(table(s, d, "conversations"))}, {"q": chat.ORACLE}, "q", SMALL) == ""
 
 
+def test_chat_of_odd_tables(spark):
+    """Empty tables, repeated rows, null ids and turns, equal turns, clashing names."""
+    rows = [(None, 1, "user", "a", "x"), (None, None, "user", "b", "x"), (2, 1, "assistant", "c", "x"), (2, 1, "assistant", "c", "x"), (2, 1, "assistant", None, "x"), (2, 0, "user", "d", "x"), (2, 3, "user", "", "x")]
+    given = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, blocks string")
+    got = {r.conv_id: r for r in chat.read_back(chat.formatted(given)).collect()}
+    assert [(t.role, t.text) for t in got[None].turns] == [("user", "b"), ("user", "a")] and got[None].n_blocks == 1
+    assert [(t.role, t.text) for t in got[2].turns] == [("user", "d"), ("assistant", ""), ("assistant", "c"), ("assistant", "c"), ("user", "")]
+    assert (got[2].n_turns, got[2].n_blocks, list(got[2].learnt)) == (5, 3, ["", "c", "c"])
+    assert [r.conv_id for r in chat.op5_chat(given.limit(0)).collect()] == [-1]
+    many = [(7, i, "assistant" if i % 3 else "user", f"text {i}") for i in range(3000)]
+    r = chat.read_back(chat.formatted(spark.createDataFrame(many, "conv_id long, turn long, role string, text string"))).first()
+    assert [(t.role, t.text) for t in r.turns] == [(role, text) for _, _, role, text in many]
+    assert list(r.learnt) == [text for _, _, role, text in many if role == "assistant"] and r.n_blocks == 2000
+
+
 URLS = [
     (1, "http://Example.COM/en/7?x", "example.com", "/en/7", "example.com/en/7", "allow"),
     (2, "https://a.b.com/en/9#t", "a.b.com", "/en/9", "com/en/", "block"),
