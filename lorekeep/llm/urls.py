@@ -6,9 +6,11 @@ into words by a unigram Viterbi: the split whose words have the largest product
 of probabilities. Word counts come from the text of all pages (tags removed) and
 stay in a table; each different host is joined with the counts of just those of
 its substrings that are words, and split once. An unseen word costs ever more
-with its length. A multinomial naive Bayes over the hashed words
-of host and path, counted over all pages, then decides; its classes are the
-pages that have one of the SEEDS among their words and the others.
+with its length. A multinomial naive Bayes over the hashed words of host and
+path, counted over all pages, then decides. As pages carry no labels, their
+content and names teach it: a page counts as one to block if its visible text
+holds SEEDS at least TOLD times, or one of them is a word of its host or path;
+what else such hosts and paths are made of then tells on other urls.
 
 Defined cases: a null url, or one without `://`, has empty host and path, no
 rule, and no words, so the more frequent class decides (allow, if none is);
@@ -39,7 +41,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
 
 # Words that mark a page to learn from as one to block.
-SEEDS = {"ads", "adserver", "betting", "casino", "malware", "phishing", "poker", "porn", "slots", "spam", "track", "tracker", "tracking", "viagra", "xxx"}
+SEEDS = {
+    "ads", "adserver", "adult", "bets", "betting", "bingo", "casino", "escort", "jackpot", "lottery", "malware", "nude", "phishing", "pills",
+    "poker", "porn", "sex", "slots", "spam", "track", "tracker", "tracking", "viagra", "warez", "xxx",
+}
+TOLD = 3
 
 BUCKETS = 1 << 16
 #: Letters that a part of a host name may have; longer runs of letters are split at least there.
@@ -103,10 +109,20 @@ def _bucket(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
+def visible(html: str = "html") -> Column:
+    """The lower-cased text of a page without scripts, styles, comments and tags."""
+    bare = F.regexp_replace(F.lower(F.coalesce(html, F.lit(""))), r"(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>", " ")
+    return F.regexp_replace(bare, r"<[^>]*>", " ")
+
+
+def told(html: str = "html") -> Column:
+    """Whether the visible text holds the seeds often enough."""
+    return F.regexp_count(visible(html), F.lit(r"(?<!\p{L})(?:" + "|".join(sorted(SEEDS)) + r")(?!\p{L})")) >= TOLD
+
+
 def word_counts(pages: DataFrame) -> DataFrame:
     """(word, n): the words of all pages. Seeds that they lack count once."""
-    text = F.regexp_replace(F.lower(F.coalesce("html", F.lit(""))), r"<[^>]*>", " ")
-    words = pages.select(F.explode(F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
+    words = pages.select(F.explode(F.regexp_extract_all(visible(), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     seeds = pages.sparkSession.createDataFrame([(w,) for w in sorted(SEEDS)], "word string").withColumn("n", F.lit(0).cast("long"))
     counted = words.groupBy("word").agg(F.count("*").alias("n")).unionByName(seeds)
     return saved(counted.groupBy("word").agg(F.greatest(F.sum("n"), F.lit(1).cast("long")).alias("n")), "url-words")
@@ -143,9 +159,9 @@ def host_words(urls: DataFrame, counts: DataFrame) -> DataFrame:
 def _class_counts(batches):
     seen: Counter = Counter()
     for batch in batches:
-        for host, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for host, path, by_text in zip(*(batch.column(k).to_pylist() for k in range(3))):
             words = _words(host, path)
-            label = int(any(w.lstrip("/") in SEEDS for w in words))
+            label = int(by_text or any(w.lstrip("/") in SEEDS for w in words))
             seen[(label, -1)] += 1
             seen.update((label, _bucket(w)) for w in words)
     keys = list(seen)
@@ -157,9 +173,9 @@ def op6_url_filter(pages: DataFrame, rules: dict[str, str] | None = None) -> Dat
     rules = rules if rules is not None else RULES
     spark = pages.sparkSession
     host, path = host_and_path("url")
-    urls = pages.select("page_id", host.alias("host"), path.alias("path"))
+    urls = pages.select("page_id", host.alias("host"), path.alias("path"), told().alias("told"))
     urls = urls.join(bounded(host_words(urls, word_counts(pages)), BROADCAST_ROWS), "host")
-    rows = urls.select("words", "path").mapInArrow(_class_counts, "label int, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect()
+    rows = urls.select("words", "path", "told").mapInArrow(_class_counts, "label int, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect()
     counts, pages_of = np.zeros((2, BUCKETS)), [0, 0]
     for r in rows:  # at most two rows a bucket
         if r["bucket"] < 0:

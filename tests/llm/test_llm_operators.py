@@ -220,6 +220,33 @@ def test_languages_of_held_out(docs, edges, no_docs):
     assert languages.op4_language(no_docs).count() == 0
 
 
+def test_language_of_the_nearest_centroid(spark):
+    """Predictions against cosines by hand; two languages with the same texts tie, and the first by name wins."""
+    import numpy as np
+
+    rng = random.Random(12)
+    kinds = {"aa": "bcdf", "bb": "xyzw", "cc": "bcdf"}
+    pool = [" ".join("".join(rng.choice(kinds["aa"]) for _ in range(4)) for _ in range(20)) for _ in range(40)]
+    rows = [(3 * i + k, pool[i] if lang != "bb" else " ".join("".join(rng.choice("xyzw") for _ in range(4)) for _ in range(20)), lang) for i in range(40) for k, lang in enumerate(kinds)]
+    rows += [(1000 + i, t, None) for i, t in enumerate(["bcd fbc", "xyz", "", "123", None, "é"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = languages.fit(docs)
+    got = {r.doc_id: r for r in languages.predict(docs, model).collect()}
+    for i, text, _ in rows:
+        if text is None or not any(map(str.isalpha, text)):
+            assert (got[i].lang_pred, got[i].score, got[i].rejected) == ("und", 0.0, True)
+            continue
+        grams = f" {text.lower()} ".encode()
+        counts = np.zeros(languages.DIMS)
+        for k in range(len(grams) - 2):
+            gram = grams[k] << 16 | grams[k + 1] << 8 | grams[k + 2]
+            counts[(gram * 2654435761 & 0xFFFFFFFF) >> 20] += 1
+        v = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * model.idf
+        near = model.centres @ (v / max(np.linalg.norm(v), 1e-12))
+        assert got[i].lang_pred == model.langs[int(np.argmax(near))] and abs(got[i].score - min(max(near.max(), 0), 1)) < 1e-9
+    assert {got[3 * i + k].lang_pred for i in range(40) for k in (0, 2)} <= {"aa", "cc"} and all(got[3 * i + 1].lang_pred == "bb" for i in range(40))
+
+
 @given(st.text(), st.text())
 @settings(max_examples=5, deadline=None)
 def test_chat_escape_is_reversible(spark, text, role):
@@ -293,6 +320,42 @@ def test_url_words_of_a_large_vocabulary(spark):
     assert len(got) == 100 and all(got[f"{rare[i]}{rare[i + 1]}.org"][:2] == rare[i : i + 2] for i in range(100))
 
 
+def test_url_scores_equal_brute_force(spark):
+    """Multinomial naive Bayes by hand over the same words; pages whose content tells teach it, also for others' urls."""
+    import math
+
+    bad = "<p>casino news: casino, casino and bets</p><script>casino casino casino</script>"
+    rows = [(i, f"http://{'junk' if i % 4 == 0 else 'mill'}corner.org/{'offer' if i % 4 == 0 else 'news'}/{i}", bad if i % 8 == 0 else "<p>mill corner junk river</p><script>casino casino casino</script>") for i in range(64)]
+    rows += [(100, None, None), (101, "http://junkcorner.org/offer/1", "<p>mill</p>"), (101, "http://junkcorner.org/offer/1", "<p>mill</p>"), (102, "http://poker.org/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = urls.op6_url_filter(pages, {}).collect()
+
+    def words(url):
+        if not url:
+            return []
+        host, _, path = url.split("://")[1].partition("/")
+        split = {"junkcorner.org": ["junk", "corner"], "millcorner.org": ["mill", "corner"], "poker.org": ["poker"]}[host]
+        return [*split, "org"] + ["/" + ("0" if w.isdigit() else w) for w in path.split("/") if w]
+
+    counts, pages_of = ({}, {}), [0, 0]
+    for _, url, html in rows:
+        own = words(url)
+        label = int(html == bad or "poker" in own)
+        pages_of[label] += 1
+        for w in own:
+            counts[label][w] = counts[label].get(w, 0) + 1
+    split = {tuple(r.words) for r in urls.host_words(pages.select(urls.host_and_path("url")[0].alias("host")), urls.word_counts(pages)).collect()}
+    assert split == {("junk", "corner", "org"), ("mill", "corner", "org"), ("poker", "org"), ()}
+    every = set(counts[0]) | set(counts[1])
+    sums = [sum(c.get(w, 0) + 0.1 for w in every) for c in counts]
+    for r in got:
+        url = next(u for i, u, _ in rows if i == r.page_id)
+        want = math.log((pages_of[1] + 0.5) / (pages_of[0] + 0.5)) + sum(math.log((counts[1].get(w, 0) + 0.1) / sums[1]) - math.log((counts[0].get(w, 0) + 0.1) / sums[0]) for w in words(url))
+        assert abs(r.score - want) < 1e-6
+    verdicts = {r.page_id: r.verdict for r in got}
+    assert verdicts[101] == "block" and verdicts[4] == "block" and verdicts[1] == "allow" and verdicts[100] == "allow" and len(got) == len(rows)
+
+
 def brute_fingerprint(hashes, window):
     n = max(1, len(hashes) - window + 1)
     out = []
