@@ -33,6 +33,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DIMS, CLUSTERS = 4096, 4
 ROWS_AT_ONCE = 256
+SALTS = 32
 
 
 def gram_counts(texts: list[str]) -> np.ndarray:
@@ -46,6 +47,7 @@ def gram_counts(texts: list[str]) -> np.ndarray:
     bucket = ((gram * np.uint32(2654435761)) >> np.uint32(20)).astype(np.int64)
     row = np.searchsorted(ends, np.arange(len(gram)) + 1, side="right")
     inside = row < len(texts)
+    inside[ends[ends <= len(gram)] - 1] = False  # grams from the end of one text into the next
     return np.bincount(row[inside] * DIMS + bucket[inside], minlength=len(texts) * DIMS).reshape(len(texts), DIMS)
 
 
@@ -126,8 +128,12 @@ def fit(docs: DataFrame, per_language: int = 400, clusters: int = CLUSTERS) -> M
     idf = np.zeros(DIMS)
     for r in df:
         idf[r["dim"]] = np.log((1 + r["n"]) / (1 + r["df"])) + 0.1
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = learn.select("doc_id", "lang").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= per_language)
+    # the first by hash in each of SALTS parts of a language, then the first of these: no task holds a whole language
+    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
+    ids = learn.select("doc_id", "lang", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(SALTS)).alias("salt"))
+    for parts in (["lang", "salt"], ["lang"]):
+        first = Window.partitionBy(*parts).orderBy(*by_hash)
+        ids = ids.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= per_language)
     ids = saved(ids.select("doc_id", F.col("lang").alias("__lang")), "lang-sample")  # bounded: per_language rows a language
     sample = learn.join(F.broadcast(ids), "doc_id").where(F.col("lang") == F.col("__lang")).select("doc_id", "lang", "text")
     rows = sample.groupBy("lang").applyInPandas(_centroids(idf, clusters), "lang string, centre array<double>, least double, n long")
