@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's docs.
+
+Defined cases, for every stage: an empty table gives an empty table; null and
+empty texts are not toxic unless the label's share alone says so, are copies of
+each other (one stays), hold no benchmark item, have no tokens and are drawn by
+their rate, and are sharded like others; rows that repeat are one document from
+near_dedup on, which mix may draw again; null ids are ids of their own; columns
+may have any names.
 """
 
 from __future__ import annotations
@@ -30,13 +37,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document comes as often as its rate says; good documents all stay. All columns stay."""
+    """Each document comes as often as its rate says (a fraction by a hash), at most mixing.MOST times; all columns stay."""
     return mixing.mixed(docs, table(spark, sf_dir, "labels"), MIX, "good")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot of every row: counts of the shards differ by at most one."""
-    return sharding.shards(docs)
+    """All rows and columns, and size, text_crc32, shard and slot: counts of the shards differ by at most one."""
+    return sharding.with_shards(docs)
 
 
 #: Target shares of the tokens after toxic documents have gone.

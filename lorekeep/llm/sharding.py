@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import saved
+from .columns import whole_rows
 
 SHARDS = 40
 #: Rounds in a row without a move that end the propagation, beside two for each size that asks.
@@ -196,12 +197,13 @@ def propagate(groups: DataFrame, quotas: list[int], most_rounds: int = MOST_ROUN
 
 
 def shards(docs: DataFrame, n_shards: int = SHARDS, text: str = "text") -> DataFrame:
-    """For each row of docs: doc_id, size, text_crc32, shard and slot."""
+    """For each row of docs: doc_id, size, text_crc32, shard, slot, and row_key and copy, which tell rows apart: a hash of
+    doc_id and text, and a number from 1 among rows that repeat."""
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = docs.select("doc_id", (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.md5(body).alias("g"))
     # one row for each different (doc_id, text); rows that repeat are counted and told apart by `copy`
     rows = rows.groupBy("doc_id", "size", "text_crc32", "g").agg(F.count("*").alias("__times")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).drop("__times")
-    rows = saved(rows.withColumn("rid", F.xxhash64("doc_id", "g", "copy")), "shard-rows")
+    rows = saved(rows.withColumn("row_key", _row_key("doc_id", "g")).withColumn("rid", F.xxhash64("row_key", "copy")), "shard-rows")
     counts = rows.groupBy("g").agg(F.count("*").alias("of_group"))
     total = rows.count()
     quotas = [total // n_shards + (k < total % n_shards) for k in range(n_shards)]
@@ -216,7 +218,7 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, text: str = "text") -> DataF
     spans = kept.withColumn("upto", F.sum("n").over(spans)).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("upto", "label"))).alias("spans"))
     placed = _ranked(linked, ["g"], [F.col("doc_id"), F.col("copy")], "rank").join(spans, "g", "left")
     home = F.try_element_at(F.filter(F.coalesce("spans", F.array().cast("array<struct<upto:bigint,label:int>>")), lambda s: F.col("rank") < s["upto"]), F.lit(1))
-    columns = ["doc_id", "size", "text_crc32", "rid", "copy"]
+    columns = ["doc_id", "size", "text_crc32", "row_key", "rid", "copy"]
     placed = saved(placed.withColumn("label", home["label"]).select(*columns, "label"), "shard-placed")
     load = {r["label"]: r["n"] for r in placed.where("label is not null").groupBy("label").agg(F.count("*").alias("n")).collect()}
     fill = rows.join(counts.where("of_group = 1"), "g", "left_semi").select(*columns).unionByName(placed.where("label is null").select(*columns))
@@ -228,7 +230,22 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, text: str = "text") -> DataF
     filled = fill.withColumn("label", F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in edges]), lambda e: e <= F.col("rank"))))
     every = placed.where("label is not null").unionByName(filled.select(*columns, "label"))
     every = _ranked(saved(every, "shard-all"), ["label"], [F.col("doc_id"), F.col("rid"), F.col("copy")], "slot", 1024)
-    return every.select("doc_id", "size", "text_crc32", F.col("label").cast("int").alias("shard"), "slot")
+    return every.select("doc_id", "size", "text_crc32", F.col("label").cast("int").alias("shard"), "slot", "row_key", "copy")
+
+
+def _row_key(doc_id: str, g: str) -> Column:
+    return F.xxhash64(doc_id, g)
+
+
+def with_shards(docs: DataFrame, n_shards: int = SHARDS, text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, with size, text_crc32, shard and slot (in place of columns of these names). The
+    texts are shuffled once: rows that repeat are numbered where they meet their places."""
+    own = ["size", "text_crc32", "shard", "slot"]
+    places = shards(docs, n_shards, text).groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("copy", *own))).alias("places"))
+    rows = whole_rows(docs).withColumn("g", F.md5(F.coalesce(F.col(f"row.`{text}`"), F.lit("")).cast("binary"))).withColumn("row_key", _row_key("row.doc_id", "g")).drop("g")
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("row_key").orderBy("row_key")))
+    rows = rows.join(places.hint("shuffle_hash"), "row_key").withColumn("place", F.get("places", F.col("copy") - 1))
+    return rows.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in own], *[F.col(f"place.{c}") for c in own])
 
 
 def op9_sharding(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
