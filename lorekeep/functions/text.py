@@ -164,3 +164,14 @@ def safe_name(x: str | Column) -> Column:
 
 def title_of(x: str | Column) -> Column:
     return F.regexp_replace(F.get(F.split(_col(x), "\n"), 0), r"^[# ]+", "")
+
+
+def chapter_slug(x: str | Column) -> Column:
+    """Lower-cased, accents kept, runs of other characters as one dash, cut to 40."""
+    s = F.regexp_replace(F.lower(_col(x)), r"[^\p{L}\p{N}_]+", "-")
+    return F.substring(F.regexp_replace(s, "^-+|-+$", ""), 1, 40)
+
+
+def chapter_number(name: str | Column) -> Column:
+    """All digits of a name, joined, as a number; null without any."""
+    return F.try_to_number(F.nullif(F.regexp_replace(_col(name), r"[^0-9]", ""), F.lit("")), F.lit("9" * 18)).cast("bigint")

@@ -2,56 +2,137 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import BIGRAM_WEIGHT, FOLDED_STOPWORDS, HASH_DIMS, INDEX_SEED, SIGN_SEED, STOP_WEIGHT, TRIGRAM_WEIGHT, WORD_WEIGHT, fnv1a, tokens
+from ..functions.text import BIGRAM_WEIGHT, FNV_OFFSET, FNV_PRIME, FOLDED_STOPWORDS, HASH_DIMS, INDEX_SEED, SIGN_SEED, STOP_WEIGHT, TRIGRAM_WEIGHT, WORD_WEIGHT, tokens
+from ..session import bounded
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-def features(units: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """(key..., feature, weight): weight summed over a unit's words, trigrams of its other words, and word pairs."""
-    stop = F.array(*[F.lit(w) for w in FOLDED_STOPWORDS])
-    held = units.select(*key, tokens(text).alias("t"))
-    word = F.transform("t", lambda w: F.struct(F.concat(F.lit("w:"), w).alias("feature"), F.when(F.array_contains(stop, w), STOP_WEIGHT).otherwise(WORD_WEIGHT).alias("weight")))
+#: Tokens that one vectorised step handles (one longer text is handled alone).
+STEP_TOKENS = 200_000
+#: A broadcast side is counted first and holds at most so many rows.
+BROADCAST_ROWS = 200_000
+
+
+class _Words:
+    """The code points of distinct words as a matrix, for hashes of many words at once."""
+
+    def __init__(self, words: list[str]):
+        self.length = np.array([len(w) for w in words], dtype=np.int64)
+        flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32) & np.uint32(0xFF)
+        self.start = np.concatenate(([0], np.cumsum(self.length)))[:-1]
+        self.bytes = np.append(flat, np.uint32(0))
+
+    def after(self, state: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The FNV-1a states after these words' characters."""
+        state = state.copy()
+        for k in range(int(self.length[words].max(initial=0))):
+            on = self.length[words] > k
+            state[on] = (state[on] ^ self.bytes[self.start[words[on]] + k]) * np.uint32(FNV_PRIME)
+        return state
+
+
+def _started(prefix: str, seed: int) -> np.uint32:
+    state = FNV_OFFSET ^ seed
+    for c in prefix:
+        state = ((state ^ (ord(c) & 0xFF)) * FNV_PRIME) & 0xFFFFFFFF
+    return np.uint32(state)
 
-    def grams(w):
-        edged = F.concat(F.lit("^"), w, F.lit("$"))
-        return F.transform(F.sequence(F.lit(1), F.length(edged) - 2), lambda i: F.struct(F.concat(F.lit("c:"), F.substring(edged, i, F.lit(3))).alias("feature"), F.lit(TRIGRAM_WEIGHT).alias("weight")))
 
-    tri = F.flatten(F.transform(F.filter("t", lambda w: ~F.array_contains(stop, w)), grams))
-    none = F.array().cast("array<struct<feature:string,weight:double>>")
-    pairs = F.when(F.size("t") > 1, F.transform(F.sequence(F.lit(0), F.size("t") - 2), lambda i: F.struct(F.concat(F.lit("b:"), F.get("t", i), F.lit("_"), F.get("t", i + 1)).alias("feature"), F.lit(BIGRAM_WEIGHT).alias("weight")))).otherwise(none)
-    rows = held.select(*key, F.explode(F.concat(word, tri, pairs)).alias("f"))
-    return rows.groupBy(*key, F.col("f.feature").alias("feature")).agg(F.sum("f.weight").alias("weight"))
+def _hashed(words: _Words, prefix: str, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(dimension seed's hash, sign) of prefix + word."""
+    first, second = (words.after(np.full(len(of), _started(prefix, seed), dtype=np.uint32), of) for seed in (INDEX_SEED, SIGN_SEED))
+    return first, np.where(second % 2 == 1, 1.0, -1.0)
+
+
+def _vectors(dims: int):
+    stop = set(FOLDED_STOPWORDS)
+
+    def of(lists: pa.Array) -> np.ndarray:
+        """One dense row for each list of tokens."""
+        n, offsets = len(lists), np.asarray(lists.offsets)
+        row = np.repeat(np.arange(n), np.diff(offsets))
+        coded = lists.flatten().dictionary_encode()
+        index, names = np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_pylist()
+        out = np.zeros(n * dims)
+        if not len(index):
+            return out.reshape(n, dims)
+        words, common = _Words(names), np.array([w in stop for w in names])
+        dim, sign = _hashed(words, "w:", np.arange(len(names)))
+        out += np.bincount(row * dims + (dim % dims)[index], sign[index] * np.where(common, STOP_WEIGHT, WORD_WEIGHT)[index], n * dims)
+        grams, owner = [], []
+        for i, w in enumerate(names):
+            if not common[i]:
+                edged = f"^{w}$"
+                grams += [edged[k : k + 3] for k in range(len(edged) - 2)]
+                owner.append(len(edged) - 2)
+            else:
+                owner.append(0)
+        if grams:
+            dim, sign = _hashed(_Words(grams), "c:", np.arange(len(grams)))
+            owner, first = np.array(owner), np.concatenate(([0], np.cumsum(owner)))
+            for k in range(owner.max()):  # the k-th gram of each token's word
+                on = owner[index] > k
+                at = first[index[on]] + k
+                out += np.bincount(row[on] * dims + (dim % dims)[at], sign[at] * TRIGRAM_WEIGHT, n * dims)
+        next_to = np.flatnonzero(row[1:] == row[:-1])
+        if len(next_to):
+            pair, which = np.unique(index[next_to] * len(names) + index[next_to + 1], return_inverse=True)
+            left, right = pair // len(names), pair % len(names)
+            states = []
+            for seed in (INDEX_SEED, SIGN_SEED):
+                state = words.after(np.full(len(pair), _started("b:", seed), dtype=np.uint32), left)
+                states.append(words.after((state ^ np.uint32(ord("_"))) * np.uint32(FNV_PRIME), right))
+            out += np.bincount(row[next_to] * dims + (states[0] % dims)[which], np.where(states[1] % 2 == 1, 1.0, -1.0)[which] * BIGRAM_WEIGHT, n * dims)
+        return out.reshape(n, dims)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            counts, at = np.diff(np.asarray(lists.offsets)), 0
+            while at < batch.num_rows:
+                upto = max(at + 1, at + int(np.searchsorted(np.cumsum(counts[at:]), STEP_TOKENS, side="right")))
+                dense = of(lists.slice(at, upto - at))
+                dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-300)
+                rows, at_dim = np.nonzero(dense)
+                keys = [c.slice(at, upto - at).take(pa.array(rows)) for c in batch.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(at_dim.astype(np.int32)), pa.array(dense[rows, at_dim])], names=[*batch.schema.names[:-1], "dim", "value"])
+                at = upto
+
+    return run
 
 
 def hash_embed(units: DataFrame, key: list[str], text: str = "text", dims: int = HASH_DIMS) -> DataFrame:
-    """(key..., dim, value), unit length: each feature adds its signed weight to one dimension. Distinct features are
-    hashed once each, not once a unit."""
-    f = features(units, key, text)
-    hashed = f.select("feature").distinct().select("feature", (fnv1a("feature", INDEX_SEED) % dims).cast("int").alias("dim"), F.when(fnv1a("feature", SIGN_SEED) % 2 == 1, 1.0).otherwise(-1.0).alias("sign"))
-    dense = f.join(hashed, "feature").groupBy(*key, "dim").agg(F.sum(F.col("weight") * F.col("sign")).alias("value"))
-    norm = dense.groupBy(*key).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-    return dense.join(norm, key).where("norm > 0").select(*key, "dim", (F.col("value") / F.col("norm")).alias("value"))
+    """(key..., dim, value), unit length: every word, trigram of a word that is no stopword, and word pair adds its signed
+    weight to one dimension. One row of units gives one vector without a shuffle; a task hashes its distinct words and
+    pairs once a step."""
+    held = units.select(*key, tokens(text).alias("t"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields[:-1])
+    return held.mapInArrow(_vectors(dims), f"{kinds}, dim int, value double")
 
 
 def sparse_cosine(units: DataFrame, key: list[str], queries: DataFrame) -> DataFrame:
     """(query_id, key..., sim) over vectors in long form; queries(query_id, dim, value) is a stated batch."""
     q = queries.select("query_id", "dim", F.col("value").alias("asked"))
-    met = units.join(F.broadcast(q), "dim").groupBy("query_id", *key).agg(F.sum(F.col("value") * F.col("asked")).alias("dot"))
+    met = units.join(bounded(q, BROADCAST_ROWS), "dim").groupBy("query_id", *key).agg(F.sum(F.col("value") * F.col("asked")).alias("dot"))
     return met.select("query_id", *key, F.greatest(F.lit(0.0), "dot").alias("sim"))
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, sim): the k nearest by cosine; queries(query_id, wanted) is a stated batch in blocks."""
-    from pyspark.sql import Window
-
     def length(c):
         return F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 
     held = vectors.withColumn("norm", length("embedding"))
     asked = queries.withColumn("q_norm", length("wanted"))
-    both = held.join(F.broadcast(asked), F.lit(True))
+    both = held.join(bounded(asked, BROADCAST_ROWS), F.lit(True))  # a stated query set against all rows
     dot = F.aggregate(F.zip_with("embedding", "wanted", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
     scored = both.select("query_id", "vec_id", F.round(dot / (F.col("norm") * F.col("q_norm")), 6).alias("sim"))
     best = Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")

@@ -10,6 +10,9 @@ from ..functions.text import ACCENTED, FOLDED_STOPWORDS, PLAIN, STOPWORDS, canon
 
 # Beginnings of section headings that name no entity.
 SECTION_PREFIXES = ["nhân vật phụ", "ghi chú", "notes", "arc ", "cấu trúc", "kết thúc", "các địa điểm", "tổng quan", "overview", "outline", "structure", "timeline"]
+# What is cut from a heading, and how a chapter is referred to.
+HEADING_CUTS = [r"\s*[(（].*?[)）]\s*$", r"\s*[–—-]\s*.*$", r"^[ :–—-]+|[ :–—-]+$"]
+CHAPTER = r"(?iU)\b(?:chương|chapter|ch\.?)\s*(\d+)\b"
 # Characters behind which a capital starts a sentence or a markup element.
 BOUNDARY = ".!?…:\n*#-•|>\"'“”‘’([{"
 LETTERS = r"[\p{L}\p{N}_]"
@@ -17,9 +20,8 @@ LETTERS = r"[\p{L}\p{N}_]"
 
 def clean_heading(x: Column) -> Column:
     """Without a bracketed end, and without what follows the first dash."""
-    x = strip(F.regexp_replace(x, r"\s*[(（].*?[)）]\s*$", ""))
-    x = strip(F.regexp_replace(x, r"\s*[–—-]\s*.*$", ""))
-    return F.regexp_replace(x, r"^[ :–—-]+|[ :–—-]+$", "")
+    bracket, dash, edges = HEADING_CUTS
+    return F.regexp_replace(strip(F.regexp_replace(strip(F.regexp_replace(x, bracket, "")), dash, "")), edges, "")
 
 
 def is_section_label(x: Column) -> Column:
@@ -44,10 +46,12 @@ def gazetteer_of(documents: DataFrame, name: str = "source", text: str = "text")
     return every.groupBy("key").agg(F.min_by(F.struct("name", "type"), F.struct("source", "rank", "at")).alias("v")).select("key", "v.name", "v.type")
 
 
-def frequent_terms(documents: DataFrame, n: int, text: str = "text", min_length: int = 5) -> DataFrame:
-    """(key, name, type): the n content tokens that most documents hold, as a gazetteer."""
+def frequent_terms(documents: DataFrame, share: float, text: str = "text", min_length: int = 5) -> DataFrame:
+    """(key, name, type): the content tokens that at least this share of all documents hold, as a gazetteer. There are at
+    most a document's mean number of tokens over share of them, however many documents there are."""
     found = documents.select(F.explode(F.array_distinct(tokens(text))).alias("key")).where(F.length("key") >= min_length).where(~F.col("key").isin(FOLDED_STOPWORDS))
-    top = found.groupBy("key").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "key").limit(n)
+    total = documents.agg((F.count("*") * share).alias("least"))
+    top = found.groupBy("key").agg(F.count("*").alias("df")).join(F.broadcast(total), F.col("df") >= F.col("least"))  # one row
     return top.select("key", F.col("key").alias("name"), F.lit("CONCEPT").alias("type"))
 
 
@@ -77,7 +81,7 @@ def number_mentions(units: DataFrame, key: list[str], text: str = "text") -> Dat
 
 def chapter_mentions(units: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """chapter:<n> of references such as `chapter 3`, `ch. 3`, `chương 3`."""
-    found = units.select(*key, F.explode(F.regexp_extract_all(text, F.lit(r"(?iU)\b(?:chương|chapter|ch\.?)\s*(\d+)\b"), F.lit(1))).alias("n"))
+    found = units.select(*key, F.explode(F.regexp_extract_all(text, F.lit(CHAPTER), F.lit(1))).alias("n"))
     return found.groupBy(*key, F.concat(F.lit("chapter:"), "n").alias("entity")).agg(F.count("*").alias("count"))
 
 

@@ -11,26 +11,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical, fold, fold_text
+from ..session import bounded, saved
 
 # Characters between a term and a year that belong together; shortest term; bonus of a named entity.
 NEAR, SHORTEST, ENTITY_BONUS = 160, 3, 2.5
+#: A broadcast side is counted first and holds at most so many rows.
+ASKED_ROWS = 10_000
 YEARS = r"(?<![\p{L}\p{N}_])(?:1[0-9]{3}|20[0-9]{2})(?![\p{L}\p{N}_])"
 GUARD = r"[\p{L}\p{N}_]"
 CONFIDENCE = ["attested", "probable", "disputed"]
 
-# Fixed values: (first year, terms) of things that scenes before that year cannot have.
+# Fixed values: (first year, terms, what they are) of things that scenes before that year cannot have.
 ANACHRONISMS = [
-    (1830, ["súng trường", "súng liên thanh", "súng máy", "đại liên"]),
-    (1804, ["đầu máy hơi nước", "tàu hơi nước", "xe lửa", "đường sắt"]),
-    (1876, ["điện thoại", "điện báo", "telegraph"]),
-    (1879, ["bóng đèn điện", "đèn điện", "điện lực"]),
-    (1826, ["nhiếp ảnh", "máy ảnh", "chụp ảnh"]),
-    (1885, ["ô tô", "xe hơi", "động cơ đốt trong"]),
-    (1903, ["máy bay", "phi cơ"]),
-    (1928, ["kháng sinh", "penicillin", "thuốc kháng sinh"]),
-    (1945, ["máy tính", "vi tính", "máy vi tính"]),
-    (1866, ["vi khuẩn học", "thuyết vi trùng"]),
+    (1830, ["súng trường", "súng liên thanh", "súng máy", "đại liên"], "súng nạp hậu / liên thanh"),
+    (1804, ["đầu máy hơi nước", "tàu hơi nước", "xe lửa", "đường sắt"], "động cơ hơi nước"),
+    (1876, ["điện thoại", "điện báo", "telegraph"], "viễn thông"),
+    (1879, ["bóng đèn điện", "đèn điện", "điện lực"], "điện khí hóa"),
+    (1826, ["nhiếp ảnh", "máy ảnh", "chụp ảnh"], "nhiếp ảnh"),
+    (1885, ["ô tô", "xe hơi", "động cơ đốt trong"], "ô tô"),
+    (1903, ["máy bay", "phi cơ"], "hàng không"),
+    (1928, ["kháng sinh", "penicillin", "thuốc kháng sinh"], "kháng sinh"),
+    (1945, ["máy tính", "vi tính", "máy vi tính"], "máy tính điện tử"),
+    (1866, ["vi khuẩn học", "thuyết vi trùng"], "thuyết vi trùng"),
 ]
+# What findings and records say, and the order of findings.
+TOO_EARLY, NOT_YET, OTHER_YEAR = "“%s” (%s) chưa tồn tại vào năm %d; sớm nhất khoảng %d.", "“%s” chỉ xuất hiện từ %s, sau thời điểm của cảnh này.", "Bản thảo đặt “%s” vào năm %d, nhưng ghi chép xác nhận %s."
+UNDATED, CITATION = "không rõ niên đại", "[%s · %s] %s — nguồn: %s"
+SEVERITY = {"conflict": 0, "anachronism": 1, "warning": 2}
 
 
 def date_key(value: Column, end: bool = False) -> Column:
@@ -51,8 +58,36 @@ def date_text(key: Column) -> Column:
     return F.format_string("%04d-%02d-%02d", year, F.floor((key - year * 10000) / 100).cast("int"), F.pmod(key, F.lit(100)).cast("int"))
 
 
+def date_label(start: Column, end: Column) -> Column:
+    """A year, a span of years, or a day; a record without a date says so."""
+    first, last = F.floor(start / 10000).cast("int"), F.floor(end / 10000).cast("int")
+    whole = (F.pmod(start, F.lit(10000)) == 101) & (F.floor(F.pmod(end, F.lit(10000)) / 100) == 12)
+    return F.when(start.isNull(), UNDATED).when(last != first, F.concat(first.cast("string"), F.lit("–"), last.cast("string"))).when(whole, first.cast("string")).otherwise(date_text(start))
+
+
+def citation(records: DataFrame) -> DataFrame:
+    """(id, citation): one line that can be quoted as it is."""
+    return records.select("id", F.format_string(CITATION, "id", date_label(F.col("start_key"), F.col("end_key")), "claim", F.array_join("sources", "; ")).alias("citation"))
+
+
+def duplicates(records: DataFrame) -> DataFrame:
+    """(id, problem) of ids that one file (scope_rank, file) has more than once."""
+    return records.groupBy("scope_rank", "file", "id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit("duplicate id in one file").alias("problem")).distinct()
+
+
+def loaded(records: DataFrame) -> DataFrame:
+    """The records, overridden by scope; raises if any breaks a rule, so that a faulty corpus is never half loaded."""
+    found = problems(records).unionByName(duplicates(records)).orderBy("id", "problem").limit(5).collect()  # enough to say what is wrong
+    if found:
+        raise ValueError("; ".join(f"{r['id']}: {r['problem']}" for r in found))
+    return overridden(records)
+
+
 def problems(records: DataFrame) -> DataFrame:
     """(id, problem) of every rule that a raw record breaks."""
+    noted = F.lit(True)
+    if "diverges" in records.columns:
+        noted = ~F.coalesce(F.col("diverges"), F.lit(False)) | (F.coalesce(F.trim("divergence_note"), F.lit("")) != "")
     checks = F.array(
         F.when(~F.coalesce(F.col("id").rlike(r"^[a-z0-9][a-z0-9._-]{0,63}$"), F.lit(False)), "bad id"),
         F.when(F.coalesce(F.trim("claim"), F.lit("")) == "", "no claim"),
@@ -60,6 +95,7 @@ def problems(records: DataFrame) -> DataFrame:
         F.when(~F.coalesce(F.col("confidence").isin(CONFIDENCE), F.lit(True)), "bad confidence"),
         F.when(F.col("date").isNotNull() & date_key(F.col("date")).isNull(), "bad date"),
         F.when(date_key(F.col("until"), True) < date_key(F.col("date")), "ends before it starts"),
+        F.when(~noted, "diverges without a note"),
     )
     return records.select("id", F.explode(F.array_compact(checks)).alias("problem"))
 
@@ -79,7 +115,7 @@ def search(lexical: DataFrame, records: DataFrame, queries: DataFrame, limit: in
     before, after) drop records that start later or end earlier."""
     named = records.select("id", F.explode("entities").alias("entity")).withColumn("key", canonical("entity")).where("key <> ''")
     asked = queries.select("query_id", canonical("query").alias("folded"))
-    bonus = named.join(F.broadcast(asked), F.contains("folded", "key")).groupBy("query_id", "id").agg((F.count("*") * ENTITY_BONUS).alias("bonus"))
+    bonus = named.join(bounded(asked, ASKED_ROWS), F.contains("folded", "key"))  # a stated query set against all records.groupBy("query_id", "id").agg((F.count("*") * ENTITY_BONUS).alias("bonus"))
     both = lexical.join(bonus, ["query_id", "id"], "full_outer").withColumn("score", F.coalesce("score", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0)))
     rows = both.where("score > 0").join(records, "id").join(F.broadcast(queries.select("query_id", "before", "after")), "query_id")
     rows = rows.where("before is null or start_key is null or start_key <= before").where("after is null or end_key is null or end_key >= after")
@@ -108,7 +144,7 @@ def _first_terms(drafts: DataFrame, terms: DataFrame, by: list[str]) -> DataFram
     """
     terms = terms.withColumn("word", F.regexp_extract("key", GUARD + "+", 0))
     held = drafts.select("draft_id", F.explode(F.array_distinct(F.regexp_extract_all("folded", F.lit(GUARD + "+"), F.lit(0)))).alias("word"))
-    met = held.join(F.broadcast(terms), "word").join(drafts.select("draft_id", "folded"), "draft_id")
+    met = held.join(bounded(terms, ASKED_ROWS), "word").join(drafts.select("draft_id", "folded"), "draft_id")
     met = met.withColumn("at", _at(F.col("folded"), F.col("key"))).where("at >= 0")
     return met.groupBy("draft_id", *by).agg(F.min_by(F.struct("term", "at"), "place").alias("m")).select("draft_id", *by, "m.term", "m.at")
 
@@ -120,18 +156,18 @@ def prepared(drafts: DataFrame) -> DataFrame:
 
 def anachronisms(drafts: DataFrame) -> DataFrame:
     spark = drafts.sparkSession
-    rows = [(rule, year, i, t, fold_text(t)) for rule, (year, terms) in enumerate(ANACHRONISMS) for i, t in enumerate(terms)]
+    rows = [(rule, year, i, t, fold_text(t)) for rule, (year, terms, _) in enumerate(ANACHRONISMS) for i, t in enumerate(terms)]
     terms = spark.createDataFrame(rows, "rule int, year int, place int, term string, key string")
     found = _first_terms(drafts.where("scene_key is not null"), terms, ["rule", "year"])
     found = found.join(drafts.select("draft_id", "scene_key"), "draft_id").where(F.floor(F.col("scene_key") / 10000) < F.col("year"))
-    return found.select("draft_id", F.lit("anachronism").alias("kind"), "term", F.col("at").cast("long").alias("at"), F.lit(None).cast("string").alias("record_id"))
+    return found.select("draft_id", F.lit("anachronism").alias("kind"), "term", F.col("at").cast("long").alias("at"), F.lit(None).cast("string").alias("record_id"), "year")
 
 
 def premature(drafts: DataFrame, records: DataFrame) -> DataFrame:
     """Terms that a record introduces after the scene."""
     terms = records.where("start_key is not null").select("id", "start_key", F.posexplode("introduces").alias("place", "term")).withColumn("key", canonical("term")).where(F.length("key") >= SHORTEST)
     found = _first_terms(drafts.where("scene_key is not null"), terms, ["id", "start_key"]).join(drafts.select("draft_id", "scene_key"), "draft_id").where("start_key > scene_key")
-    return found.select("draft_id", F.lit("anachronism").alias("kind"), "term", F.col("at").cast("long").alias("at"), F.col("id").alias("record_id"))
+    return found.select("draft_id", F.lit("anachronism").alias("kind"), "term", F.col("at").cast("long").alias("at"), F.col("id").alias("record_id"), F.lit(None).cast("int").alias("year"))
 
 
 def years_in(drafts: DataFrame) -> DataFrame:
@@ -156,12 +192,43 @@ def year_conflicts(drafts: DataFrame, records: DataFrame) -> DataFrame:
     right = F.when(F.col("ongoing"), F.col("year") >= first).otherwise(F.col("year").between(first, last))
     by = near.withColumn("right", right).groupBy("draft_id", "id", "anchor", "place", "term", "at", "ongoing").agg(F.max("right").alias("right"), F.max("year").alias("most"), F.min_by("year", "pos").alias("nearest"))
     wrong = by.where("not right").withColumn("year", F.when(F.col("ongoing"), F.col("most")).otherwise(F.col("nearest")))
-    once = wrong.groupBy("draft_id", "id").agg(F.min_by(F.struct("term", "at"), "place").alias("m"))
-    return once.select("draft_id", F.lit("conflict").alias("kind"), "m.term", F.col("m.at").cast("long").alias("at"), F.col("id").alias("record_id"))
+    once = wrong.groupBy("draft_id", "id").agg(F.min_by(F.struct("term", "at", "year"), "place").alias("m"))
+    return once.select("draft_id", F.lit("conflict").alias("kind"), "m.term", F.col("m.at").cast("long").alias("at"), F.col("id").alias("record_id"), F.col("m.year").cast("int").alias("year"))
 
 
 def check(drafts: DataFrame, records: DataFrame) -> DataFrame:
-    """All findings (draft_id, kind, term, at, record_id); a premature record's year is not reported once more."""
+    """All findings (draft_id, kind, term, at, record_id, year); a premature record's year is not reported once more. The
+    drafts are folded once, into a table that all three checks read."""
+    drafts = saved(drafts, "drafts")
     early = premature(drafts, records)
     conflicts = year_conflicts(drafts, records).join(early.select("draft_id", "record_id"), ["draft_id", "record_id"], "left_anti")
-    return anachronisms(drafts).unionByName(early).unionByName(conflicts.select("draft_id", "kind", "term", "at", "record_id"))
+    return anachronisms(drafts).unionByName(early).unionByName(conflicts.select("draft_id", "kind", "term", "at", "record_id", "year"))
+
+
+def report(drafts: DataFrame, records: DataFrame) -> DataFrame:
+    """(draft_id, place, kind, term, at, record_id, message, ok): the findings in order of severity and place, each with what
+    it says; a draft without any has one row, ok."""
+    found = check(drafts, records).join(drafts.select("draft_id", "scene_key"), "draft_id")
+    found = found.join(records.select(F.col("id").alias("record_id"), date_label(F.col("start_key"), F.coalesce("end_key", "start_key")).alias("dated")), "record_id", "left")
+    kinds = F.create_map(*[F.lit(x) for year, _, what in ANACHRONISMS for x in (year, what)])
+    scene = F.floor(F.col("scene_key") / 10000).cast("int")
+    message = F.when(F.col("kind") == "conflict", F.format_string(OTHER_YEAR, "term", "year", "dated")).when(F.col("record_id").isNotNull(), F.format_string(NOT_YET, "term", "dated")).otherwise(
+        F.format_string(TOO_EARLY, "term", F.try_element_at(kinds, F.col("year")), scene, "year")
+    )
+    rank = F.try_element_at(F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv]), F.col("kind"))
+    order = Window.partitionBy("draft_id").orderBy(rank, "at", F.coalesce("record_id", F.lit("")), "term")
+    rows = found.select("draft_id", F.row_number().over(order).alias("place"), "kind", "term", "at", "record_id", message.alias("message"))
+    return drafts.select("draft_id").join(rows, "draft_id", "left").withColumn("ok", F.col("kind").isNull())
+
+
+def rendered(hits: DataFrame) -> DataFrame:
+    """(query_id, text) of hits(query_id, rank, id, ...) as lines: what a record says, when, by which sources, and whether the
+    text may depart from it."""
+    head = F.format_string("● [%s] %s — %s", "id", date_label(F.col("start_key"), F.coalesce("end_key", "start_key")), "claim")
+    sure = F.when(F.col("confidence") != "attested", F.format_string("  (mức độ: %s)", "confidence")).otherwise("")
+    note = F.when(F.coalesce("note", F.lit("")) != "", F.format_string("   ghi chú: %s", "note"))
+    apart = F.format_string("   ⚠ TRUYỆN NÀY RẼ NHÁNH TẠI ĐÂY: %s\n   → Hãy viết theo hướng rẽ nhánh, KHÔNG theo sử liệu gốc.", "divergence_note")
+    locked = F.when(F.col("diverges"), apart).when(F.col("locked"), F.lit("   → Ghi chép khóa: chương không được mâu thuẫn với điều này."))
+    lines = F.concat_ws("\n", F.concat(head, sure), F.format_string("   nguồn: %s", F.array_join("sources", "; ")), note, locked)
+    rows = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", lines.alias("text")))).alias("t"))
+    return rows.select("query_id", F.array_join(F.transform("t", lambda x: x["text"]), "\n\n").alias("text"))

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import dense, entities, segments
+
 # Where the ordinals of reference and of narrative sources begin.
 REFERENCE_BASE, NARRATIVE_BASE = 0, 1000
+#: Arrivals (numbers in order of arrival) that one step of numbering takes together.
+ARRIVALS = 10_000
 
 
 def ordinals(arrivals: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -20,9 +24,15 @@ def ordinals(arrivals: DataFrame, existing: DataFrame | None = None) -> DataFram
         most = existing.groupBy("workspace", "kind").agg(F.max("ordinal").alias("most"))
         rows = rows.join(existing.select("workspace", "source", F.col("ordinal").alias("had")), ["workspace", "source"], "left").join(most, ["workspace", "kind"], "left")
     free = F.col("chapter").isNull() & F.col("had").isNull()
-    nth = F.sum(free.cast("int")).over(Window.partitionBy("workspace", "kind").orderBy("arrived", "source"))
+    # numbered in two steps, so that no task needs all rows of a kind: within blocks of arrivals, then over the blocks' sums
+    rows = rows.withColumn("free", free.cast("long")).withColumn("part", F.floor(F.col("arrived") / ARRIVALS))
+    sums = rows.groupBy("workspace", "kind", "part").agg(F.sum("free").alias("sum"))
+    earlier = Window.partitionBy("workspace", "kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("workspace", "kind", "part", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("before"))
+    rows = rows.join(sums, ["workspace", "kind", "part"])
+    nth = F.col("before") + F.sum("free").over(Window.partitionBy("workspace", "kind", "part").orderBy("arrived", "source"))
     fresh = F.coalesce(F.col("most") + 1, base) + nth - 1
-    return rows.withColumn("ordinal", F.when(F.col("chapter").isNotNull(), NARRATIVE_BASE + F.col("chapter")).otherwise(F.coalesce(F.col("had"), fresh)).cast("long")).drop("had", "most")
+    return rows.withColumn("ordinal", F.when(F.col("chapter").isNotNull(), NARRATIVE_BASE + F.col("chapter")).otherwise(F.coalesce(F.col("had"), fresh)).cast("long")).drop("had", "most", "free", "part", "before")
 
 
 def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -55,3 +65,55 @@ def cache_misses(wanted: DataFrame, cache: DataFrame, space: str, text: str = "t
     """The distinct hashes of texts that the cache lacks in this space."""
     hashes = wanted.select(F.sha2(F.col(text), 256).alias("hash")).distinct()
     return hashes.join(cache.where(F.col("space") == space).select("hash"), "hash", "left_anti")
+
+
+#: Tables that a deletion and a clearing leave as they are: they are keyed by content.
+CACHES = ("extract_cache", "embed_cache")
+
+
+def without_sources(tables: dict[str, DataFrame], gone: DataFrame, key: tuple[str, ...] = ("workspace", "source")) -> dict[str, DataFrame]:
+    """All tables without the rows of the sources in gone(key...), and without entities that nothing mentions any more."""
+    names = gone.select(*key).distinct()
+    left = {n: t if n in CACHES or n == "entities" else t.join(names, list(key), "left_anti") for n, t in tables.items()}
+    return left | {"entities": without_orphans(tables["entities"], left["mentions"])}
+
+
+def cleared(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """All tables without rows, but for the caches."""
+    return {n: t if n in CACHES else t.where(F.lit(False)) for n, t in tables.items()}
+
+
+def accumulated(table: DataFrame, fresh: DataFrame, key: list[str], count: str = "count") -> DataFrame:
+    """table with the counts of fresh added to those of the same key."""
+    return table.select(*key, count).unionByName(fresh.select(*key, count)).groupBy(*key).agg(F.sum(count).alias(count))
+
+
+def indexed(sources: DataFrame, gazetteer: DataFrame) -> dict[str, DataFrame]:
+    """The tables of sources(workspace, source, kind, chapter, ordinal, text): segments, mentions with those that headings
+    pass on, entities and vectors. Headings count as text of their segments."""
+    key = ["workspace", "source"]
+    seg = segments.segment(sources)
+    units = seg.withColumn("text", segments.indexable())
+    found = entities.all_mentions(units, [*key, "seq"], gazetteer)
+    known = found.groupBy("entity").agg(F.min_by(F.struct("name", "type"), F.struct("workspace", "source", "seq")).alias("n")).select("entity", "n.name", "n.type")
+    mentions = entities.with_heading_mentions(seg, found.select(*key, "seq", "entity", "count"), key)
+    return {"sources": sources.drop("text"), "segments": seg, "mentions": mentions, "entities": known, "vectors": dense.hash_embed(units, [*key, "seq"])}
+
+
+def ingested(tables: dict[str, DataFrame], fresh: DataFrame, gazetteer: DataFrame) -> dict[str, DataFrame]:
+    """tables after the sources in fresh were ingested: every table's rows of these sources are replaced, known entities
+    keep their names and types, and those that nothing mentions any more go."""
+    new = indexed(fresh, gazetteer)
+    kept = without_sources(tables, fresh)
+    both = {n: kept[n].unionByName(new[n]) for n in ("sources", "segments", "mentions", "vectors") if n in kept}
+    added = new["entities"].join(tables["entities"].select("entity"), "entity", "left_anti")
+    return kept | both | {"entities": without_orphans(tables["entities"].unionByName(added), both["mentions"])}
+
+
+def of_space(vectors: DataFrame, space: str) -> DataFrame:
+    return vectors.where(F.col("space") == space)
+
+
+def next_chapter(sources: DataFrame) -> DataFrame:
+    """(workspace, chapter): the number that the next chapter gets."""
+    return sources.groupBy("workspace").agg((F.coalesce(F.max("chapter"), F.lit(0)) + 1).alias("chapter"))
