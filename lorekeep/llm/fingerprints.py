@@ -1,13 +1,14 @@
 """Document fingerprints by winnowing, and each text beside an edited one.
 
 Built-in Spark functions only. A text's k-grams are its runs of GRAM code
-points. Their rolling hash is a polynomial modulo PRIME over numbers of the code
-points; that of a run twice as long is made of the two halves' hashes, so three
-passes over the text give all runs of eight. Of every WINDOW consecutive k-grams
-the least (mixed) hash is chosen, the rightmost among equal ones, again by
-passes that double the width; chosen k-grams keep their position. So any run of
+points. Their hashes roll over the text by doubling: the hash of a run is made of
+those of its two halves, which the runs beside it use too, so three passes give
+all runs of eight. Of every WINDOW consecutive k-grams
+the least (mixed) hash is chosen, the rightmost among equal ones, by two passes
+that widen the window four times each; chosen k-grams keep their position. So any run of
 GRAM + WINDOW - 1 code points that two texts share gives both the same chosen
-hash, wherever it stands. A chosen k-gram is one number, hash x 2**31 -
+hash, wherever it stands. An edited text shares its first windows with the text,
+so only those that reach into its new end are made anew. A chosen k-gram is one number, hash x 2**31 -
 position, so the least number of a window is the rightmost least hash, and any
 position that an array can have fits.
 
@@ -23,45 +24,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Both are powers of two.
+#: A power of two, and a power of four.
 GRAM, WINDOW = 8, 16
-PRIME, BASE = (1 << 31) - 1, 1_000_003
 POSITIONS = 1 << 31
+#: The bits of a hash that stand above a position.
+HASH = ((1 << 32) - 1) << 31
 
 
 def _long(x: int) -> Column:
     return F.lit(x).cast("bigint")
 
 
-def _pairs(values: str, apart: int, join) -> Column:
-    """join(x, y) of every value and the one so many places behind it."""
-    n = F.size(values) - apart
-    return F.zip_with(F.slice(values, 1, F.greatest(n, F.lit(0))), F.slice(values, 1 + apart, F.greatest(n, F.lit(0))), join)
+def _rolled(values: str, width: int, join) -> Column:
+    """join of each value and the one `width` behind it: the hash of a run from those of its two halves."""
+    n = F.greatest(F.size(values) - width, F.lit(0))
+    return F.zip_with(F.slice(values, 1, n), F.slice(values, 1 + width, n), join)
 
 
-def _rolled(width: int):
-    """The hash of a run from those of its two halves of so many code points."""
-    power = _long(pow(BASE, width, PRIME))
-    return lambda x, y: (x * power + y) % _long(PRIME)
+def _least(values: str, width: int):
+    """The least of four values that stand so many places apart."""
+    return lambda x, i: F.least(x, *[F.get(values, i + k * width) for k in (1, 2, 3)])
 
 
-def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df with `name`: the chosen k-grams of text in order, each hash x 2**31 - position."""
+def with_windows(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df with `name`: the least k-gram of every window of text in order, each hash x 2**31 - position."""
     chars, none = F.length(text), F.array().cast("array<bigint>")
     held = df.withColumn("n", F.when(chars > 0, F.greatest(chars - (GRAM - 1), F.lit(1))).otherwise(0))
     whole, full = chars >= GRAM, F.col("n") >= WINDOW
-    codes = F.transform(F.split(text, ""), lambda c: F.pmod(F.xxhash64(c), _long(PRIME)))
-    held = held.withColumn("h", F.when(whole, codes).when(chars > 0, F.array(F.xxhash64(text))).otherwise(none))
+    held = held.withColumn("h", F.transform(F.split(text, ""), lambda c: F.xxhash64(c)))
     width = 1
-    while width < GRAM:
-        held = held.withColumn("h", F.when(whole, _pairs("h", width, _rolled(width))).otherwise(F.col("h")))
+    while 2 * width < GRAM:
+        held = held.withColumn("h", _rolled("h", width, lambda x, y: F.xxhash64(x, y)))
         width *= 2
-    held = held.withColumn("h", F.transform("h", lambda h, i: F.shiftrightunsigned(F.xxhash64(h), 32) * _long(POSITIONS) - i))
+    held = held.withColumn("h", F.when(whole, _rolled("h", width, lambda x, y: F.xxhash64(x, y).bitwiseAND(_long(HASH)))).when(chars > 0, F.array(F.xxhash64(text).bitwiseAND(_long(HASH)))).otherwise(none))
+    held = held.withColumn("h", F.transform("h", lambda x, i: x - i))
     width = 1
     while width < WINDOW:
-        held = held.withColumn("h", F.when(full, _pairs("h", width, lambda x, y: F.least(x, y))).otherwise(F.col("h")))
-        width *= 2
-    return held.withColumn(name, F.when(full, F.array_distinct("h")).when(F.col("n") > 0, F.array(F.array_min("h"))).otherwise(none)).drop("h", "n")
+        held = held.withColumn("h", F.when(full, F.transform("h", _least("h", width))).otherwise(F.col("h")))
+        width *= 4
+    return held.withColumn(name, F.when(full, F.slice("h", 1, F.col("n") - (WINDOW - 1))).when(F.col("n") > 0, F.array(F.array_min("h"))).otherwise(none)).drop("h", "n")
+
+
+def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df with `name`: the chosen k-grams of text in order, each hash x 2**31 - position."""
+    return with_windows(df, text, name).withColumn(name, F.array_distinct(name))
 
 
 def hashes(name: str) -> Column:
@@ -128,17 +134,24 @@ def op7_fingerprints(docs: DataFrame) -> DataFrame:
     rows = beside_next(docs)
     # turn 1 and 2: rows of the next range, seen last; a range of one id only has no other order to rely on
     order = Window.partitionBy("range").orderBy("turn", F.desc_nulls_last("doc_id"), "text")
-    rows = rows.withColumn("next", F.lead("text").over(order))
-    rows = with_fingerprint(rows, "text", "chosen").withColumn("f", hashes("chosen"))
-    rows = rows.withColumn("f_next", F.lead("f").over(order)).where("turn = 0")
+    rows = rows.withColumn("next", F.lead("text").over(order)).withColumn("nth", F.row_number().over(order))
     rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("half", F.floor(F.col("n_chars") / 2).cast("int"))
-    edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.col("half")).cast("int")), F.substring("next", F.lit(1), F.col("half")))
-    rows = rows.withColumn("edited", edited).drop("text", "next", "half")
-    rows = with_fingerprint(rows, "edited", "edited_chosen").withColumn("e", hashes("edited_chosen"))
+    rows = with_windows(rows, "text", "w")
+    own = (F.col("n_chars") - F.col("half")).cast("int")
+    end = F.substring("next", F.lit(1), F.col("half"))
+    edited = F.concat(F.substring("text", F.lit(1), own), end)
+    reach = GRAM + WINDOW - 2  # code points that a window has beside its first
+    rows = rows.withColumn("same", F.greatest(own - reach, F.lit(0))).withColumn("tail", F.concat(F.substring("text", F.col("same") + 1, own - F.col("same")), end))
+    rows = rows.withColumn("edited_sha256", F.sha2(edited.cast("binary"), 256)).withColumn("chosen", F.array_distinct("w"))
+    rows = with_windows(rows.drop("next"), "tail", "t").withColumn("t", F.array_distinct("t"))
+    anew = F.when((F.col("same") > 0) & (F.length("tail") <= reach), F.array().cast("array<bigint>")).otherwise(F.transform("t", lambda p: p - F.col("same")))
+    rows = rows.withColumn("edited_chosen", F.array_distinct(F.concat(F.slice("w", 1, F.col("same")), anew)))
+    rows = rows.select("range", "nth", "turn", "doc_id", "n_chars", "edited_sha256", "chosen", "edited_chosen", hashes("chosen").alias("f"), hashes("edited_chosen").alias("e"))
+    rows = rows.withColumn("f_next", F.lead("f").over(Window.partitionBy("range").orderBy("nth"))).where("turn = 0")
     return rows.select(
         "doc_id",
         "n_chars",
-        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "edited_sha256",
         printed("f").alias("fingerprint"),
         printed("e").alias("edited_fingerprint"),
         likeness("f", "e").alias("near_edited"),
