@@ -7,7 +7,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ACCENTED, FOLDED_STOPWORDS, PLAIN, STOPWORDS, canonical, strip, tokens
+from ..session import bounded
 
+#: A broadcast side is counted first and holds at most so many rows.
+BROADCAST_ROWS = 200_000
 # Beginnings of section headings that name no entity.
 SECTION_PREFIXES = ["nhân vật phụ", "ghi chú", "notes", "arc ", "cấu trúc", "kết thúc", "các địa điểm", "tổng quan", "overview", "outline", "structure", "timeline"]
 # What is cut from a heading, and how a chapter is referred to.
@@ -59,13 +62,13 @@ def mentions(units: DataFrame, key: list[str], gazetteer: DataFrame, text: str =
     """(key..., entity, count): whole-word, case-insensitive occurrences of a name or its spelling without accents.
 
     Names are joined to units on their first word; a name of one word is counted by that join alone, one of several
-    words is then counted in the text. The gazetteer is a bounded list and is broadcast.
+    words is then counted in the text. The gazetteer is counted, and broadcast if it is small enough.
     """
     low = F.lower(F.col("name"))
     variants = gazetteer.select(F.col("key").alias("entity"), F.explode(F.array_distinct(F.array(low, F.translate(low, ACCENTED, PLAIN)))).alias("form"))
     variants = variants.withColumn("word", F.regexp_extract("form", LETTERS + "+", 0)).withColumn("single", F.col("word") == F.col("form"))
     words = units.select(*key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(LETTERS + "+"), F.lit(0))).alias("word"))
-    met = words.join(F.broadcast(variants), "word").groupBy(*key, "entity", "form", "single").agg(F.count("*").alias("n"))
+    met = words.join(bounded(variants, BROADCAST_ROWS), "word").groupBy(*key, "entity", "form", "single").agg(F.count("*").alias("n"))
     one = met.where("single").select(*key, "entity", F.col("n").alias("count"))
     several = met.where("not single").join(units.select(*key, F.lower(text).alias("__low")), key)
     quoted = F.concat(F.lit(rf"(?<!{LETTERS})\Q"), F.col("form"), F.lit(rf"\E(?!{LETTERS})"))
@@ -120,7 +123,7 @@ def proper_nouns(units: DataFrame, key: list[str], text: str = "text", longest:
 
 def all_mentions(units: DataFrame, key: list[str], gazetteer: DataFrame, text: str = "text") -> DataFrame:
     """Known names, then other proper names, chapter references and numbers: (key..., entity, name, type, count)."""
-    known = mentions(units, key, gazetteer, text).join(F.broadcast(gazetteer.select(F.col("key").alias("entity"), "name", "type")), "entity")
+    known = mentions(units, key, gazetteer, text).join(gazetteer.select(F.col("key").alias("entity"), "name", "type"), "entity")
     scanned = proper_nouns(units, key, text).withColumn("type", F.lit("PROPER")).join(known.select(*key, "entity"), [*key, "entity"], "left_anti")
     chapters = chapter_mentions(units, key, text).withColumn("name", F.regexp_replace("entity", "chapter:", "Chương ")).withColumn("type", F.lit("CHAPTER"))
     numbers = number_mentions(units, key, text).withColumn("name", F.substring("entity", 5, 1000)).withColumn("type", F.lit("NUMBER"))

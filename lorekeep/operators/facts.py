@@ -112,12 +112,12 @@ def indexed_text() -> Column:
 
 def search(lexical: DataFrame, records: DataFrame, queries: DataFrame, limit: int = 6) -> DataFrame:
     """lexical(query_id, id, score) raised for every entity of a record that the query names; queries(query_id, query,
-    before, after) drop records that start later or end earlier."""
+    before, after), a stated set against all records, drop records that start later or end earlier."""
     named = records.select("id", F.explode("entities").alias("entity")).withColumn("key", canonical("entity")).where("key <> ''")
     asked = queries.select("query_id", canonical("query").alias("folded"))
-    bonus = named.join(bounded(asked, ASKED_ROWS), F.contains("folded", "key"))  # a stated query set against all records.groupBy("query_id", "id").agg((F.count("*") * ENTITY_BONUS).alias("bonus"))
+    bonus = named.join(bounded(asked, ASKED_ROWS), F.contains("folded", "key")).groupBy("query_id", "id").agg((F.count("*") * ENTITY_BONUS).alias("bonus"))
     both = lexical.join(bonus, ["query_id", "id"], "full_outer").withColumn("score", F.coalesce("score", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0)))
-    rows = both.where("score > 0").join(records, "id").join(F.broadcast(queries.select("query_id", "before", "after")), "query_id")
+    rows = both.where("score > 0").join(records, "id").join(queries.select("query_id", "before", "after"), "query_id")
     rows = rows.where("before is null or start_key is null or start_key <= before").where("after is null or end_key is null or end_key >= after")
     rows = rows.withColumn("score", F.round("score", 3))
     top = Window.partitionBy("query_id").orderBy(F.desc("score"), F.coalesce("start_key", F.lit(99991231)), "id")

@@ -305,7 +305,7 @@ def pronoun_filter(spark, d):
 def relations_lookup(spark, d):
     first, last = F.regexp_extract("text", r"\p{L}+", 0), F.regexp_extract("text", r"(\p{L}+)\P{L}*$", 1)
     triples = table(spark, d, "conversations").select(first.alias("subject"), last.alias("object")).where("subject <> '' and object <> ''").groupBy("subject", "object").agg(F.count("*").alias("n"))
-    names = F.broadcast(gazetteer(spark, d).select(F.col("key").alias("entity")))
+    names = saved(gazetteer(spark, d), "gazetteer").select(F.col("key").alias("entity"))
     ends = [triples.join(names, F.col("entity") == X.fold(end)) for end in ("subject", "object")]
     return ends[0].unionByName(ends[1]).select("entity", "subject", "object", "n").distinct()
 
