@@ -79,6 +79,10 @@ def test_license_places(spark, docs, edges):
         assert got == sorted(want, key=repr) or sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_license_scan_of_an_empty_table(no_docs):
+    assert licenses.op1_license_scan(no_docs).count() == 0
+
+
 def test_license_containment(spark):
     template = {"alpha beta gamma delta epsilon zeta eta theta iota kappa": "ten"}
     words = list(template)[0].split()
@@ -304,6 +308,16 @@ def test_url_rules(spark):
     assert urls.op6_url_filter(rows.limit(0)).count() == 0
 
 
+def test_url_rules_that_tie(spark):
+    """Of equally long rules that fit, the first by name; repeated rows are each judged, null pages too."""
+    rows = [(1, "http://a.b.com/en/", None, "x"), (1, "http://a.b.com/en/", None, "x"), (2, None, None, "x"), (None, "http://b.com/en/", "<p>", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, words string")
+    got = urls.op6_url_filter(pages, {"b.com/en": "allow", "b.com/e": "block", "com/en/": "block", "b.com/en/": "block", "a.b.com/": "allow"}).collect()
+    assert sorted((r.page_id or 0, r.rule, r.verdict) for r in got if r.rule) == [(0, "b.com/en/", "block"), (1, "b.com/en/", "block"), (1, "b.com/en/", "block")]
+    tie = urls.op6_url_filter(pages, {"com/en/": "block", "b.com/e": "allow"}).collect()
+    assert {r.rule for r in tie if r.page_id == 1} == {"b.com/e"} and len(tie) == 4
+
+
 def test_url_words():
     split = urls.Segmenter({"online": 50, "casino": 20, "line": 30, "on": 200, "cas": 1})
     assert split.split("onlinecasino") == ["online", "casino"] and split.split("") == []
