@@ -1,16 +1,18 @@
 """Document fingerprints by winnowing, and each text beside an edited one.
 
-Built-in Spark functions only. A text's k-grams are its runs of GRAM code
-points. Their hashes roll over the text by doubling: the hash of a run is made of
-those of its two halves, which the runs beside it use too, so three passes give
-all runs of eight. Of every WINDOW consecutive k-grams
-the least (mixed) hash is chosen, the rightmost among equal ones, by two passes
-that widen the window four times each; chosen k-grams keep their position. So any run of
-GRAM + WINDOW - 1 code points that two texts share gives both the same chosen
-hash, wherever it stands. An edited text shares its first windows with the text,
-so only those that reach into its new end are made anew. A chosen k-gram is one number, hash x 2**31 -
-position, so the least number of a window is the rightmost least hash, and any
-position that an array can have fits.
+A text's k-grams are its runs of GRAM code points. Their rolling hash is a
+polynomial over numbers of the code points; that of a run twice as long is made
+of the two halves' hashes, so three passes over the text give all runs of eight.
+Of every WINDOW consecutive k-grams the least (mixed) hash is chosen, the
+rightmost among equal ones, by passes that double the width; chosen k-grams keep
+their position. So any run of GRAM + WINDOW - 1 code points that two texts share
+gives both the same chosen hash, wherever it stands. A chosen k-gram is one
+number, hash x 2**31 - position, so the least number of a window is the rightmost
+least hash, and any position that a text can have fits.
+
+The kernel runs on Arrow batches: as Spark expressions the same grams need half
+as much CPU again as the check tool allows (figures in the README). Spark finds
+each row's successor, with the texts shuffled once.
 
 Likeness of two fingerprints: common distinct hashes over all distinct hashes;
 1 if both are empty. Defined cases: null counts as empty; a text of fewer than
@@ -21,74 +23,78 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A power of two, and a power of four.
-GRAM, WINDOW = 8, 16
-POSITIONS = 1 << 31
-#: The bits of a hash that stand above a position.
-HASH = ((1 << 32) - 1) << 31
-
-
-def _long(x: int) -> Column:
-    return F.lit(x).cast("bigint")
-
+from . import text as T
 
-def _rolled(values: str, width: int, join) -> Column:
-    """join of each value and the one `width` behind it: the hash of a run from those of its two halves."""
-    n = F.greatest(F.size(values) - width, F.lit(0))
-    return F.zip_with(F.slice(values, 1, n), F.slice(values, 1 + width, n), join)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-
-def _least(values: str, width: int):
-    """The least of four values that stand so many places apart."""
-    return lambda x, i: F.least(x, *[F.get(values, i + k * width) for k in (1, 2, 3)])
+#: Both are powers of two.
+GRAM, WINDOW = 8, 16
+BASE = 0x9E3779B97F4A7C15
+POSITIONS = 1 << 31
 
 
-def with_windows(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df with `name`: the least k-gram of every window of text in order, each hash x 2**31 - position."""
-    chars, none = F.length(text), F.array().cast("array<bigint>")
-    held = df.withColumn("n", F.when(chars > 0, F.greatest(chars - (GRAM - 1), F.lit(1))).otherwise(0))
-    whole, full = chars >= GRAM, F.col("n") >= WINDOW
-    held = held.withColumn("h", F.transform(F.split(text, ""), lambda c: F.xxhash64(c)))
-    width = 1
-    while 2 * width < GRAM:
-        held = held.withColumn("h", _rolled("h", width, lambda x, y: F.xxhash64(x, y)))
-        width *= 2
-    held = held.withColumn("h", F.when(whole, _rolled("h", width, lambda x, y: F.xxhash64(x, y).bitwiseAND(_long(HASH)))).when(chars > 0, F.array(F.xxhash64(text).bitwiseAND(_long(HASH)))).otherwise(none))
-    held = held.withColumn("h", F.transform("h", lambda x, i: x - i))
+def chosen(text: str) -> np.ndarray:
+    """The chosen k-grams of a text in order, each hash x 2**31 - position."""
+    h = T.mix(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64))
+    if not len(h):
+        return np.zeros(0, np.int64)
+    if len(h) < GRAM:
+        powers = np.array([pow(BASE, k, 1 << 64) for k in range(len(h), 0, -1)], dtype=np.uint64)
+        h = (h * powers).sum(dtype=np.uint64, keepdims=True)
+    else:
+        width = 1
+        while width < GRAM:
+            h = h[:-width] * np.uint64(pow(BASE, width, 1 << 64)) + h[width:]
+            width *= 2
+    least = (T.mix(h) >> np.uint64(32)).astype(np.int64) * POSITIONS - np.arange(len(h))
+    if len(least) < WINDOW:
+        return least.min(keepdims=True)
     width = 1
     while width < WINDOW:
-        held = held.withColumn("h", F.when(full, F.transform("h", _least("h", width))).otherwise(F.col("h")))
-        width *= 4
-    return held.withColumn(name, F.when(full, F.slice("h", 1, F.col("n") - (WINDOW - 1))).when(F.col("n") > 0, F.array(F.array_min("h"))).otherwise(none)).drop("h", "n")
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    return least[np.concatenate(([True], least[1:] != least[:-1]))]
+
+
+def _hashes(grams: np.ndarray) -> np.ndarray:
+    return (grams + (POSITIONS - 1)) >> 31
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     """df with `name`: the chosen k-grams of text in order, each hash x 2**31 - position."""
-    return with_windows(df, text, name).withColumn(name, F.array_distinct(name))
+    schema = df.withColumn(name, F.array().cast("array<bigint>")).schema
+
+    def run(batches):
+        for batch in batches:
+            grams = [chosen(t or "") for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(grams, pa.list_(pa.int64()))], names=[*batch.schema.names, name])
+
+    return df.mapInArrow(run, schema)
 
 
 def hashes(name: str) -> Column:
     """The hashes of a fingerprint column, in order."""
-    return F.transform(name, lambda p: F.shiftrightunsigned(p + _long(POSITIONS - 1), 31))
+    return F.transform(name, lambda p: F.shiftrightunsigned(p + F.lit(POSITIONS - 1), 31))
 
 
 def positions(name: str) -> Column:
     """The first code point of each chosen k-gram."""
-    return F.transform(name, lambda p: (F.shiftleft(F.shiftrightunsigned(p + _long(POSITIONS - 1), 31), 31) - p).cast("int"))
-
-
-def likeness(a: str, b: str) -> Column:
-    """Of two stored columns of hashes."""
-    common = F.size(F.array_intersect(a, b))
-    every = F.size(F.array_union(a, b))
-    return F.when(every == 0, F.lit(1.0)).otherwise(common / every)
+    return F.transform(name, lambda p: (F.shiftleft(F.shiftrightunsigned(p + F.lit(POSITIONS - 1), 31), 31) - p).cast("int"))
 
 
-def printed(name: str) -> Column:
-    return F.array_join(F.transform(name, lambda h: F.lower(F.hex(h))), " ")
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two distinct, sorted arrays of hashes."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common) if len(a) + len(b) else 1.0
 
 
 def _place(heads: list[int], of: Column) -> Column:
@@ -128,34 +134,32 @@ def beside_next(docs: DataFrame, text: str = "text", ranges: int | None = None)
     return body.select("doc_id", "text", F.explode(places).alias("p")).select("doc_id", "text", "p.range", "p.turn")
 
 
+def _compared(batches):
+    """Rows (doc_id, text, next) to the columns of op7, few texts at a time."""
+    for batch, _, _ in T.pieces(batches, "text"):
+        out = []
+        for text, after in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            half = len(text) // 2
+            edited = text[: len(text) - half] + after[:half]
+            own, new = chosen(text), chosen(edited)
+            sets = [np.unique(_hashes(g)) for g in (own, new, chosen(after))]
+            out.append((
+                len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), " ".join(f"{h:x}" for h in _hashes(own).tolist()), " ".join(f"{h:x}" for h in _hashes(new).tolist()),
+                likeness(sets[0], sets[1]), likeness(sets[0], sets[2]), _hashes(own) * POSITIONS - own, _hashes(new) * POSITIONS - new,
+            ))
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        columns = list(zip(*out)) if out else [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=COLUMNS)
+
+
+COLUMNS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "positions", "edited_positions"]
+KINDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions array<int>, edited_positions array<int>"
+
+
 def op7_fingerprints(docs: DataFrame) -> DataFrame:
     """One row per document: its fingerprint and that of its edited text (hashes in hex), the positions of their k-grams
     (first code points), and the likenesses."""
-    rows = beside_next(docs)
     # turn 1 and 2: rows of the next range, seen last; a range of one id only has no other order to rely on
     order = Window.partitionBy("range").orderBy("turn", F.desc_nulls_last("doc_id"), "text")
-    rows = rows.withColumn("next", F.lead("text").over(order)).withColumn("nth", F.row_number().over(order))
-    rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("half", F.floor(F.col("n_chars") / 2).cast("int"))
-    rows = with_windows(rows, "text", "w")
-    own = (F.col("n_chars") - F.col("half")).cast("int")
-    end = F.substring("next", F.lit(1), F.col("half"))
-    edited = F.concat(F.substring("text", F.lit(1), own), end)
-    reach = GRAM + WINDOW - 2  # code points that a window has beside its first
-    rows = rows.withColumn("same", F.greatest(own - reach, F.lit(0))).withColumn("tail", F.concat(F.substring("text", F.col("same") + 1, own - F.col("same")), end))
-    rows = rows.withColumn("edited_sha256", F.sha2(edited.cast("binary"), 256)).withColumn("chosen", F.array_distinct("w"))
-    rows = with_windows(rows.drop("next"), "tail", "t").withColumn("t", F.array_distinct("t"))
-    anew = F.when((F.col("same") > 0) & (F.length("tail") <= reach), F.array().cast("array<bigint>")).otherwise(F.transform("t", lambda p: p - F.col("same")))
-    rows = rows.withColumn("edited_chosen", F.array_distinct(F.concat(F.slice("w", 1, F.col("same")), anew)))
-    rows = rows.select("range", "nth", "turn", "doc_id", "n_chars", "edited_sha256", "chosen", "edited_chosen", hashes("chosen").alias("f"), hashes("edited_chosen").alias("e"))
-    rows = rows.withColumn("f_next", F.lead("f").over(Window.partitionBy("range").orderBy("nth"))).where("turn = 0")
-    return rows.select(
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
-        printed("f").alias("fingerprint"),
-        printed("e").alias("edited_fingerprint"),
-        likeness("f", "e").alias("near_edited"),
-        likeness("f", "f_next").alias("near_next"),
-        positions("chosen").alias("positions"),
-        positions("edited_chosen").alias("edited_positions"),
-    )
+    rows = beside_next(docs).withColumn("next", F.lead("text").over(order)).where("turn = 0")
+    return rows.select("doc_id", "text", "next").mapInArrow(_compared, KINDS)
