@@ -203,7 +203,7 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, text: str = "text") -> DataF
     rows = docs.select("doc_id", (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.md5(body).alias("g"))
     # one row for each different (doc_id, text); rows that repeat are counted and told apart by `copy`
     rows = rows.groupBy("doc_id", "size", "text_crc32", "g").agg(F.count("*").alias("__times")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).drop("__times")
-    rows = saved(rows.withColumn("row_key", _row_key("doc_id", "g")).withColumn("rid", F.xxhash64("row_key", "copy")), "shard-rows")
+    rows = saved(rows.withColumn("row_key", _row_key("doc_id", "g")).withColumn("rid", F.xxhash64("doc_id", "g", "copy")), "shard-rows")
     counts = rows.groupBy("g").agg(F.count("*").alias("of_group"))
     total = rows.count()
     quotas = [total // n_shards + (k < total % n_shards) for k in range(n_shards)]
