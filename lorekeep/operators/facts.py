@@ -86,7 +86,7 @@ def loaded(records: DataFrame) -> DataFrame:
 def problems(records: DataFrame) -> DataFrame:
     """(id, problem) of every rule that a raw record breaks."""
     noted = F.lit(True)
-    if "diverges" in records.columns:
+    if {"diverges", "divergence_note"} <= set(records.columns):
         noted = ~F.coalesce(F.col("diverges"), F.lit(False)) | (F.coalesce(F.trim("divergence_note"), F.lit("")) != "")
     checks = F.array(
         F.when(~F.coalesce(F.col("id").rlike(r"^[a-z0-9][a-z0-9._-]{0,63}$"), F.lit(False)), "bad id"),

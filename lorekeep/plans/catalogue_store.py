@@ -180,7 +180,7 @@ def entity_profiles(spark, d):
 
 
 def _odd_payloads(spark: SparkSession, d: str) -> DataFrame:
-    """A payload for every turn, in one of seven shapes; in the second the first object is no segment and holds none."""
+    """A payload for every turn, in one of seven shapes."""
     name = F.regexp_replace("text", r"[^\p{L} ]+", " ")
     rows = table(spark, d, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("batch_id"), F.substring(F.trim(F.regexp_replace(name, " +", " ")), 1, 30).alias("name"))
     rows = rows.where("name <> ''").withColumn("name", F.trim("name")).withColumn("shape", F.col("batch_id") % 7)
@@ -201,7 +201,7 @@ ODD = r"""odd AS (SELECT conv_id * 100000 + turn AS batch_id, trim(substr(trim(r
 
 
 @query(
-    f"""WITH {ODD}, i AS (SELECT batch_id, name, unnest(CASE shape WHEN 0 THEN [1] WHEN 4 THEN [0] WHEN 5 THEN [0, 1] ELSE CAST([] AS INTEGER[]) END) AS index FROM odd WHERE name <> '')
+    f"""WITH {ODD}, i AS (SELECT batch_id, name, unnest(CASE shape WHEN 0 THEN [1] WHEN 1 THEN [0] WHEN 4 THEN [0] WHEN 5 THEN [0, 1] ELSE CAST([] AS INTEGER[]) END) AS index FROM odd WHERE name <> '')
     SELECT batch_id, index, name, 'PERSON' AS type FROM i UNION ALL SELECT batch_id, index, name || ' II', 'PROPER' FROM i"""
 )
 def payload_shapes(spark, d):
