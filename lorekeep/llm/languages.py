@@ -143,19 +143,20 @@ def fit(docs: DataFrame, per_language: int = 400, clusters: int = CLUSTERS) -> M
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score, rejected) for the whole of each text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # plain lists and arrays: workers need not be able to import this package
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.centres, model.least, model.idf))
 
     def run(batches):
-        m = shared.value
+        langs, centres, least, idf = shared.value
         for part, texts in _rows(batches, "text"):
-            lettered = np.array([t is not None and any(map(str.isalpha, t)) for t in texts]) & (len(m.langs) > 0)
+            lettered = np.array([t is not None and any(map(str.isalpha, t)) for t in texts]) & (len(langs) > 0)
             best, score = np.zeros(len(texts), dtype=int), np.zeros(len(texts))
-            if len(m.langs):
-                near = vectors(gram_counts([t or "" for t in texts]), m.idf) @ m.centres.T
+            if len(langs):
+                near = vectors(gram_counts([t or "" for t in texts]), idf) @ centres.T
                 best = np.argmax(near, axis=1)
                 score = np.where(lettered, np.clip(near[np.arange(len(texts)), best], 0, 1), 0.0)
-            names = [m.langs[b] if ok else "und" for b, ok in zip(best, lettered)]
-            rejected = [not ok or bool(s < m.least[b]) for b, s, ok in zip(best, score, lettered)]
+            names = [langs[b] if ok else "und" for b, ok in zip(best, lettered)]
+            rejected = [not ok or bool(s < least[b]) for b, s, ok in zip(best, score, lettered)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")

@@ -159,6 +159,11 @@ def _positives(spec: tuple[int, int, int, bool]):
     return run
 
 
+def _share(x: np.ndarray, percent: int) -> np.ndarray:
+    """x * percent div OF, where the product may exceed 64 bits."""
+    return x // OF * percent + x % OF * percent // OF
+
+
 def _negatives(spec: tuple[int, int, int, bool]):
     """The best rows of another label in a chunk in the band of each positive of the anchor."""
 
@@ -167,8 +172,8 @@ def _negatives(spec: tuple[int, int, int, bool]):
             for row in batch.to_pylist():
                 a, c = _read(row, "a_"), _read(row, "")
                 held = a["held"].reshape(len(a["rid"]), POSITIVES, 2)  # whether there is a positive, and its score
-                low = np.where(held[:, :, 0] > 0, -((-LOW * held[:, :, 1]) // OF), np.iinfo(np.int64).max)
-                high = np.where(held[:, :, 0] > 0, (HIGH * held[:, :, 1]) // OF, np.iinfo(np.int64).min)
+                low = np.where(held[:, :, 0] > 0, -_share(-held[:, :, 1], LOW), np.iinfo(np.int64).max)
+                high = np.where(held[:, :, 0] > 0, _share(held[:, :, 1], HIGH), np.iinfo(np.int64).min)
                 found = [np.zeros(0, np.int64)] * 4  # anchor, positive, place in the chunk, score
                 for at in range(0, len(c["label"]), TILE):
                     scores = products(a["data"], c["data"][at : at + TILE], spec)

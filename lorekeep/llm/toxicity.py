@@ -60,16 +60,25 @@ class Model:
     factors: np.ndarray
     bias: float
 
+    def parts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """What is broadcast: plain arrays, so that workers need not be able to import this package."""
+        return self.slot, self.weight, self.factors, self.bias
+
     def scores(self, n: int, rows: np.ndarray, buckets: np.ndarray) -> np.ndarray:
-        """buckets must be distinct within each row."""
-        share = 0.5 / np.maximum(np.bincount(rows, minlength=n), 1)
-        at = self.slot[buckets]
-        rows, at = rows[at > 0], at[at > 0]
-        z = np.bincount(rows, self.weight[at], n) + self.bias
-        for v in self.factors.T:
-            s = np.bincount(rows, v[at], n)
-            z += share * (s * s - np.bincount(rows, v[at] ** 2, n))
-        return _sigmoid(z)
+        return scores(self.parts(), n, rows, buckets)
+
+
+def scores(parts: tuple[np.ndarray, np.ndarray, np.ndarray, float], n: int, rows: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    """Of n texts; buckets must be distinct within each row."""
+    slot, weight, factors, bias = parts
+    share = 0.5 / np.maximum(np.bincount(rows, minlength=n), 1)
+    at = slot[buckets]
+    rows, at = rows[at > 0], at[at > 0]
+    z = np.bincount(rows, weight[at], n) + bias
+    for v in factors.T:
+        s = np.bincount(rows, v[at], n)
+        z += share * (s * s - np.bincount(rows, v[at] ** 2, n))
+    return _sigmoid(z)
 
 
 def terms(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,12 +204,12 @@ def fit(docs: DataFrame, labelled: DataFrame, per_class: int = 4000) -> Model:
 
 def score(docs: DataFrame, model: Model, columns: list[str], text: str = "text") -> DataFrame:
     """The given columns of docs and `score`, for the whole of each text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts())
     chosen = docs.select(*[F.col(c) for c in columns], F.col(text).alias("__text"))
 
     def run(batches):
         for batch, raw, offsets in T.pieces(batches, "__text"):
-            s = shared.value.scores(batch.num_rows, *terms(raw, offsets))
+            s = scores(shared.value, batch.num_rows, *terms(raw, offsets))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s)], names=[*columns, "score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
@@ -209,11 +218,11 @@ def score(docs: DataFrame, model: Model, columns: list[str], text: str = "text")
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose score is below the threshold."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts())
 
     def run(batches):
         for batch, raw, offsets in T.pieces(batches, text):
-            s = shared.value.scores(batch.num_rows, *terms(raw, offsets))
+            s = scores(shared.value, batch.num_rows, *terms(raw, offsets))
             yield batch.filter(pa.array(s < threshold))
 
     return docs.mapInArrow(run, docs.schema)
