@@ -1,4 +1,8 @@
-"""Hashed feature vectors in long form, and cosine."""
+"""Hashed feature vectors, dense or in long form, and cosine.
+
+Dense vectors are one array a row. Queries come in blocks of a stated batch; each block is
+multiplied with the vectors of a task as matrices, so a product makes no rows of its own.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import BIGRAM_WEIGHT, FNV_OFFSET, FNV_PRIME, FOLDED_STOPWORDS, HASH_DIMS, INDEX_SEED, SIGN_SEED, STOP_WEIGHT, TRIGRAM_WEIGHT, WORD_WEIGHT, tokens
-from ..session import bounded
+from ..session import saved, small
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -19,6 +23,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 STEP_TOKENS = 200_000
 #: A broadcast side is counted first and holds at most so many rows.
 BROADCAST_ROWS = 200_000
+#: Queries of one pass, products of one step, and what counts as a tie.
+QUERIES_AT_ONCE, STEP_PRODUCTS, SLACK = 2_048, 2_000_000, 1e-6
 
 
 class _Words:
@@ -93,35 +99,131 @@ def _vectors(dims: int):
             out += np.bincount(row[next_to] * dims + (states[0] % dims)[which], np.where(states[1] % 2 == 1, 1.0, -1.0)[which] * BIGRAM_WEIGHT, n * dims)
         return out.reshape(n, dims)
 
+    return of
+
+
+def hashed_rows(dims: int = HASH_DIMS):
+    """Lists of tokens (an Arrow array) to rows of unit length (of zeros without a token), a bounded step at a time."""
+    of = _vectors(dims)
+
+    def run(lists: pa.Array) -> np.ndarray:
+        counts, at, out = np.diff(np.asarray(lists.offsets)), 0, [np.zeros((0, dims))]
+        while at < len(lists):
+            upto = max(at + 1, at + int(np.searchsorted(np.cumsum(counts[at:]), STEP_TOKENS, side="right")))
+            dense = of(lists.slice(at, upto - at))
+            out.append(dense / np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-300))
+            at = upto
+        return np.concatenate(out)
+
+    return run
+
+
+def _embedded(dims: int, rows_at_once: int = 2_000):
+    rows_of = hashed_rows(dims)
+
     def run(batches):
         for batch in batches:
-            lists = batch.column(batch.num_columns - 1)
-            counts, at = np.diff(np.asarray(lists.offsets)), 0
-            while at < batch.num_rows:
-                upto = max(at + 1, at + int(np.searchsorted(np.cumsum(counts[at:]), STEP_TOKENS, side="right")))
-                dense = of(lists.slice(at, upto - at))
-                dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-300)
-                rows, at_dim = np.nonzero(dense)
-                keys = [c.slice(at, upto - at).take(pa.array(rows)) for c in batch.columns[:-1]]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(at_dim.astype(np.int32)), pa.array(dense[rows, at_dim])], names=[*batch.schema.names[:-1], "dim", "value"])
-                at = upto
+            for at in range(0, batch.num_rows, rows_at_once):
+                part = batch.slice(at, rows_at_once)
+                yield part, rows_of(part.column(part.num_columns - 1))
 
     return run
 
 
+def _kinds(df: DataFrame, n: int) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:n])
+
+
 def hash_embed(units: DataFrame, key: list[str], text: str = "text", dims: int = HASH_DIMS) -> DataFrame:
     """(key..., dim, value), unit length: every word, trigram of a word that is no stopword, and word pair adds its signed
     weight to one dimension. One row of units gives one vector without a shuffle; a task hashes its distinct words and
     pairs once a step."""
-    held = units.select(*key, tokens(text).alias("t"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields[:-1])
-    return held.mapInArrow(_vectors(dims), f"{kinds}, dim int, value double")
+    held, of = units.select(*key, tokens(text).alias("t")), _embedded(dims)
+
+    def run(batches):
+        for part, dense in of(batches):
+            rows, at_dim = np.nonzero(dense)
+            keys = [c.take(pa.array(rows)) for c in part.columns[:-1]]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(at_dim.astype(np.int32)), pa.array(dense[rows, at_dim])], names=[*part.schema.names[:-1], "dim", "value"])
+
+    return held.mapInArrow(run, f"{_kinds(held, -1)}, dim int, value double")
+
+
+def hash_vectors(units: DataFrame, key: list[str], text: str = "text", dims: int = HASH_DIMS) -> DataFrame:
+    """(key..., vec): the same vectors, one array a row; units without a token have none."""
+    held, of = units.select(*key, tokens(text).alias("t")), _embedded(dims)
+
+    def run(batches):
+        for part, dense in of(batches):
+            some = np.flatnonzero(dense.any(axis=1))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * dims), pa.array(dense[some].ravel()))
+            yield pa.RecordBatch.from_arrays([*[c.take(pa.array(some)) for c in part.columns[:-1]], lists], names=[*part.schema.names[:-1], "vec"])
+
+    return held.mapInArrow(run, f"{_kinds(held, -1)}, vec array<double>")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten()).reshape(len(column), -1)
+
+
+def _products(shared, names: list[str], k: int | None):
+    """Rows (key..., place, vec) times a block of queries of the same place to rows (query_id, key..., sim), positive ones."""
+
+    def run(batches):
+        ids, places, wanted = shared.value
+        for batch in batches:
+            place = np.array(batch.column(batch.num_columns - 2).to_pylist(), dtype=object)
+            for here in set(place.tolist()) & places.keys():
+                mine, asked = np.flatnonzero(place == here), places[here]
+                step = max(1, STEP_PRODUCTS // len(asked))
+                for at in range(0, len(mine), step):
+                    rows = mine[at : at + step]
+                    sims = _matrix(batch.column(batch.num_columns - 1).take(pa.array(rows))) @ wanted[asked].T
+                    least = 0.0 if k is None or k >= len(rows) else np.maximum(np.partition(sims, len(rows) - k, axis=0)[len(rows) - k] - SLACK, 0.0)
+                    i, j = np.nonzero((sims > 0) & (sims >= least))
+                    keys = [c.take(pa.array(rows[i])) for c in batch.columns[:-2]]
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[q] for q in asked[j]]) if len(j) else pa.array([], type=pa.int64()), *keys, pa.array(sims[i, j])], names=names)
+
+    return run
+
+
+def similarities(vectors: DataFrame, queries: DataFrame, key: list[str], within: str | None = None, k: int | None = None) -> DataFrame:
+    """(query_id, key..., sim) of vectors(key..., vec) and queries(query_id, vec), all of unit length, where sim is positive;
+    with `within`, a column of both, only inside it; with k, at least the k best of each query (each task's best, and what
+    ties with them up to SLACK, for a top-k that follows).
+
+    The batch comes to the driver in blocks of at most QUERIES_AT_ONCE; each block is one pass over the vectors.
+    """
+    spark = vectors.sparkSession
+    place = F.col(within).cast("string") if within else F.lit("")
+    held = vectors.select(*key, F.coalesce(place, F.lit("")).alias("__place"), "vec")
+    kinds = f"query_id long, {_kinds(held, len(key))}, sim double"
+    parts, block = [], []
+
+    def passed() -> None:
+        places: dict[str, list[int]] = {}
+        for i, r in enumerate(block):
+            places.setdefault(r["place"], []).append(i)
+        shared = spark.sparkContext.broadcast(([r["query_id"] for r in block], {p: np.array(i) for p, i in places.items()}, np.array([r["vec"] for r in block])))
+        parts.append(held.mapInArrow(_products(shared, ["query_id", *key, "sim"], k), kinds))
+
+    for row in saved(queries.select("query_id", F.coalesce(place, F.lit("")).alias("place"), "vec"), "query-vectors").toLocalIterator():
+        block.append(row)
+        if len(block) == QUERIES_AT_ONCE:
+            passed()
+            block.clear()
+    if block or not parts:
+        passed()
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def sparse_cosine(units: DataFrame, key: list[str], queries: DataFrame) -> DataFrame:
     """(query_id, key..., sim) over vectors in long form; queries(query_id, dim, value) is a stated batch."""
     q = queries.select("query_id", "dim", F.col("value").alias("asked"))
-    met = units.join(bounded(q, BROADCAST_ROWS), "dim").groupBy("query_id", *key).agg(F.sum(F.col("value") * F.col("asked")).alias("dot"))
+    met = units.join(small(q, "asked-vectors", BROADCAST_ROWS), "dim").groupBy("query_id", *key).agg(F.sum(F.col("value") * F.col("asked")).alias("dot"))
     return met.select("query_id", *key, F.greatest(F.lit(0.0), "dot").alias("sim"))
 
 
@@ -132,7 +234,7 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     held = vectors.withColumn("norm", length("embedding"))
     asked = queries.withColumn("q_norm", length("wanted"))
-    both = held.join(bounded(asked, BROADCAST_ROWS), F.lit(True))  # a stated query set against all rows
+    both = held.join(small(asked, "asked-vectors", BROADCAST_ROWS), F.lit(True))  # a stated query set against all rows
     dot = F.aggregate(F.zip_with("embedding", "wanted", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
     scored = both.select("query_id", "vec_id", F.round(dot / (F.col("norm") * F.col("q_norm")), 6).alias("sim"))
     best = Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")

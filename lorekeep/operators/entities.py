@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ACCENTED, FOLDED_STOPWORDS, PLAIN, STOPWORDS, canonical, strip, tokens
-from ..session import bounded
+from ..session import small
 
 #: A broadcast side is counted first and holds at most so many rows.
 BROADCAST_ROWS = 200_000
@@ -37,38 +37,41 @@ def type_of_source(name: Column) -> Column:
     return F.when(low.rlike("character|nhan-vat|nhanvat"), "PERSON").when(low.rlike("location|place|dia-diem"), "PLACE").otherwise("CONCEPT")
 
 
-def gazetteer_of(documents: DataFrame, name: str = "source", text: str = "text") -> DataFrame:
-    """(key, name, type) from markdown: section headings, and bold capitalised terms of several words; the first wins."""
-    heads = documents.select(F.col(name).alias("source"), F.lit(0).alias("rank"), F.posexplode(F.regexp_extract_all(text, F.lit(r"(?m)^#{2,6}\s+(.+?)\s*$"), F.lit(1))).alias("at", "raw"))
-    heads = heads.select("source", "rank", "at", clean_heading(F.col("raw")).alias("name"), type_of_source(F.col("source")).alias("type"))
-    bold = documents.select(F.col(name).alias("source"), F.lit(1).alias("rank"), F.posexplode(F.regexp_extract_all(text, F.lit(r"\*\*(.+?)\*\*(?!\s*[:：])"), F.lit(1))).alias("at", "raw"))
-    bold = bold.select("source", "rank", "at", clean_heading(F.col("raw")).alias("name"), F.lit("ITEM").alias("type"))
+def gazetteer_of(documents: DataFrame, name: str = "source", text: str = "text", within: tuple[str, ...] = ()) -> DataFrame:
+    """(within..., key, name, type) from markdown: section headings, and bold capitalised terms of several words; the first
+    wins, in each value of within."""
+    heads = documents.select(*within, F.col(name).alias("source"), F.lit(0).alias("rank"), F.posexplode(F.regexp_extract_all(text, F.lit(r"(?m)^#{2,6}\s+(.+?)\s*$"), F.lit(1))).alias("at", "raw"))
+    heads = heads.select(*within, "source", "rank", "at", clean_heading(F.col("raw")).alias("name"), type_of_source(F.col("source")).alias("type"))
+    bold = documents.select(*within, F.col(name).alias("source"), F.lit(1).alias("rank"), F.posexplode(F.regexp_extract_all(text, F.lit(r"\*\*(.+?)\*\*(?!\s*[:：])"), F.lit(1))).alias("at", "raw"))
+    bold = bold.select(*within, "source", "rank", "at", clean_heading(F.col("raw")).alias("name"), F.lit("ITEM").alias("type"))
     bold = bold.where(F.length("name").between(2, 40) & F.col("name").rlike(r"^\p{Lu}") & F.contains("name", F.lit(" ")))
     every = heads.unionByName(bold).where((F.length("name") >= 2) & ~is_section_label(F.col("name")))
     every = every.withColumn("key", canonical("name")).where((F.col("key") != "") & ~F.col("key").isin(STOPWORDS))
-    return every.groupBy("key").agg(F.min_by(F.struct("name", "type"), F.struct("source", "rank", "at")).alias("v")).select("key", "v.name", "v.type")
+    return every.groupBy(*within, "key").agg(F.min_by(F.struct("name", "type"), F.struct("source", "rank", "at")).alias("v")).select(*within, "key", "v.name", "v.type")
 
 
-def frequent_terms(documents: DataFrame, share: float, text: str = "text", min_length: int = 5) -> DataFrame:
-    """(key, name, type): the content tokens that at least this share of all documents hold, as a gazetteer. There are at
-    most a document's mean number of tokens over share of them, however many documents there are."""
-    found = documents.select(F.explode(F.array_distinct(tokens(text))).alias("key")).where(F.length("key") >= min_length).where(~F.col("key").isin(FOLDED_STOPWORDS))
-    total = documents.agg((F.count("*") * share).alias("least"))
-    top = found.groupBy("key").agg(F.count("*").alias("df")).join(F.broadcast(total), F.col("df") >= F.col("least"))  # one row
-    return top.select("key", F.col("key").alias("name"), F.lit("CONCEPT").alias("type"))
+def frequent_terms(documents: DataFrame, share: float, text: str = "text", min_length: int = 5, within: tuple[str, ...] = ()) -> DataFrame:
+    """(within..., key, name, type): the content tokens that at least this share of all documents (of each value of within) hold,
+    as a gazetteer. There are at most a document's mean number of tokens over share of them, however many documents there are."""
+    found = documents.select(*within, F.explode(F.array_distinct(tokens(text))).alias("key")).where(F.length("key") >= min_length).where(~F.col("key").isin(FOLDED_STOPWORDS))
+    total = documents.groupBy(*within).agg((F.count("*") * share).alias("least"))
+    df = found.groupBy(*within, "key").agg(F.count("*").alias("df"))
+    top = df.join(F.broadcast(total), list(within)).where("df >= least") if within else df.join(F.broadcast(total), F.col("df") >= F.col("least"))  # a row for each value of within
+    return top.select(*within, "key", F.col("key").alias("name"), F.lit("CONCEPT").alias("type"))
 
 
 def mentions(units: DataFrame, key: list[str], gazetteer: DataFrame, text: str = "text") -> DataFrame:
     """(key..., entity, count): whole-word, case-insensitive occurrences of a name or its spelling without accents.
 
     Names are joined to units on their first word; a name of one word is counted by that join alone, one of several
-    words is then counted in the text. The gazetteer is counted, and broadcast if it is small enough.
+    words is then counted in the text. The gazetteer is saved and counted, and broadcast if it is small enough. Where it
+    has columns of key (a workspace), its names are known only there.
     """
-    low = F.lower(F.col("name"))
-    variants = gazetteer.select(F.col("key").alias("entity"), F.explode(F.array_distinct(F.array(low, F.translate(low, ACCENTED, PLAIN)))).alias("form"))
+    low, within = F.lower(F.col("name")), [c for c in key if c in gazetteer.columns]
+    variants = gazetteer.select(*within, F.col("key").alias("entity"), F.explode(F.array_distinct(F.array(low, F.translate(low, ACCENTED, PLAIN)))).alias("form"))
     variants = variants.withColumn("word", F.regexp_extract("form", LETTERS + "+", 0)).withColumn("single", F.col("word") == F.col("form"))
     words = units.select(*key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(LETTERS + "+"), F.lit(0))).alias("word"))
-    met = words.join(bounded(variants, BROADCAST_ROWS), "word").groupBy(*key, "entity", "form", "single").agg(F.count("*").alias("n"))
+    met = words.join(small(variants, "names", BROADCAST_ROWS), [*within, "word"]).groupBy(*key, "entity", "form", "single").agg(F.count("*").alias("n"))
     one = met.where("single").select(*key, "entity", F.col("n").alias("count"))
     several = met.where("not single").join(units.select(*key, F.lower(text).alias("__low")), key)
     quoted = F.concat(F.lit(rf"(?<!{LETTERS})\Q"), F.col("form"), F.lit(rf"\E(?!{LETTERS})"))
@@ -123,7 +126,8 @@ def proper_nouns(units: DataFrame, key: list[str], text: str = "text", longest:
 
 def all_mentions(units: DataFrame, key: list[str], gazetteer: DataFrame, text: str = "text") -> DataFrame:
     """Known names, then other proper names, chapter references and numbers: (key..., entity, name, type, count)."""
-    known = mentions(units, key, gazetteer, text).join(gazetteer.select(F.col("key").alias("entity"), "name", "type"), "entity")
+    within = [c for c in key if c in gazetteer.columns]
+    known = mentions(units, key, gazetteer, text).join(gazetteer.select(*within, F.col("key").alias("entity"), "name", "type"), [*within, "entity"])
     scanned = proper_nouns(units, key, text).withColumn("type", F.lit("PROPER")).join(known.select(*key, "entity"), [*key, "entity"], "left_anti")
     chapters = chapter_mentions(units, key, text).withColumn("name", F.regexp_replace("entity", "chapter:", "Chương ")).withColumn("type", F.lit("CHAPTER"))
     numbers = number_mentions(units, key, text).withColumn("name", F.substring("entity", 5, 1000)).withColumn("type", F.lit("NUMBER"))

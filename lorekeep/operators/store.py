@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import dense, entities, segments
+from ..session import saved
+from . import dense, entities, index, segments
+from .versions import Versions
 
 # Where the ordinals of reference and of narrative sources begin.
 REFERENCE_BASE, NARRATIVE_BASE = 0, 1000
@@ -52,8 +54,14 @@ def write_superseding(fresh: DataFrame, path: str, parts: tuple[str, ...] = ("wo
     fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
 
 
+def _node(*tables: DataFrame) -> list[str]:
+    """What an entity is known by: its workspace, where all of these tables have one, and its key."""
+    return [c for c in ("workspace", "entity") if all(c in t.columns for t in tables)]
+
+
 def without_orphans(entities: DataFrame, mentions: DataFrame) -> DataFrame:
-    return entities.join(mentions.select("entity").distinct(), "entity", "left_semi")
+    node = _node(entities, mentions)
+    return entities.join(mentions.select(*node).distinct(), node, "left_semi")
 
 
 def source_summary(sources: DataFrame, segments: DataFrame) -> DataFrame:
@@ -90,14 +98,15 @@ def accumulated(table: DataFrame, fresh: DataFrame, key: list[str], count: str =
 
 def indexed(sources: DataFrame, gazetteer: DataFrame) -> dict[str, DataFrame]:
     """The tables of sources(workspace, source, kind, chapter, ordinal, text): segments, mentions with those that headings
-    pass on, entities and vectors. Headings count as text of their segments."""
+    pass on, entities and vectors. Headings count as text of their segments. Names are those of the gazetteer(key, name, type),
+    and, if it has a workspace, only that workspace's."""
     key = ["workspace", "source"]
     seg = segments.segment(sources)
     units = seg.withColumn("text", segments.indexable())
     found = entities.all_mentions(units, [*key, "seq"], gazetteer)
-    known = found.groupBy("entity").agg(F.min_by(F.struct("name", "type"), F.struct("workspace", "source", "seq")).alias("n")).select("entity", "n.name", "n.type")
+    known = found.groupBy("workspace", "entity").agg(F.min_by(F.struct("name", "type"), F.struct("source", "seq")).alias("n")).select("workspace", "entity", "n.name", "n.type")
     mentions = entities.with_heading_mentions(seg, found.select(*key, "seq", "entity", "count"), key)
-    return {"sources": sources.drop("text"), "segments": seg, "mentions": mentions, "entities": known, "vectors": dense.hash_embed(units, [*key, "seq"])}
+    return {"sources": sources.drop("text"), "segments": seg, "mentions": mentions, "entities": known, "vectors": dense.hash_vectors(units, [*key, "seq"])}
 
 
 def ingested(tables: dict[str, DataFrame], fresh: DataFrame, gazetteer: DataFrame) -> dict[str, DataFrame]:
@@ -106,10 +115,44 @@ def ingested(tables: dict[str, DataFrame], fresh: DataFrame, gazetteer: DataFram
     new = indexed(fresh, gazetteer)
     kept = without_sources(tables, fresh)
     both = {n: kept[n].unionByName(new[n]) for n in ("sources", "segments", "mentions", "vectors") if n in kept}
-    added = new["entities"].join(tables["entities"].select("entity"), "entity", "left_anti")
+    node = _node(tables["entities"], new["entities"])
+    added = new["entities"].join(tables["entities"].select(*node), node, "left_anti")
     return kept | both | {"entities": without_orphans(tables["entities"].unionByName(added), both["mentions"])}
 
 
+#: Names are kept whatever happens to the source that had them first; the index's sums are added up; other tables go by source.
+UNKEYED = index.SUMMED | {"names": []}
+
+
+def commit_sources(versions: Versions, fresh: DataFrame, gazetteer: DataFrame, relations: DataFrame | None = None) -> int:
+    """Ingest fresh(workspace, source, kind, chapter, ordinal, text) as one version: whatever the store has of these sources is
+    replaced in all tables at once. relations(workspace, source, id, subject, relation, object) are theirs. Only these sources
+    are read, and the postings that they replace."""
+    now, fresh = versions.number(), saved(fresh, "fresh")
+    new = indexed(fresh, gazetteer)
+    seg = saved(new["segments"], "fresh-segments")
+    units = seg.withColumn("text", segments.indexable()).select("workspace", "source", "seq", "text")
+    new = new | {"segments": seg} | index.built(units, ["workspace", "source", "seq"], ("workspace",))
+    new["names"] = new.pop("entities").withColumn("seen", F.lit(now).cast("long"))
+    own = relations if relations is not None else fresh.sparkSession.createDataFrame([], "workspace string, source string, id long, subject string, relation string, object string")
+    new["relations"] = own.select("workspace", "source", "id", "subject", "relation", "object")
+    if now:
+        less = index.removal(versions.tables(now), fresh, ["workspace", "source"], ("workspace",))
+        new |= {n: new[n].unionByName(less[n]) for n in index.SUMMED}
+    return versions.commit(new, fresh, UNKEYED)
+
+
+def commit_deletion(versions: Versions, gone: DataFrame) -> int:
+    """Delete the sources of gone(workspace, source) from all tables at once."""
+    return versions.commit(index.removal(versions.tables(), gone, ["workspace", "source"], ("workspace",)), gone, UNKEYED)
+
+
+def entities_of(tables: dict[str, DataFrame]) -> DataFrame:
+    """(workspace, entity, name, type) of what is mentioned, by the name that was seen first."""
+    names = tables["names"].groupBy("workspace", "entity").agg(F.min_by(F.struct("name", "type"), F.struct("seen", "name")).alias("n"))
+    return without_orphans(names.select("workspace", "entity", "n.name", "n.type"), tables["mentions"])
+
+
 def of_space(vectors: DataFrame, space: str) -> DataFrame:
     return vectors.where(F.col("space") == space)
 

@@ -11,7 +11,8 @@ from ..session import saved, table
 from . import sql as S
 from .catalogue import asked, documents, query, segments_of, sources, terms_sql
 
-SEG = ["source", "seq"]
+SEG = ["workspace", "source", "seq"]
+NODE = ["workspace", "entity"]
 #: Known names, where the driver's tables have none: the terms that at least this share of the documents hold.
 SHARE = 0.03
 
@@ -21,12 +22,21 @@ MEN = r"""men AS (SELECT source, seq, w AS entity, count(*) AS n FROM (SELECT so
 BASE = f"{S.SEGMENTS}, {GAZ}, {MEN}"
 
 
+def in_one(df: DataFrame) -> DataFrame:
+    """All rows as one workspace; catalogue_workspace.py has queries over several."""
+    return df.withColumn("workspace", F.lit("all"))
+
+
+def one_space(spark: SparkSession, d: str) -> DataFrame:
+    return in_one(segments_of(spark, d))
+
+
 def gazetteer(spark: SparkSession, d: str) -> DataFrame:
     return entities.frequent_terms(documents(spark, d), SHARE)
 
 
 def mentions_of(spark: SparkSession, d: str) -> DataFrame:
-    return saved(entities.mentions(segments_of(spark, d), SEG, saved(gazetteer(spark, d), "gazetteer")), "mentions")
+    return saved(entities.mentions(one_space(spark, d), SEG, gazetteer(spark, d)), "mentions")
 
 
 # ---- entities ---------------------------------------------------------------
@@ -62,7 +72,7 @@ def entity_totals(spark, d):
 def entity_gc(spark, d):
     from ..operators.store import without_orphans
 
-    kept = segments_of(spark, d).where("kind = 'reference'").select(*SEG)
+    kept = one_space(spark, d).where("kind = 'reference'").select(*SEG)
     return without_orphans(gazetteer(spark, d).select(F.col("key").alias("entity")), mentions_of(spark, d).join(kept, SEG, "left_semi"))
 
 
@@ -84,11 +94,12 @@ seed AS (SELECT query_id, entity, score / sum(score) OVER (PARTITION BY query_id
 
 
 def question_keys(spark: SparkSession, d: str) -> DataFrame:
-    return entities.mentions(questions(spark, d), ["query_id"], gazetteer(spark, d), "query").select("query_id", F.col("entity").alias("key"))
+    found = entities.mentions(questions(spark, d), ["query_id"], gazetteer(spark, d), "query")
+    return in_one(found.select("query_id", F.col("entity").alias("key")))
 
 
 def seeds_of(spark: SparkSession, d: str, men: DataFrame) -> DataFrame:
-    return graph.seeds(men.select("entity").distinct(), question_keys(spark, d))
+    return graph.seeds(men.select(*NODE).distinct(), question_keys(spark, d))
 
 
 @query(f"WITH {BASE}, {SEEDS} SELECT query_id, entity, round(weight, 6) AS weight FROM seed")
@@ -98,18 +109,31 @@ def seed_alignment(spark, d):
 
 STEPS = """step AS (SELECT a.entity AS src, b.entity AS dst, sum((a.n / ce.c) * (b.n / cs.c)) AS p FROM men a JOIN men b USING (source, seq)
     JOIN (SELECT entity, sum(n) AS c FROM men GROUP BY entity) ce ON ce.entity = a.entity JOIN (SELECT source, seq, sum(n) AS c FROM men GROUP BY ALL) cs USING (source, seq) GROUP BY ALL)"""
-PPR = "pi0 AS (SELECT query_id, entity, weight AS pi FROM seed), " + ", ".join(
-    f"""pi{i} AS (SELECT query_id, entity, sum(pi) AS pi FROM (SELECT query_id, dst AS entity, CAST(0.6 AS DOUBLE) * sum(pi * p) AS pi FROM pi{i - 1} JOIN step ON src = entity GROUP BY ALL
-    UNION ALL SELECT query_id, entity, CAST(0.4 AS DOUBLE) * weight FROM seed) GROUP BY ALL)"""
-    for i in range(1, graph.ROUNDS + 1)
-)
-LAST = f"pi{graph.ROUNDS}"
+
+
+def ppr_sql(ws: str = "") -> str:
+    """CTEs that end in pi(query_id, entity, pi, rounds): a query leaves the rounds when it has come to rest."""
+    out = [f"a0 AS MATERIALIZED (SELECT query_id, {ws}entity, weight AS pi FROM seed)"]
+    for i in range(1, graph.ROUNDS + 1):
+        out.append(
+            f"""m{i} AS MATERIALIZED (SELECT query_id, {ws}entity, sum(pi) AS pi, sum(was) AS was FROM (
+            SELECT query_id, {"a." if ws else ""}{ws}dst AS entity, CAST({graph.GAMMA} AS DOUBLE) * sum(pi * p) AS pi, 0 AS was FROM a{i - 1} a JOIN step ON src = entity{" AND a.workspace = step.workspace" if ws else ""} GROUP BY ALL
+            UNION ALL SELECT query_id, {ws}entity, CAST({1 - graph.GAMMA} AS DOUBLE) * weight, 0 FROM seed WHERE query_id IN (SELECT query_id FROM a{i - 1})
+            UNION ALL SELECT query_id, {ws}entity, 0, pi FROM a{i - 1}) GROUP BY ALL),
+        d{i} AS MATERIALIZED (SELECT *, sum(abs(pi - was)) OVER (PARTITION BY query_id) AS delta FROM m{i}),
+        a{i} AS MATERIALIZED (SELECT query_id, {ws}entity, pi FROM d{i} WHERE delta >= CAST({graph.TOLERANCE} AS DOUBLE))"""
+        )
+    rest = " UNION ALL ".join(f"SELECT query_id, {ws}entity, pi, {i} AS rounds FROM d{i} WHERE {'true' if i == graph.ROUNDS else f'delta < CAST({graph.TOLERANCE} AS DOUBLE)'}" for i in range(1, graph.ROUNDS + 1))
+    return ", ".join(out) + f", pi AS ({rest})"
+
+
+PPR, LAST = ppr_sql(), "pi"
 
 
 def activations(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(mentions, pi) of the stated batch."""
     men = mentions_of(spark, d)
-    return men, graph.ppr(saved(graph.transitions(men, SEG), "steps"), saved(seeds_of(spark, d, men), "seeds"))
+    return men, graph.ppr(graph.steps(men, SEG), saved(seeds_of(spark, d, men), "seeds"), SEG)
 
 
 @query(f"WITH {BASE}, {SEEDS}, {STEPS}, {PPR} SELECT query_id, entity, round(pi, 5) AS pi FROM {LAST}")
@@ -117,6 +141,12 @@ def ppr_scores(spark, d):
     return activations(spark, d)[1].select("query_id", "entity", F.round("pi", 5).alias("pi"))
 
 
+@query(f"WITH {BASE}, {SEEDS}, {STEPS}, {PPR} SELECT query_id, any_value(rounds) AS rounds, count(*) AS entities, round(sum(pi), 6) AS mass FROM {LAST} GROUP BY query_id")
+def ppr_rounds(spark, d):
+    """How many rounds each question took to come to rest."""
+    return activations(spark, d)[1].groupBy("query_id").agg(F.max("rounds").alias("rounds"), F.count("*").alias("entities"), F.round(F.sum("pi"), 6).alias("mass"))
+
+
 GRAPH = f"gs AS (SELECT query_id, source, seq, sum(pi) AS score FROM men JOIN {LAST} USING (entity) GROUP BY ALL)"
 
 
@@ -135,8 +165,8 @@ WEIGHED = "wm AS (SELECT *, n / sum(n) OVER (PARTITION BY source, seq) AS w FROM
 )
 def entity_neighbours(spark, d):
     men = mentions_of(spark, d)
-    out = graph.neighbours(men, SEG, gazetteer(spark, d).select(F.col("key").alias("entity")))
-    return out.withColumn("rank", F.col("rank").cast("long"))
+    out = graph.neighbours(men, SEG, in_one(gazetteer(spark, d).select(F.col("key").alias("entity"))))
+    return out.drop("workspace").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(
@@ -147,7 +177,7 @@ def entity_neighbours(spark, d):
 def entity_profile(spark, d):
     men = mentions_of(spark, d)
     back = Window.partitionBy("entity").orderBy(F.desc("ordinal"), F.desc("source"), F.desc("seq"))
-    last = men.join(segments_of(spark, d).select(*SEG, "ordinal"), SEG).withColumn("back", F.row_number().over(back)).where("back <= 8")
+    last = men.join(one_space(spark, d).select(*SEG, "ordinal"), SEG).withColumn("back", F.row_number().over(back)).where("back <= 8")
     shown = last.groupBy("entity").agg(F.count("*").alias("shown"), F.min("ordinal").alias("first_ordinal"), F.max("ordinal").alias("last_ordinal"))
     return shown.join(graph.entity_totals(men).select("entity", "total"), "entity").select("entity", "total", "shown", "first_ordinal", "last_ordinal")
 
@@ -167,10 +197,10 @@ hier AS (SELECT query_id, source, g.seq, CAST(0.85 AS DOUBLE) * coalesce(u, 0) +
 
 def _views(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(segments, lexical, sims) of the stated batch."""
-    seg = saved(segments_of(spark, d), "segments")
+    seg = saved(one_space(spark, d), "segments")
     batch = questions(spark, d)
     lex = lexical.bm25(seg, SEG, lexical.query_terms(batch))
-    sims = dense.sparse_cosine(dense.hash_embed(seg, SEG), SEG, dense.hash_embed(batch, ["query_id"], "query"))
+    sims = dense.similarities(dense.hash_vectors(seg, SEG), dense.hash_vectors(batch, ["query_id"], "query"), SEG)
     return seg, lex, sims
 
 
@@ -180,14 +210,14 @@ def hierarchy_view(spark, d):
     return retrieval.hierarchy_view(seg, lex, sims).select("query_id", "source", F.col("seq").cast("long").alias("seq"), F.round("score", 5).alias("score"))
 
 
-FUSED = f"""{S.SEGMENTS}, {GAZ}, {MEN}, {SEEDS}, {STEPS}, {PPR}, {GRAPH}, {LEX}, {DENSE}, {VIEW},
-graph_max AS (SELECT query_id, source, seq, score / max(score) OVER (PARTITION BY query_id) AS base, source || '#' || seq AS k FROM gs),
+FUSION = """graph_max AS (SELECT query_id, source, seq, score / max(score) OVER (PARTITION BY query_id) AS base, source || '#' || seq AS k FROM gs),
 graph_view AS (SELECT query_id, source, seq, CAST(0.75 AS DOUBLE) * base + CAST(0.25 AS DOUBLE) * greatest(0, coalesce(sim, 0)) AS g FROM graph_max LEFT JOIN sims USING (query_id, k)),
 gn AS (SELECT query_id, source, seq, g / max(g) OVER (PARTITION BY query_id) AS g FROM graph_view),
 hn AS (SELECT query_id, source, seq, score / max(score) OVER (PARTITION BY query_id) AS h FROM hier WHERE score > 0),
 fused AS (SELECT query_id, source, seq, coalesce(g, 0) AS g, coalesce(h, 0) AS h,
     CASE WHEN query_id IN (SELECT query_id FROM seed) THEN CAST(0.6 AS DOUBLE) * coalesce(g, 0) + (1 - CAST(0.6 AS DOUBLE)) * coalesce(h, 0) ELSE CAST(0.6 AS DOUBLE) * coalesce(h, 0) + (1 - CAST(0.6 AS DOUBLE)) * coalesce(g, 0) END AS score
     FROM gn FULL JOIN hn USING (query_id, source, seq))"""
+FUSED = f"{S.SEGMENTS}, {GAZ}, {MEN}, {SEEDS}, {STEPS}, {PPR}, {GRAPH}, {LEX}, {DENSE}, {VIEW}, {FUSION}"
 
 
 def _fused(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -195,7 +225,7 @@ def _fused(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     sims = saved(sims, "sims")
     men = saved(entities.mentions(seg, SEG, gazetteer(spark, d)), "mentions")
     start = saved(seeds_of(spark, d, men), "seeds")
-    pi = graph.ppr(saved(graph.transitions(men, SEG), "steps"), start)
+    pi = graph.ppr(graph.steps(men, SEG), start, SEG)
     routes = questions(spark, d).select("query_id").join(start.select("query_id").distinct().withColumn("hit", F.lit(True)), "query_id", "left").select("query_id", F.when(F.col("hit"), "relational").otherwise("local").alias("route"))
     both = retrieval.fused(retrieval.graph_view(graph.segment_scores(men, SEG, pi), sims), retrieval.hierarchy_view(seg, lex, sims), routes)
     return seg, both

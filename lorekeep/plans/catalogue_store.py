@@ -12,7 +12,7 @@ from ..operators import dense, entities, facts, graph, payload, retrieval, segme
 from ..session import saved, table
 from . import sql as S
 from .catalogue import documents, query, segments_of, sources
-from .catalogue_search import BASE, DRAFTS, GAZ, LEXICON, SEG, STEPS, WEIGHED, YEARS, drafts, gazetteer, mentions_of, records  # noqa: F401
+from .catalogue_search import BASE, DRAFTS, LEXICON, SEG, WEIGHED, YEARS, drafts, gazetteer, in_one, mentions_of, one_space, records
 
 
 def _counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -23,7 +23,7 @@ def _counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def _tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    seg, men = saved(segments_of(spark, d), "segments"), mentions_of(spark, d)
+    seg, men = saved(one_space(spark, d), "segments"), mentions_of(spark, d)
     return {
         "sources": sources(spark, d).drop("text"), "segments": seg, "mentions": men, "entities": men.select("entity").distinct(),
         "embed_cache": seg.select(F.sha2("text", 256).alias("hash")).distinct(),
@@ -60,7 +60,7 @@ def ingest_replaces(spark, d):
     now = store.ingested(old, fresh, names)
     seg = now["segments"].groupBy("source").agg(F.count("*").alias("segments"))
     men = now["mentions"].where("entity = 'chapter:977'").groupBy("source").agg(F.sum("count").alias("chapters"))
-    vec = now["vectors"].groupBy("source").agg(F.countDistinct("seq").alias("vectors"))
+    vec = now["vectors"].groupBy("source").agg(F.count("*").alias("vectors"))
     return seg.join(men, "source", "left").join(vec, "source", "left").select("source", "segments", F.coalesce("chapters", F.lit(0)).alias("chapters"), F.coalesce("vectors", F.lit(0)).alias("vectors"))
 
 
@@ -173,7 +173,8 @@ def entity_profiles(spark, d):
     """Every mentioned name and one unknown: best seed, mentions, last segments, related entities."""
     men, names = mentions_of(spark, d), saved(gazetteer(spark, d), "gazetteer")
     asked = men.select(F.col("entity").alias("name"), F.col("entity").alias("key")).distinct().unionByName(spark.range(1).select(F.lit("Zzzunknown").alias("name"), F.lit("zzzunknown").alias("key")))
-    return retrieval.profiles(asked, men, saved(segments_of(spark, d), "segments").select(*SEG, "ordinal"), names)
+    out = retrieval.profiles(in_one(asked), men, saved(one_space(spark, d), "segments").select(*SEG, "ordinal"), names)
+    return out.drop("workspace", "relations")
 
 
 # ---- payloads ---------------------------------------------------------------

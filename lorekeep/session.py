@@ -51,6 +51,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A broadcast side has at most so many bytes as a table (compressed).
+BROADCAST_BYTES = 64 << 20
+
+
 def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """df marked for broadcast if it has at most so many rows (counted), else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df marked for broadcast if it has at most so many rows (counted) and BROADCAST_BYTES (the plan's estimate), else as
+    it is. df should be a saved table, as counting runs its plan."""
+    if df.limit(rows + 1).count() > rows or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > BROADCAST_BYTES:
+        return df
+    return F.broadcast(df)
+
+
+def small(df: DataFrame, name: str, rows: int) -> DataFrame:
+    """df, saved and so computed once, marked for broadcast if it is bounded."""
+    return bounded(saved(df, name), rows)

@@ -92,23 +92,34 @@ def test_chapters_and_numbers(spark):
 
 
 def test_pagerank_equals_power_iteration(spark):
-    men = spark.createDataFrame([("s", 0, "a", 1), ("s", 0, "b", 2), ("s", 1, "b", 1), ("s", 1, "c", 1), ("s", 2, "d", 1)], "source string, seq int, entity string, count long")
-    start = spark.createDataFrame([(1, "a", 1.0)], "query_id long, entity string, weight double")
-    steps = graph.transitions(men, ["source", "seq"])
-    got = {r.entity: r.pi for r in graph.ppr(steps, start, 6).collect()}
-    moves, pi = [(r.src, r.dst, r.p) for r in steps.collect()], {"a": 1.0}
-    for _ in range(6):
-        after = {"a": 1 - graph.GAMMA}
-        for src, dst, p in moves:
-            after[dst] = after.get(dst, 0) + graph.GAMMA * p * pi.get(src, 0)
-        pi = after
-    assert set(got) == {"a", "b", "c"} and all(math.isclose(got[k], pi[k]) for k in got)
-    assert math.isclose(sum(got.values()), 1.0)
+    rows = [("s", 0, "a", 1), ("s", 0, "b", 2), ("s", 1, "b", 1), ("s", 1, "c", 1), ("s", 2, "d", 1), ("t", 0, "e", 5), ("t", 0, "f", 5)]
+    men = spark.createDataFrame([("w", *r) for r in rows] + [("v", "s", 0, "a", 1), ("v", "s", 0, "z", 9)], "workspace string, source string, seq int, entity string, count long")
+    start = spark.createDataFrame([(1, "w", "a", 1.0), (2, "w", "e", 0.5), (2, "w", "f", 0.5), (3, "v", "a", 1.0)], "query_id long, workspace string, entity string, weight double")
+    key = ["workspace", "source", "seq"]
+    pairs = graph.transitions(men, key)
+    moves = [(r.workspace, r.src, r.dst, r.p) for r in pairs.collect()]
+    want = {}
+    for query, ws, seeds in ((1, "w", {"a": 1.0}), (2, "w", {"e": 0.5, "f": 0.5}), (3, "v", {"a": 1.0})):
+        pi = dict(seeds)
+        for turn in range(1, graph.ROUNDS + 1):
+            after = {k: (1 - graph.GAMMA) * v for k, v in seeds.items()}
+            for own, src, dst, p in moves:
+                if own == ws and src in pi:
+                    after[dst] = after.get(dst, 0) + graph.GAMMA * p * pi[src]
+            delta = sum(abs(v - pi.get(k, 0)) for k, v in after.items())
+            pi = after
+            if delta < graph.TOLERANCE:
+                break
+        want |= {(query, ws, k): (v, turn) for k, v in pi.items()}
+    for by in ((pairs,), graph.moves(men, key)):  # both kinds of steps
+        got = {(r.query_id, r.workspace, r.entity): (r.pi, r.rounds) for r in graph.ppr(by, start, key).collect()}
+        assert set(got) == set(want) and all(math.isclose(got[k][0], want[k][0], abs_tol=1e-12) and got[k][1] == want[k][1] for k in got)
+    assert {r for (q, _, _), (_, r) in want.items() if q == 2} == {1} and {k for q, _, k in want if q == 3} == {"a", "z"}
 
 
 def test_closure_keeps_scene_and_headings(spark):
     seg = segments.segment(book(spark)).withColumn("ordinal", F.lit(0).cast("long")).withColumn("chapter", F.lit(None).cast("int")).withColumn("kind", F.lit("reference"))
-    match = spark.createDataFrame([(1, "characters.md", 4, 1.0, "match", 1)], "query_id long, source string, seq int, score double, role string, rank int")
+    match = spark.createDataFrame([(1, "w", "characters.md", 4, 1.0, "match", 1)], "query_id long, workspace string, source string, seq int, score double, role string, rank int")
     got = {r.seq: r.role for r in retrieval.closure(match, seg).collect()}
     assert got == {4: "match", 3: "neighbour", 5: "neighbour", 2: "heading"}
     kept = retrieval.within_budget(retrieval.closure(match, seg), seg, 60)
