@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -68,6 +69,11 @@ def _col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once: an expression written twice in a lambda is computed twice."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def strip(x: str | Column) -> Column:
     """Without Unicode white space at both ends."""
     return F.regexp_replace(_col(x), r"(?U)^\s+|\s+$", "")
@@ -138,11 +144,16 @@ def rough_tokens(x: str | Column) -> Column:
     return F.greatest(F.floor(F.length(_col(x)) / 3), word_count(x)).cast("long")
 
 
+# What stands for the words left out, and device names that no file may have.
+TRUNCATED = "\n\n[... middle truncated for token budget ...]\n\n"
+RESERVED = r"(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])(\..*)?$"
+
+
 def fit_draft(x: str | Column, budget: int) -> Column:
     """A draft over budget keeps the first and last half of the words that three quarters of the budget allow."""
     half = int(budget * 0.75) // 2
     w = words(x)
-    cut = F.concat(F.array_join(F.slice(w, 1, half), " "), F.lit("\n\n[... middle truncated for token budget ...]\n\n"), F.array_join(F.slice(w, F.greatest(F.size(w) - half, F.lit(0)) + 1, F.lit(half)), " "))
+    cut = F.concat(F.array_join(F.slice(w, 1, half), " "), F.lit(TRUNCATED), F.array_join(F.slice(w, F.greatest(F.size(w) - half, F.lit(0)) + 1, F.lit(half)), " "))
     return F.when(rough_tokens(x) <= budget, _col(x)).otherwise(cut)
 
 
@@ -158,8 +169,7 @@ def intent(x: str | Column) -> Column:
 def safe_name(x: str | Column) -> Column:
     """Whether a file name names a plain child: no separators, no leading dot, no reserved device name."""
     x = _col(x)
-    reserved = r"(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])(\..*)?$"
-    return (F.length(x) > 0) & (F.length(x) <= 255) & ~x.rlike(r"[/\\\x00:]") & ~x.startswith(".") & ~x.rlike(reserved)
+    return (F.length(x) > 0) & (F.length(x) <= 255) & ~x.rlike(r"[/\\\x00:]") & ~x.startswith(".") & ~x.rlike(RESERVED)
 
 
 def title_of(x: str | Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import estimate_tokens, strip
+from ..functions.text import estimate_tokens, let, strip
 
 # Tokens a segment may have, body segments a scene has.
 SEGMENT_TOKENS, SCENE_SIZE = 320, 4
@@ -33,15 +33,15 @@ def packed(block: Column, limit: int = SEGMENT_TOKENS) -> Column:
     empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).cast("bigint").alias("cost"))
 
     def add(state: Column, s: Column) -> Column:
-        cost = estimate_tokens(s)
-        full = (state["now"] != "") & (state["cost"] + cost > limit)
+        full = (state["now"] != "") & (state["cost"] + s["cost"] > limit)
         return F.struct(
             F.when(full, F.concat(state["done"], F.array(state["now"]))).otherwise(state["done"]).alias("done"),
-            F.when(full | (state["now"] == ""), s).otherwise(F.concat(state["now"], F.lit(" "), s)).alias("now"),
-            F.when(full, cost).otherwise(state["cost"] + cost).alias("cost"),
+            F.when(full | (state["now"] == ""), s["text"]).otherwise(F.concat(state["now"], F.lit(" "), s["text"])).alias("now"),
+            F.when(full, s["cost"]).otherwise(state["cost"] + s["cost"]).alias("cost"),
         )
 
-    folded = F.aggregate(sentences(block), empty, add, lambda s: F.concat(s["done"], F.filter(F.array(s["now"]), lambda x: x != "")))
+    costed = F.transform(sentences(block), lambda s: F.struct(s.alias("text"), estimate_tokens(s).alias("cost")))
+    folded = F.aggregate(costed, empty, add, lambda s: F.concat(s["done"], F.filter(F.array(s["now"]), lambda x: x != "")))
     return F.when(estimate_tokens(block) <= limit, F.array(block)).otherwise(folded)
 
 
@@ -49,20 +49,27 @@ def _piece(text: Column, kind: str, heading: Column) -> Column:
     return F.struct(text.alias("text"), F.lit(kind).alias("seg_kind"), heading.alias("heading"))
 
 
+NO_PIECES = "array<struct<text:string,seg_kind:string,heading:string>>"
+
+
 def _pieces(block: Column) -> Column:
     """The segments of one block: its heading line, then its list lines or its packed prose."""
-    lines = F.split(block, "\n")
-    first = strip(F.get(lines, 0))
-    headed = first.rlike(HEADING)
-    body = F.when(headed, strip(F.array_join(F.slice(lines, 2, F.size(lines)), "\n"))).otherwise(block)
-    head = F.when(headed, F.array(_piece(first, "heading", strip(F.regexp_replace(first, r"^#{1,6}\s+", ""))))).otherwise(F.array().cast("array<struct<text:string,seg_kind:string,heading:string>>"))
-    own = F.filter(F.split(body, "\n"), lambda x: strip(x) != "")
     none = F.lit(None).cast("string")
-    listed = (F.size(own) > 0) & F.forall(own, lambda x: x.rlike(LIST_LINE))
-    items = F.transform(own, lambda x: _piece(strip(x), "list", none))
-    prose = F.transform(packed(body), lambda x: _piece(x, "prose", none))
-    rest = F.when(body == "", F.array().cast("array<struct<text:string,seg_kind:string,heading:string>>")).when(listed, items).otherwise(prose)
-    return F.concat(head, rest)
+
+    def of_body(body: Column) -> Column:
+        own = F.filter(F.split(body, "\n"), lambda x: strip(x) != "")
+        lines = let(own, lambda x: F.when((F.size(x) > 0) & F.forall(x, lambda y: y.rlike(LIST_LINE)), F.transform(x, lambda y: _piece(strip(y), "list", none))))
+        prose = F.transform(packed(body), lambda x: _piece(x, "prose", none))
+        # list lines begin with a list line: most prose is settled by its first one
+        return F.when(body == "", F.array().cast(NO_PIECES)).when(body.rlike(LIST_LINE), F.coalesce(lines, prose)).otherwise(prose)
+
+    def headed(first: Column) -> Column:
+        head = F.array(_piece(first, "heading", strip(F.regexp_replace(first, r"^#{1,6}\s+", ""))))
+        lines = F.split(block, "\n")
+        return F.concat(head, let(strip(F.array_join(F.slice(lines, 2, F.size(lines)), "\n")), of_body))
+
+    # a heading is the block's first line; blocks begin with their first character
+    return F.when(block.startswith("#"), let(strip(F.get(F.split(block, "\n"), 0)), lambda first: F.when(first.rlike(HEADING), headed(first)).otherwise(of_body(block)))).otherwise(of_body(block))
 
 
 def segment(sources: DataFrame, key: tuple[str, ...] = ("workspace", "source")) -> DataFrame:
