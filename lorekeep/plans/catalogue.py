@@ -348,4 +348,4 @@ def chat_transcript_tail(spark, d):
     return chat.transcript(table(spark, d, "conversations"))
 
 
-from . import catalogue_search, catalogue_store  # noqa: E402,F401  register the rest
+from . import catalogue_search, catalogue_store, catalogue_workspace  # noqa: E402,F401  register the rest

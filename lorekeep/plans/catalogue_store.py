@@ -174,7 +174,7 @@ def entity_profiles(spark, d):
     men, names = mentions_of(spark, d), saved(gazetteer(spark, d), "gazetteer")
     asked = men.select(F.col("entity").alias("name"), F.col("entity").alias("key")).distinct().unionByName(spark.range(1).select(F.lit("Zzzunknown").alias("name"), F.lit("zzzunknown").alias("key")))
     out = retrieval.profiles(in_one(asked), men, saved(one_space(spark, d), "segments").select(*SEG, "ordinal"), names)
-    return out.drop("workspace", "relations")
+    return out.drop("workspace", "asked", "relations")
 
 
 # ---- payloads ---------------------------------------------------------------
