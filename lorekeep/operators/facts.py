@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical, fold, fold_text
-from ..session import bounded, saved
+from ..session import saved, small
 
 # Characters between a term and a year that belong together; shortest term; bonus of a named entity.
 NEAR, SHORTEST, ENTITY_BONUS = 160, 3, 2.5
@@ -37,6 +37,11 @@ ANACHRONISMS = [
 # What findings and records say, and the order of findings.
 TOO_EARLY, NOT_YET, OTHER_YEAR = "“%s” (%s) chưa tồn tại vào năm %d; sớm nhất khoảng %d.", "“%s” chỉ xuất hiện từ %s, sau thời điểm của cảnh này.", "Bản thảo đặt “%s” vào năm %d, nhưng ghi chép xác nhận %s."
 UNDATED, CITATION = "không rõ niên đại", "[%s · %s] %s — nguồn: %s"
+NOTHING = "KHÔNG CÓ GHI CHÉP NÀO ĐÃ THẨM ĐỊNH KHỚP VỚI TRUY VẤN NÀY.\nĐừng suy đoán. Hãy viết tránh né chi tiết lịch sử cụ thể, hoặc nói rõ trong chương rằng chi tiết đó không được ghi lại."
+REFERENCE = "## Sử liệu đã thẩm định (chỉ dùng những gì có ở đây)\n"
+REFERENCE_END = "\nNgoài danh sách trên, đừng khẳng định thêm bất kỳ sự kiện, niên đại hay nhân vật lịch sử nào. Nếu cần một chi tiết không có ở đây, hãy viết sao cho không phải nêu nó ra."
+# Records that a search gives at most, and if no number is asked for.
+MOST, USUAL = 10, 6
 SEVERITY = {"conflict": 0, "anachronism": 1, "warning": 2}
 
 
@@ -110,18 +115,27 @@ def indexed_text() -> Column:
     return F.concat_ws("\n", "claim", F.array_join("entities", " "), F.array_join("tags", " "), "note")
 
 
-def search(lexical: DataFrame, records: DataFrame, queries: DataFrame, limit: int = 6) -> DataFrame:
+def clamped(limit: Column) -> Column:
+    """A number of records that was asked for, as it is served."""
+    return F.greatest(F.lit(1), F.least(F.coalesce(F.when(limit != 0, limit), F.lit(USUAL)), F.lit(MOST)))
+
+
+def search(lexical: DataFrame, records: DataFrame, queries: DataFrame, limit: int = USUAL, divergences: bool = True) -> DataFrame:
     """lexical(query_id, id, score) raised for every entity of a record that the query names; queries(query_id, query,
-    before, after), a stated set against all records, drop records that start later or end earlier."""
+    before, after), a stated set against all records, drop records that start later or end earlier; a column `limit` of
+    queries, clamped, goes before limit. Without divergences, records that diverge are left out."""
+    if not divergences:
+        records = records.where(~F.coalesce("diverges", F.lit(False)))
     named = records.select("id", F.explode("entities").alias("entity")).withColumn("key", canonical("entity")).where("key <> ''")
     asked = queries.select("query_id", canonical("query").alias("folded"))
-    bonus = named.join(bounded(asked, ASKED_ROWS), F.contains("folded", "key")).groupBy("query_id", "id").agg((F.count("*") * ENTITY_BONUS).alias("bonus"))
+    bonus = named.join(small(asked, "asked", ASKED_ROWS), F.contains("folded", "key")).groupBy("query_id", "id").agg((F.count("*") * ENTITY_BONUS).alias("bonus"))
     both = lexical.join(bonus, ["query_id", "id"], "full_outer").withColumn("score", F.coalesce("score", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0)))
-    rows = both.where("score > 0").join(records, "id").join(queries.select("query_id", "before", "after"), "query_id")
+    most = clamped(F.col("limit")) if "limit" in queries.columns else F.lit(limit)
+    rows = both.where("score > 0").join(records, "id").join(queries.select("query_id", "before", "after", most.alias("most")), "query_id")
     rows = rows.where("before is null or start_key is null or start_key <= before").where("after is null or end_key is null or end_key >= after")
     rows = rows.withColumn("score", F.round("score", 3))
     top = Window.partitionBy("query_id").orderBy(F.desc("score"), F.coalesce("start_key", F.lit(99991231)), "id")
-    return rows.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= limit).select("query_id", "rank", "id", "score")
+    return rows.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= F.col("most")).select("query_id", "rank", "id", "score")
 
 
 def timeline(records: DataFrame, lo: int | None, hi: int | None) -> DataFrame:
@@ -131,6 +145,35 @@ def timeline(records: DataFrame, lo: int | None, hi: int | None) -> DataFrame:
     return rows.where(F.col("start_key") <= hi) if hi is not None else rows
 
 
+def listing(records: DataFrame, lo: int | None = None, hi: int | None = None, limit: int = 1000) -> DataFrame:
+    """The first records of a timeline in order of time, and behind them all undated ones, whatever the window (late: 1)."""
+    dated = timeline(records, lo, hi).orderBy("start_key", "id").limit(limit)
+    rows = dated.withColumn("late", F.lit(0)).unionByName(records.where("start_key is null").withColumn("late", F.lit(1)))
+    return rows.orderBy("late", "start_key", "id")
+
+
+def matching(records: DataFrame, needle: str) -> DataFrame:
+    """The records whose claim, entities, sources or id hold the needle, whatever its case; all for an empty one."""
+    held = F.lower(F.concat_ws(" ", "claim", F.array_join("entities", " "), F.array_join("sources", " "), "id"))
+    return records.where(F.contains(held, F.lit(needle.strip().lower())))
+
+
+def served(hits: DataFrame) -> DataFrame:
+    """hits(session, call, id, ...): what a session was shown, every record once, as its last call had it, in order of id (place)."""
+    others = [c for c in hits.columns if c not in ("session", "id")]
+    last = hits.groupBy("session", "id").agg(F.max_by(F.struct(*others), "call").alias("h")).select("session", "id", *[F.col(f"h.{c}").alias(c) for c in others])
+    return last.withColumn("place", F.row_number().over(Window.partitionBy("session").orderBy("id")))
+
+
+def reference(shown: DataFrame) -> DataFrame:
+    """(session, text): the block of records, word for word, that a writer may rely on; shown is of served()."""
+    line = F.format_string("- **%s** (%s) — %s", "claim", date_label(F.col("start_key"), F.coalesce("end_key", "start_key")), F.array_join("sources", "; "))
+    apart = F.format_string("  - ⚠ Truyện rẽ nhánh tại đây: %s\n  - Viết theo hướng rẽ nhánh, không theo sử liệu gốc.", "divergence_note")
+    more = F.when(F.col("diverges"), apart).when(F.col("locked"), F.lit("  - Không được mâu thuẫn với ghi chép này."))
+    rows = shown.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("place", F.concat_ws("\n", line, more).alias("text")))).alias("t"))
+    return rows.select("session", F.concat_ws("\n", F.lit(REFERENCE), F.array_join(F.transform("t", lambda x: x["text"]), "\n"), F.lit(REFERENCE_END)).alias("text"))
+
+
 def _at(folded: Column, key: Column) -> Column:
     """0-based place of a key as a whole word, else -1."""
     pattern = F.concat(F.lit(rf"(?<!{GUARD})\Q"), key, F.lit(rf"\E(?!{GUARD})"))
@@ -144,7 +187,7 @@ def _first_terms(drafts: DataFrame, terms: DataFrame, by: list[str]) -> DataFram
     """
     terms = terms.withColumn("word", F.regexp_extract("key", GUARD + "+", 0))
     held = drafts.select("draft_id", F.explode(F.array_distinct(F.regexp_extract_all("folded", F.lit(GUARD + "+"), F.lit(0)))).alias("word"))
-    met = held.join(bounded(terms, ASKED_ROWS), "word").join(drafts.select("draft_id", "folded"), "draft_id")
+    met = held.join(small(terms, "terms", ASKED_ROWS), "word").join(drafts.select("draft_id", "folded"), "draft_id")
     met = met.withColumn("at", _at(F.col("folded"), F.col("key"))).where("at >= 0")
     return met.groupBy("draft_id", *by).agg(F.min_by(F.struct("term", "at"), "place").alias("m")).select("draft_id", *by, "m.term", "m.at")
 
@@ -221,9 +264,9 @@ def report(drafts: DataFrame, records: DataFrame) -> DataFrame:
     return drafts.select("draft_id").join(rows, "draft_id", "left").withColumn("ok", F.col("kind").isNull())
 
 
-def rendered(hits: DataFrame) -> DataFrame:
+def rendered(hits: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     """(query_id, text) of hits(query_id, rank, id, ...) as lines: what a record says, when, by which sources, and whether the
-    text may depart from it."""
+    text may depart from it. A query of queries(query_id) without a hit is told that nothing is recorded."""
     head = F.format_string("● [%s] %s — %s", "id", date_label(F.col("start_key"), F.coalesce("end_key", "start_key")), "claim")
     sure = F.when(F.col("confidence") != "attested", F.format_string("  (mức độ: %s)", "confidence")).otherwise("")
     note = F.when(F.coalesce("note", F.lit("")) != "", F.format_string("   ghi chú: %s", "note"))
@@ -231,4 +274,6 @@ def rendered(hits: DataFrame) -> DataFrame:
     locked = F.when(F.col("diverges"), apart).when(F.col("locked"), F.lit("   → Ghi chép khóa: chương không được mâu thuẫn với điều này."))
     lines = F.concat_ws("\n", F.concat(head, sure), F.format_string("   nguồn: %s", F.array_join("sources", "; ")), note, locked)
     rows = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", lines.alias("text")))).alias("t"))
-    return rows.select("query_id", F.array_join(F.transform("t", lambda x: x["text"]), "\n\n").alias("text"))
+    if queries is not None:
+        rows = queries.select("query_id").distinct().join(rows, "query_id", "left")
+    return rows.select("query_id", F.coalesce(F.array_join(F.transform("t", lambda x: x["text"]), "\n\n"), F.lit(NOTHING)).alias("text"))

@@ -101,9 +101,9 @@ def indexed(sources: DataFrame, gazetteer: DataFrame) -> dict[str, DataFrame]:
     pass on, entities and vectors. Headings count as text of their segments. Names are those of the gazetteer(key, name, type),
     and, if it has a workspace, only that workspace's."""
     key = ["workspace", "source"]
-    seg = segments.segment(sources)
-    units = seg.withColumn("text", segments.indexable())
-    found = entities.all_mentions(units, [*key, "seq"], gazetteer)
+    seg = saved(segments.segment(sources), "segments")  # several tables are made of it
+    units = seg.withColumn("text", segments.indexable()).select(*key, "seq", "text")
+    found = saved(entities.all_mentions(units, [*key, "seq"], gazetteer), "found")
     known = found.groupBy("workspace", "entity").agg(F.min_by(F.struct("name", "type"), F.struct("source", "seq")).alias("n")).select("workspace", "entity", "n.name", "n.type")
     mentions = entities.with_heading_mentions(seg, found.select(*key, "seq", "entity", "count"), key)
     return {"sources": sources.drop("text"), "segments": seg, "mentions": mentions, "entities": known, "vectors": dense.hash_vectors(units, [*key, "seq"])}
@@ -130,9 +130,8 @@ def commit_sources(versions: Versions, fresh: DataFrame, gazetteer: DataFrame, r
     are read, and the postings that they replace."""
     now, fresh = versions.number(), saved(fresh, "fresh")
     new = indexed(fresh, gazetteer)
-    seg = saved(new["segments"], "fresh-segments")
-    units = seg.withColumn("text", segments.indexable()).select("workspace", "source", "seq", "text")
-    new = new | {"segments": seg} | index.built(units, ["workspace", "source", "seq"], ("workspace",))
+    units = new["segments"].withColumn("text", segments.indexable()).select("workspace", "source", "seq", "text")
+    new = new | index.built(units, ["workspace", "source", "seq"], ("workspace",))
     new["names"] = new.pop("entities").withColumn("seen", F.lit(now).cast("long"))
     own = relations if relations is not None else fresh.sparkSession.createDataFrame([], "workspace string, source string, id long, subject string, relation string, object string")
     new["relations"] = own.select("workspace", "source", "id", "subject", "relation", "object")

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import dense, entities, facts, graph, payload, retrieval, segments, store
+from ..operators import entities, facts, lexical, payload, retrieval, store
 from ..session import saved, table
 from . import sql as S
-from .catalogue import documents, query, segments_of, sources
+from .catalogue import documents, query, sources, terms_sql
 from .catalogue_search import BASE, DRAFTS, LEXICON, SEG, WEIGHED, YEARS, drafts, gazetteer, in_one, mentions_of, one_space, records
 
 
@@ -250,6 +250,62 @@ def record_rendering(spark, d):
     return facts.rendered(hits).select("query_id", F.md5(F.col("text").cast("binary")).alias("body"))
 
 
+@query(
+    f"""WITH {RECORDS}, l AS (SELECT o_custkey AS query_id, o_orderkey, '● [' || id || '] ' || dated || ' — ' || claim || CASE WHEN o_orderkey % 5 = 0 THEN '  (mức độ: disputed)' ELSE '' END || chr(10) || '   nguồn: a; ' || o_orderstatus
+    || CASE WHEN o_orderkey % 4 = 0 THEN chr(10) || '   ghi chú: see also' ELSE '' END || CASE WHEN o_orderkey % 6 = 0 THEN chr(10) || '   ⚠ TRUYỆN NÀY RẼ NHÁNH TẠI ĐÂY: it goes on' || chr(10) || '   → Hãy viết theo hướng rẽ nhánh, KHÔNG theo sử liệu gốc.'
+    WHEN o_orderkey % 2 = 0 THEN chr(10) || '   → Ghi chép khóa: chương không được mâu thuẫn với điều này.' ELSE '' END AS line FROM lab JOIN orders USING (o_orderkey))
+    SELECT c_custkey AS query_id, md5(coalesce(string_agg(line, chr(10) || chr(10) ORDER BY o_orderkey), '{facts.NOTHING}')) AS body FROM customer LEFT JOIN l ON query_id = c_custkey GROUP BY c_custkey"""
+)
+def record_answers(spark, d):
+    """What every customer is told, also those without an order."""
+    hits = _records(spark, d).join(table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("query_id")), "o_orderkey").withColumn("rank", F.col("o_orderkey"))
+    return facts.rendered(hits, table(spark, d, "customer").select(F.col("c_custkey").alias("query_id"))).select("query_id", F.md5(F.col("text").cast("binary")).alias("body"))
+
+
+@query(
+    f"""WITH {RECORDS}, l AS (SELECT o_custkey AS session, id, '- **' || claim || '** (' || dated || ') — a; ' || o_orderstatus || CASE WHEN o_orderkey % 6 = 0 THEN chr(10) || '  - ⚠ Truyện rẽ nhánh tại đây: it goes on' || chr(10) || '  - Viết theo hướng rẽ nhánh, không theo sử liệu gốc.'
+    WHEN o_orderkey % 2 = 0 THEN chr(10) || '  - Không được mâu thuẫn với ghi chép này.' ELSE '' END AS line FROM lab JOIN orders USING (o_orderkey))
+    SELECT session, count(*) AS records, md5('{facts.REFERENCE}' || chr(10) || string_agg(line, chr(10) ORDER BY id) || chr(10) || '{facts.REFERENCE_END}') AS body FROM l GROUP BY session"""
+)
+def record_reference(spark, d):
+    """Every customer's session was shown its orders, and some of them twice."""
+    hits = _records(spark, d).join(table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("session")), "o_orderkey")
+    hits = hits.withColumn("call", F.lit(1)).unionByName(hits.where("o_orderkey % 3 = 0").withColumn("call", F.lit(2)))
+    shown = facts.served(hits)
+    return shown.groupBy("session").agg(F.count("*").alias("records")).join(facts.reference(shown), "session").select("session", "records", F.md5(F.col("text").cast("binary")).alias("body"))
+
+
+@query(
+    """WITH r AS (SELECT event_id, 'e' || event_id AS id, CASE WHEN event_id % 10 <> 0 THEN CAST(year(ts) * 10000 + month(ts) * 100 + day(ts) AS INTEGER) END AS start_key FROM events),
+    t AS (SELECT *, 0 AS late FROM r WHERE start_key BETWEEN 20240105 AND 20240120 QUALIFY row_number() OVER (ORDER BY start_key, id) <= 1000)
+    SELECT event_id, start_key, late FROM t UNION ALL SELECT event_id, start_key, 1 FROM r WHERE start_key IS NULL"""
+)
+def record_listing(spark, d):
+    """A window of the timeline, and the undated records behind it."""
+    key = F.year("ts") * 10000 + F.month("ts") * 100 + F.dayofmonth("ts")
+    rows = table(spark, d, "events").select("event_id", F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"), F.when(F.col("event_id") % 10 != 0, key).alias("start_key"), F.lit(None).cast("int").alias("end_key"))
+    return facts.listing(rows, 20240105, 20240120).select("event_id", "start_key", "late")
+
+
+@query(
+    f"""WITH u AS (SELECT 'r' || doc_id AS id, text || chr(10) || source || chr(10) || lang AS text, source, doc_id FROM documents),
+    asked AS (SELECT doc_id AS query_id, text AS query, 15000000 + doc_id // 2 AS after, least(greatest(doc_id // 100 * 7 - 3, 1), 10) AS most FROM documents WHERE doc_id % 100 = 0), {terms_sql('asked')}, {S.bm25('u', 'id', 'terms')},
+    bonus AS (SELECT query_id, id, 2.5 AS bonus FROM u JOIN asked ON contains({S.fold('query')}, source)),
+    s AS (SELECT query_id, id, round(coalesce(score, 0) + CAST(coalesce(bonus, 0) AS DOUBLE), 3) AS score FROM bm25 FULL JOIN bonus USING (query_id, id))
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, 15000000 + doc_id, id) AS rank, id, score FROM s JOIN u USING (id) JOIN asked USING (query_id) WHERE doc_id % 4 <> 0 AND 15000000 + doc_id >= after QUALIFY rank <= any_value(most) OVER (PARTITION BY query_id)"""
+)
+def fact_search_limits(spark, d):
+    """Without records that diverge, from a date on, as many as asked for (clamped)."""
+    i = F.col("doc_id")
+    rows = documents(spark, d).select(
+        F.concat(F.lit("r"), i.cast("string")).alias("id"), F.col("text").alias("claim"), F.array("source").alias("entities"), F.array("lang").alias("tags"), F.lit(None).cast("string").alias("note"),
+        (15000000 + i).alias("start_key"), (15000000 + i).alias("end_key"), (i % 4 == 0).alias("diverges"),
+    )
+    asked = documents(spark, d).where("doc_id % 100 = 0").select(i.alias("query_id"), F.col("text").alias("query"), F.lit(None).cast("long").alias("before"), (15000000 + F.floor(i / 2)).alias("after"), (F.floor(i / 100) * 7 - 3).cast("int").alias("limit"))
+    scores = lexical.bm25(rows.select("id", facts.indexed_text().alias("text")), ["id"], lexical.query_terms(asked.select("query_id", "query")))
+    return facts.search(scores, rows, asked, divergences=False).withColumn("rank", F.col("rank").cast("long"))
+
+
 @query(
     """WITH n AS (SELECT event_type AS file, user_id % 3 AS scope, 'u' || user_id AS id, count(*) AS n FROM events GROUP BY ALL)
     SELECT DISTINCT id, 'duplicate id in one file' AS problem FROM n WHERE n > 1 UNION ALL SELECT 'u' || user_id, 'diverges without a note' FROM events WHERE event_id % 50 = 0"""
