@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -36,6 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL_FOLDER:
         _LOCAL_FOLDER.append(tempfile.mkdtemp(prefix="lorekeep-"))
+        atexit.register(shutil.rmtree, _LOCAL_FOLDER[0], ignore_errors=True)
     return "file://" + _LOCAL_FOLDER[0]
 
 
