@@ -51,7 +51,7 @@ MIX = {"good": 0.9, "low": 0.1}
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]
 
-#: Trained models and iterative stages: not expressible in SQL; tests/llm holds run() against brute force.
+#: Trained models and iterative stages: not expressible in SQL; tests/llm holds run() and its stages against invariants.
 ORACLE_SQL = None
 
 
