@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import pytest
@@ -384,7 +385,7 @@ def brute_fingerprint(hashes, window):
 
 def test_winnowing_equals_brute_force(spark):
     rng = random.Random(3)
-    texts = [(i, "".join(rng.choice("ab \u00e9\U0001f600") for _ in range(n))) for i, n in enumerate([*range(0, 30), 60, 200])]
+    texts = [(i, "".join(rng.choice("ab \u00e9\U0001f600") for _ in range(n))) for i, n in enumerate([*range(0, 30), 60, *range(100, 132), 200, 700])]
     held = fingerprints.with_fingerprint(spark.createDataFrame(texts, "doc_id long, text string"), "text", "f")
     held = held.select("text", fingerprints.positions("f").alias("p"), fingerprints.hashes("f").alias("h")).collect()
     known = {}  # equal grams have equal hashes, wherever they stand
@@ -416,17 +417,33 @@ def test_match_guarantee(spark):
 
 
 def test_edited_texts(spark, docs, edges):
-    for rows in (docs, edges):
+    """Every column against brute force: texts, fingerprints, positions and likenesses; no Python runs in the plan."""
+
+    def likeness(a, b):
+        a, b = set(a), set(b)
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    rng = random.Random(5)
+    # halves around the reach of a window and the length of a block, empty and short successors, wide characters
+    lengths = [n for n in range(0, 60)] + [0, 200, 0, 247, 1, 252, 300, 22, 44, 45, 46, 90, 3]
+    short = spark.createDataFrame([(i, "".join(rng.choice("ab \u00e9\U0001f600") for _ in range(n))) for i, n in enumerate(rng.sample(lengths, len(lengths)))], "doc_id long, text string")
+    for rows in (docs, edges, short):
         given_rows = sorted(((r.doc_id, r.text or "") for r in rows.collect()), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+        texts = [(text[: len(text) - len(text) // 2] + given_rows[(k + 1) % len(given_rows)][1][: len(text) // 2]) for k, (_, text) in enumerate(given_rows)]
+        every = spark.createDataFrame([(t,) for t in {*texts, *(t for _, t in given_rows)}], "text string")
+        known = {r.text: (list(r.h), list(r.p)) for r in fingerprints.with_fingerprint(every, "text", "f").select("text", fingerprints.hashes("f").alias("h"), fingerprints.positions("f").alias("p")).collect()}
+
+        def printed(text):
+            return " ".join(f"{h:x}" for h in known[text][0])
+
         want = []
         for k, (i, text) in enumerate(given_rows):
-            half = len(text) // 2
-            edited = text[: len(text) - half] + given_rows[(k + 1) % len(given_rows)][1][:half]
-            want.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest()))
-        got = fingerprints.op7_fingerprints(rows).collect()
-        assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=repr) == sorted(want, key=repr)
-        assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
-        assert all(len(r.positions) == len(r.fingerprint.split()) and len(r.edited_positions) == len(r.edited_fingerprint.split()) for r in got)
+            edited, after = texts[k], given_rows[(k + 1) % len(given_rows)][1]
+            own, new = known[text], known[edited]
+            want.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), printed(text), printed(edited), likeness(own[0], new[0]), likeness(own[0], known[after][0]), own[1], new[1]))
+        result = fingerprints.op7_fingerprints(rows)
+        assert not re.search("Python|Arrow|Pandas", result._jdf.queryExecution().toString())
+        assert sorted((tuple(r) for r in result.collect()), key=repr) == sorted(want, key=repr)
     assert fingerprints.op7_fingerprints(edges.limit(0)).count() == 0
 
 
