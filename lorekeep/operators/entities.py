@@ -135,10 +135,18 @@ def all_mentions(units: DataFrame, key: list[str], gazetteer: DataFrame, text: s
     return known.select(columns).unionByName(scanned.select(columns)).unionByName(chapters.select(columns)).unionByName(numbers.select(columns))
 
 
-def with_heading_mentions(segments: DataFrame, found: DataFrame, source: list[str]) -> DataFrame:
-    """found and, once, every entity of a scene's heading in the scene's other segments that lack it."""
+def with_heading_mentions(segments: DataFrame, found: DataFrame, source: list[str], scope: str = "scene") -> DataFrame:
+    """found and, once, every entity of a heading in the other segments of its scope that lack it.
+
+    scope: the heading's scene, which ends after so many segments, or its whole section, up to the next heading.
+    """
+    if scope not in ("scene", "section"):
+        raise ValueError(f"heading scope {scope!r} is neither scene nor section")
     place = segments.select(*source, "seq", "scene", "seg_kind")
-    heads = found.join(place.where("seg_kind = 'heading'"), [*source, "seq"]).select(*source, "scene", "entity").distinct()
-    spread = place.where("seg_kind <> 'heading'").join(heads, [*source, "scene"]).select(*source, "seq", "entity")
+    if scope == "section":
+        upto = Window.partitionBy(*source).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        place = place.withColumn("section", F.sum((F.col("seg_kind") == "heading").cast("int")).over(upto))
+    heads = found.join(place.where("seg_kind = 'heading'"), [*source, "seq"]).select(*source, scope, "entity").distinct()
+    spread = place.where("seg_kind <> 'heading'").join(heads, [*source, scope]).select(*source, "seq", "entity")
     missing = spread.join(found, [*source, "seq", "entity"], "left_anti").withColumn("count", F.lit(1).cast("long"))
     return found.select(*source, "seq", "entity", "count").unionByName(missing)

@@ -96,23 +96,23 @@ def accumulated(table: DataFrame, fresh: DataFrame, key: list[str], count: str =
     return table.select(*key, count).unionByName(fresh.select(*key, count)).groupBy(*key).agg(F.sum(count).alias(count))
 
 
-def indexed(sources: DataFrame, gazetteer: DataFrame) -> dict[str, DataFrame]:
+def indexed(sources: DataFrame, gazetteer: DataFrame, heading_scope: str = "scene") -> dict[str, DataFrame]:
     """The tables of sources(workspace, source, kind, chapter, ordinal, text): segments, mentions with those that headings
-    pass on, entities and vectors. Headings count as text of their segments. Names are those of the gazetteer(key, name, type),
+    pass on (in their scene or section), entities and vectors. Headings count as text of their segments. Names are those of the gazetteer(key, name, type),
     and, if it has a workspace, only that workspace's."""
     key = ["workspace", "source"]
     seg = saved(segments.segment(sources), "segments")  # several tables are made of it
     units = seg.withColumn("text", segments.indexable()).select(*key, "seq", "text")
     found = saved(entities.all_mentions(units, [*key, "seq"], gazetteer), "found")
     known = found.groupBy("workspace", "entity").agg(F.min_by(F.struct("name", "type"), F.struct("source", "seq")).alias("n")).select("workspace", "entity", "n.name", "n.type")
-    mentions = entities.with_heading_mentions(seg, found.select(*key, "seq", "entity", "count"), key)
+    mentions = entities.with_heading_mentions(seg, found.select(*key, "seq", "entity", "count"), key, heading_scope)
     return {"sources": sources.drop("text"), "segments": seg, "mentions": mentions, "entities": known, "vectors": dense.hash_vectors(units, [*key, "seq"])}
 
 
-def ingested(tables: dict[str, DataFrame], fresh: DataFrame, gazetteer: DataFrame) -> dict[str, DataFrame]:
+def ingested(tables: dict[str, DataFrame], fresh: DataFrame, gazetteer: DataFrame, heading_scope: str = "scene") -> dict[str, DataFrame]:
     """tables after the sources in fresh were ingested: every table's rows of these sources are replaced, known entities
     keep their names and types, and those that nothing mentions any more go."""
-    new = indexed(fresh, gazetteer)
+    new = indexed(fresh, gazetteer, heading_scope)
     kept = without_sources(tables, fresh)
     both = {n: kept[n].unionByName(new[n]) for n in ("sources", "segments", "mentions", "vectors") if n in kept}
     node = _node(tables["entities"], new["entities"])
@@ -124,12 +124,12 @@ def ingested(tables: dict[str, DataFrame], fresh: DataFrame, gazetteer: DataFram
 UNKEYED = index.SUMMED | {"names": []}
 
 
-def commit_sources(versions: Versions, fresh: DataFrame, gazetteer: DataFrame, relations: DataFrame | None = None) -> int:
+def commit_sources(versions: Versions, fresh: DataFrame, gazetteer: DataFrame, relations: DataFrame | None = None, heading_scope: str = "scene") -> int:
     """Ingest fresh(workspace, source, kind, chapter, ordinal, text) as one version: whatever the store has of these sources is
     replaced in all tables at once. relations(workspace, source, id, subject, relation, object) are theirs. Only these sources
     are read, and the postings that they replace."""
     now, fresh = versions.number(), saved(fresh, "fresh")
-    new = indexed(fresh, gazetteer)
+    new = indexed(fresh, gazetteer, heading_scope)
     units = new["segments"].withColumn("text", segments.indexable()).select("workspace", "source", "seq", "text")
     new = new | index.built(units, ["workspace", "source", "seq"], ("workspace",))
     new["names"] = new.pop("entities").withColumn("seen", F.lit(now).cast("long"))

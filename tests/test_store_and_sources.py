@@ -219,6 +219,21 @@ def test_headings_pass_names_on(spark):
     assert got == {0: 1, 1: 1}
 
 
+def test_headings_pass_names_on_in_their_section(spark):
+    """A scene ends after four segments, a section at the next heading; what stands before the first heading gets nothing."""
+    text = "Before.\n\n## Lan Anh\n\n" + "\n\n".join(f"Part {i}." for i in range(6)) + "\n\nLan Anh and Lan Anh.\n\n## Fog\n\nNothing."
+    seg = segments.segment(spark.createDataFrame([("w", "s", text)], "workspace string, source string, text string"))
+    names = spark.createDataFrame([("lan anh", "Lan Anh", "PERSON")], "key string, name string, type string")
+    key = ["workspace", "source"]
+    found = entities.mentions(seg, [*key, "seq"], names)
+    got = {s: {r.seq: r["count"] for r in entities.with_heading_mentions(seg, found, key, s).collect()} for s in ("scene", "section")}
+    assert got["scene"] == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 8: 2}
+    assert got["section"] == {**{i: 1 for i in range(1, 8)}, 8: 2}
+    assert entities.with_heading_mentions(seg.limit(0), found.limit(0), key, "section").count() == 0
+    with pytest.raises(ValueError):
+        entities.with_heading_mentions(seg, found, key, "chapter")
+
+
 # ---- chapter files ----------------------------------------------------------------------
 
 
