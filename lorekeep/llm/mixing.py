@@ -11,15 +11,18 @@ capitals, of symbols and of different words, each in steps. Only terms whose
 frequency differs clearly between the domains count.
 
 The expected tokens of a domain are the sum of rate x tokens x posterior.
-Projected-gradient least squares moves all rates from 1 until these totals
-match the targets (with a slight pull back to 1): a document's gradient is its
-posterior times the domains' residuals. The steps of all rounds are accumulated
-as one vector over the domains, scaled by the second moments of the posteriors
-whose rates can move, and halved until the loss falls; a document's rate is 1
-less its posterior times that vector, projected to 0 to MOST. So the state is a
-few numbers and no round writes a table. It ends when no step is left: then the
-totals are within TOLERANCE of the targets, or no nonnegative rates come closer
-with these memberships. What is reached is returned.
+Accelerated projected-gradient least squares moves all rates from 1 until these
+totals match the targets. A document's gradient is its posterior times the
+domains' residuals (its tokens are the weight of its rate in the norm), so a
+round is one distributed sum: the totals of the rates after their step, which is
+taken from the rates pushed on by a share of their last move, and projected to 0
+to `most`. Step lengths are 1 over the largest share of a domain, a bound on the
+largest eigenvalue of the posteriors' second moments. The push starts again
+where the loss rises. Rates and last moves lie in a table that is written every
+STORED rounds; rounds since then are folded over a document's posterior. It ends
+when the totals are within TOLERANCE of the targets, or PATIENCE rounds lower the
+loss by less than a thousandth: no nonnegative rates come closer with these
+memberships. What is reached is returned.
 
 Defined cases: a null or empty text has no tokens, the prior as posterior and
 rate 1 at first like others; a missing domain (no labelled rows) has posterior
@@ -42,12 +45,12 @@ from .columns import whole_rows, words
 N_BUCKETS = 16384
 #: Terms count whose log odds are at least so many standard errors from 0.
 CLEAR = 3.0
-#: No document is drawn more often.
+#: No document is drawn more often (a parameter; the rates' upper bound).
 MOST = 4.0
 #: Shares may differ so much from their targets.
 TOLERANCE = 1e-4
-#: Weight of the rates' squared distance from 1 beside that of the totals from their targets.
-PULL = 1e-6
+#: Rounds between two tables of the rates, and rounds after which the loss must have fallen.
+STORED, PATIENCE = 10, 20
 #: Target share of the tokens of each domain.
 TARGETS = {"good": 0.85, "low": 0.13, "toxic": 0.02}
 #: Tokens of the kept domain that are asked for, over those that there are.
@@ -204,68 +207,71 @@ def with_members(df: DataFrame, model: Classifier, text: str = "text", tokens: s
 
 @dataclass
 class Fit:
-    """moved: the accumulated steps, a vector over the domains; targets and reached: shares of the budget; settled: no
-    step is left (the targets are met, or cannot be met more closely)."""
+    """steps: for each round the push, and the step for each domain; targets and reached: shares of the budget; met:
+    whether these agree (else no nonnegative rates up to `most` come closer)."""
 
-    moved: list[float]
+    steps: list[list[float]]
     targets: list[float]
     reached: list[float]
-    settled: bool
+    met: bool
 
 
-def _vector(values: list[float]) -> Column:
-    """A constant array; as one object, so that rounds with other values share their compiled code."""
-    return F.split(F.lit(",".join(repr(float(x)) for x in values)), ",").cast("array<double>")
+def _followed(steps: list[list[float]], k: int, most: float, rate: Column, before: Column, p: str = "p") -> Column:
+    """(rate, before) after these rounds, from a rate and the one before it."""
+    state = F.struct(rate.alias("rate"), before.alias("before"))
+    if not steps:
+        return state
 
+    def step(s: Column, x: Column) -> Column:
+        bare = s["rate"] + F.get(x, 0) * (s["rate"] - s["before"])
+        for i in range(k):
+            bare = bare - F.get(p, i) * F.get(x, i + 1)
+        return F.struct(F.least(F.lit(most), F.greatest(F.lit(0.0), bare)).alias("rate"), s["rate"].alias("before"))
 
-def _along(moved: list[float], p: str = "p") -> Column:
-    return F.aggregate(F.zip_with(p, _vector(moved), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    return F.aggregate(F.array(*[F.array(*map(F.lit, x)) for x in steps]), state, step)  # a constant, so rounds share their compiled code
 
 
-def _rate(moved: list[float], p: str = "p") -> Column:
-    """1 less the posteriors times the accumulated steps, projected to 0 to MOST."""
-    return F.least(F.lit(MOST), F.greatest(F.lit(0.0), 1 - _along(moved, p)))
+def _rate(found: Fit, most: float = MOST, p: str = "p") -> Column:
+    """The rate of a document of these posteriors."""
+    return _followed(found.steps, len(found.targets), most, F.lit(1.0), F.lit(1.0), p)["rate"]
 
 
-def rates(members: DataFrame, targets: list[float], budget: float | None = None, rounds: int = 60) -> tuple[DataFrame, Fit]:
+def rates(members: DataFrame, targets: list[float], budget: float | None = None, most: float = MOST) -> tuple[DataFrame, Fit]:
     """members with `rate`, and the fit; targets are shares of budget (all tokens, if not given) for each domain of p."""
     k, p = len(targets), [F.get("p", i) for i in range(len(targets))]
     first = members.agg(F.sum("tokens").alias("n"), *[F.sum(F.col("tokens") * x).alias(f"t{i}") for i, x in enumerate(p)]).first()
     n = float(first["n"] or 0)
     if n == 0:
-        return members.withColumn("rate", F.lit(1.0)), Fit([0.0] * k, targets, targets, True)
-    present = [(first[f"t{i}"] or 0.0) > 0 for i in range(k)]
-    whole, scale = sum(t for t, here in zip(targets, present) if here) or 1.0, (budget or n) / n
-    goal = [t / whole * scale if here else 0.0 for t, here in zip(targets, present)]
-
-    def measured(moved: list[float]) -> tuple[float, list[float], list[list[float]]]:
-        """The least-squares dual, the totals, and the second moments of the posteriors whose rates may move."""
-        rows = members.select("tokens", "p", (1 - _along(moved)).alias("bare")).withColumn("r", F.least(F.lit(MOST), F.greatest(F.lit(0.0), F.col("bare"))))
-        t, free = F.col("tokens") / n, (F.col("bare") > 0) & (F.col("bare") < MOST)
-        sums = [F.sum(t * F.col("r") * x).alias(f"t{i}") for i, x in enumerate(p)]
-        moments = [F.sum(F.when(free, t * p[i] * p[j]).otherwise(0.0)).alias(f"g{i}_{j}") for i in range(k) for j in range(i + 1)]
-        out = rows.agg(*sums, *moments, F.sum(t * F.col("r") * (F.col("bare") - F.col("r") / 2)).alias("dual")).first()
-        dual = out["dual"] + sum(g * x for g, x in zip(goal, moved)) + PULL / 2 * sum(x * x for x in moved)
-        return dual, [out[f"t{i}"] for i in range(k)], [[out[f"g{max(i, j)}_{min(i, j)}"] for j in range(k)] for i in range(k)]
-
-    moved, settled = [0.0] * k, False
-    dual, totals, moments = measured(moved)
-    for _ in range(rounds):
-        gradient = [t - g - PULL * x for t, g, x in zip(totals, goal, moved)]
-        if max(map(abs, gradient)) <= TOLERANCE * scale:
-            settled = True
-            break
-        step, size = _solved([[x + (PULL + 1e-12) * (i == j) for j, x in enumerate(row)] for i, row in enumerate(moments)], gradient), 1.0
-        while size > 1e-4:
-            trial = [x + size * y for x, y in zip(moved, step)]
-            after = measured(trial)
-            if after[0] < dual:
+        return members.withColumn("rate", F.lit(1.0)), Fit([], targets, targets, True)
+    totals = [(first[f"t{i}"] or 0.0) / n for i in range(k)]
+    whole, scale, longest = sum(t for t, x in zip(targets, totals) if x > 0) or 1.0, (budget or n) / n, max(totals)
+    goal = [t / whole * scale if x > 0 else 0.0 for t, x in zip(targets, totals)]
+
+    def loss(reached: list[float]) -> float:
+        return sum((t - g) ** 2 for t, g in zip(reached, goal))
+
+    state = members.select("tokens", "p", F.lit(1.0).alias("rate"), F.lit(1.0).alias("before"))
+    steps, last, momentum, push, lowest, mark = [], totals, 1.0, 0.0, loss(totals), loss(totals)
+    while not (met := max(abs(t - g) for t, g in zip(totals, goal)) <= TOLERANCE * scale):
+        if steps and len(steps) % PATIENCE == 0:
+            if lowest > mark * 0.999:
                 break
-            size /= 4
+            mark = lowest
+        steps.append([push, *[(t + push * (t - x) - g) / longest for t, x, g in zip(totals, last, goal)]])
+        since = steps[len(steps) - 1 - (len(steps) - 1) % STORED :]
+        moved = state.select("tokens", "p", _followed(since, k, most, F.col("rate"), F.col("before")).alias("s")).select("tokens", "p", "s.rate", "s.before")
+        if len(since) == STORED:
+            moved = state = saved(moved, "mix-rates")
+        out = moved.agg(*[F.sum(F.col("tokens") * F.col("rate") * x).alias(f"t{i}") for i, x in enumerate(p)]).first()
+        last, totals = totals, [out[f"t{i}"] / n for i in range(k)]
+        if loss(totals) > loss(last):
+            momentum, push = 1.0, 0.0
         else:
-            break
-        moved, (dual, totals, moments) = trial, after
-    return members.withColumn("rate", _rate(moved)), Fit(moved, [g / scale for g in goal], [t / scale for t in totals], settled)
+            after = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
+            momentum, push = after, (momentum - 1) / after
+        lowest = min(lowest, loss(totals))
+    found = Fit(steps, [g / scale for g in goal], [t / scale for t in totals], met)
+    return members.withColumn("rate", _rate(found, most)), found
 
 
 def op3_mixing(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
@@ -293,6 +299,6 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], keep: s
     _, found = rates(own, list(targets.values()), budget)
     rows = whole_rows(docs).withColumn("text", F.col(f"row.`{text}`"))
     draw = F.pmod(F.xxhash64("row.doc_id", "text"), F.lit(1_000_000)) / 1_000_000
-    rated = with_members(rows, model).withColumn("times", F.floor(_rate(found.moved) + draw).cast("int"))
+    rated = with_members(rows, model).withColumn("times", F.floor(_rate(found) + draw).cast("int"))
     # no filter on the computed number: it would be pushed below and evaluate the memberships once more for each use
     return rated.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select("row.*")
