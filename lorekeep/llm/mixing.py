@@ -11,15 +11,17 @@ capitals, of symbols and of different words, each in steps. Only terms whose
 frequency differs clearly between the domains count.
 
 The expected tokens of a domain are the sum of rate x tokens x posterior.
-Projected-gradient least squares moves all rates from 1 until these totals
-match the targets (with a slight pull back to 1): a document's gradient is its
-posterior times the domains' residuals. The steps of all rounds are accumulated
-as one vector over the domains, scaled by the second moments of the posteriors
-whose rates can move, and halved until the loss falls; a document's rate is 1
-less its posterior times that vector, projected to 0 to MOST. So the state is a
-few numbers and no round writes a table. It ends when no step is left: then the
-totals are within TOLERANCE of the targets, or no nonnegative rates come closer
-with these memberships. What is reached is returned.
+Least squares moves all rates from 1 until these totals match the targets (with
+a slight pull back to 1). It is not plain projected gradient over the rates: that
+was built and took 199 rounds, a job each, for targets that this form meets in a
+few. A document's gradient is its posterior times the domains' residuals, so all
+steps are one vector over the domains; a document's rate is 1 less its posterior
+times that vector, projected to 0 to MOST. The vector moves by damped Newton steps
+on the dual: the residuals, scaled by the second moments of the posteriors whose
+rates can move, and cut until the dual loss falls. So the state is a few numbers
+and no round writes a table. It ends when no step is left: then the totals are
+within TOLERANCE of the targets, or no nonnegative rates come closer with these
+memberships. What is reached is returned.
 
 Defined cases: a null or empty text has no tokens, the prior as posterior and
 rate 1 at first like others; a missing domain (no labelled rows) has posterior
