@@ -229,7 +229,7 @@ def _rate(moved: list[float], p: str = "p") -> Column:
     return F.least(F.lit(MOST), F.greatest(F.lit(0.0), 1 - _along(moved, p)))
 
 
-def rates(members: DataFrame, targets: list[float], budget: float | None = None, rounds: int = 60) -> tuple[DataFrame, Fit]:
+def rates(members: DataFrame, targets: list[float], budget: float | None = None, rounds: int = 200) -> tuple[DataFrame, Fit]:
     """members with `rate`, and the fit; targets are shares of budget (all tokens, if not given) for each domain of p."""
     k, p = len(targets), [F.get("p", i) for i in range(len(targets))]
     first = members.agg(F.sum("tokens").alias("n"), *[F.sum(F.col("tokens") * x).alias(f"t{i}") for i, x in enumerate(p)]).first()
@@ -258,7 +258,7 @@ def rates(members: DataFrame, targets: list[float], budget: float | None = None,
             settled = True
             break
         step, size = _solved([[x + (PULL + 1e-12) * (i == j) for j, x in enumerate(row)] for i, row in enumerate(moments)], gradient), 1.0
-        while size > 1e-4:
+        while size > 1e-12:  # where few rates can move, steps are long: the dual falls at last along each, unless it is least
             trial = [x + size * y for x, y in zip(moved, step)]
             after = measured(trial)
             if after[0] < dual:
@@ -267,6 +267,8 @@ def rates(members: DataFrame, targets: list[float], budget: float | None = None,
         else:
             break
         moved, (dual, totals, moments) = trial, after
+    else:
+        raise RuntimeError(f"rates have not settled after {rounds} rounds")
     return members.withColumn("rate", _rate(moved)), Fit(moved, [g / scale for g in goal], [t / scale for t in totals], settled)
 
 

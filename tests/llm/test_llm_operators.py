@@ -196,6 +196,23 @@ def test_rates_meet_targets_or_come_closest(spark):
         assert np.linalg.norm(reached - targets) <= least + 1e-3
 
 
+def test_rates_come_closest_where_few_can_move(spark):
+    """Posteriors near the corners and unreachable targets: most rates rest at a bound, so that steps are long."""
+    import numpy as np
+
+    corners = np.array([[0.96, 0.025, 0.015], [0.3, 0.68, 0.02], [0.2, 0.1, 0.7]])
+    for seed, targets in ((0, [0.9, 0.1, 0.0]), (1, [0.6, 0.4, 0.0]), (2, [1.0, 0.0, 0.0])):
+        rng = np.random.default_rng(seed)
+        p = np.array([rng.dirichlet(corners[c] * 100) for c in rng.choice(3, 150, p=[0.7, 0.25, 0.05])]) * 0.97 + 0.01
+        tokens = rng.integers(0, 60, 150)
+        members = spark.createDataFrame([(i, int(t), [float(x) for x in q]) for i, (t, q) in enumerate(zip(tokens, p))], "doc_id long, tokens long, p array<double>")
+        _, found = mixing.rates(members, targets)
+        r, n, step = np.ones(150), tokens.sum(), 1 / np.linalg.norm(np.sqrt(tokens / tokens.sum())[:, None] * p, 2) ** 2
+        for _ in range(20_000):
+            r = np.clip(r - step * p @ ((tokens * r) @ p / n - targets), 0, mixing.MOST)
+        assert np.linalg.norm(np.array(found.reached) - targets) <= np.linalg.norm((tokens * r) @ p / n - targets) + 1e-3
+
+
 def test_mixing(spark, docs, labels, edges, no_docs):
     big, marks = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     out = mixing.op3_mixing(big, marks)
