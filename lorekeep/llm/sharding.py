@@ -238,14 +238,21 @@ def _row_key(doc_id: str, g: str) -> Column:
 
 
 def with_shards(docs: DataFrame, n_shards: int = SHARDS, text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, with size, text_crc32, shard and slot (in place of columns of these names). The
-    texts are shuffled once: rows that repeat are numbered where they meet their places."""
+    """The rows of docs, all columns, with size, text_crc32, shard and slot; a column of docs with such a name (in any
+    case) stays as `<name>_before`, with as many `_before` as make it free. The texts are shuffled once: rows that repeat
+    are numbered where they meet their places."""
     own = ["size", "text_crc32", "shard", "slot"]
+    taken, names = {c.lower() for c in [*docs.columns, *own]}, {}
+    for c in docs.columns:
+        names[c] = c
+        while c.lower() in own and names[c].lower() in taken:
+            names[c] += "_before"
+        taken.add(names[c].lower())
     places = shards(docs, n_shards, text).groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("copy", *own))).alias("places"))
     rows = whole_rows(docs).withColumn("g", F.md5(F.coalesce(F.col(f"row.`{text}`"), F.lit("")).cast("binary"))).withColumn("row_key", _row_key("row.doc_id", "g")).drop("g")
     rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("row_key").orderBy("row_key")))
     rows = rows.join(places.hint("shuffle_hash"), "row_key").withColumn("place", F.get("places", F.col("copy") - 1))
-    return rows.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in own], *[F.col(f"place.{c}") for c in own])
+    return rows.select(*[F.col(f"row.`{c}`").alias(names[c]) for c in docs.columns], *[F.col(f"place.{c}") for c in own])
 
 
 def op9_sharding(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
