@@ -3,7 +3,7 @@
 Words are runs of characters other than white space (ASCII). Grams are single
 words and pairs of neighbours, hashed (CRC-32 of a word's UTF-8) into BUCKETS. Two
 multinomials over the buckets, both with one added to each count: that of the
-trusted documents (a labelled sample) and that of the raw corpus (all documents).
+trusted documents (all labelled ones that teach) and that of the raw corpus (all documents).
 A bucket's weight is the logarithm of their ratio in thousandths, rounded, so a
 document's sum is an exact integer; its score is the sum over its number of grams.
 
@@ -12,9 +12,9 @@ thresholds the lowest that keeps most trusted and drops most distrusted ones (in
 shares). Every document is judged by it; nothing is drawn at random. Without
 labelled documents of both kinds nothing is dropped by the method.
 
-Bound: of each kind (trusted, distrusted) at most `per_class` labelled documents,
-those with the smallest md5 of their id. All counts of the raw corpus cover all
-documents, all texts are judged whole.
+Nothing is bounded: every labelled document teaches or calibrates (by the md5 of
+its id). All counts of the raw corpus cover all documents, all texts are judged
+whole. `per_class`, if given, takes of each kind only those of smallest md5.
 
 Main path: built-in functions only. A text's arrays are worked on inside its row,
 so nothing but one count a bucket is shuffled. `let` names an array that is used
@@ -37,9 +37,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import saved
+from ..session import small
 
 BUCKETS = 1 << 16
+#: Labels are counted first and broadcast if they have at most so many rows; beyond it Spark joins by shuffle.
+BROADCAST_ROWS = 1_000_000
 WINDOW = 5
 # Fewest words, most repeated words in percent.
 FEWEST, REPEATED = 10, 20
@@ -120,12 +122,14 @@ def base_columns(text: Column, of: Column) -> dict[str, Column]:
     }
 
 
-def sample(labels: DataFrame, per_class: int = 20_000) -> DataFrame:
-    """(doc_id, trusted, teaches): at most per_class documents of each kind; half of the trusted ones teach."""
+def sample(labels: DataFrame, per_class: int | None = None) -> DataFrame:
+    """(doc_id, trusted, teaches): all labelled documents, or at most per_class of each kind; half of the trusted ones teach."""
     own = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("trusted"))
     own = own.withColumn("h", F.md5(F.col("doc_id").cast("string").cast("binary")))
-    parts = [own.where(F.col("trusted") == k).orderBy("h", "doc_id").limit(per_class) for k in (1, 0)]
-    return parts[0].unionByName(parts[1]).select(F.col("doc_id").alias("id"), "trusted", ((F.col("trusted") == 1) & (F.substring("h", 1, 1) < "8")).alias("teaches"))
+    if per_class is not None:
+        parts = [own.where(F.col("trusted") == k).orderBy("h", "doc_id").limit(per_class) for k in (1, 0)]
+        own = parts[0].unionByName(parts[1])
+    return own.select(F.col("doc_id").alias("id"), "trusted", ((F.col("trusted") == 1) & (F.substring("h", 1, 1) < "8")).alias("teaches"))
 
 
 def weights(raw: dict[int, int], trusted: dict[int, int]) -> list[int]:
@@ -161,9 +165,9 @@ def threshold(rows: list[tuple[int, int, int]]) -> int | None:
     return least
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 20_000) -> tuple[list[int], int | None]:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int | None = None) -> tuple[list[int], int | None]:
     """(weight of each bucket, threshold) from docs(doc_id, text) and labels(doc_id, quality)."""
-    ids = F.broadcast(saved(sample(labels, per_class), "quality-sample"))  # at most 2 * per_class rows
+    ids = small(sample(labels, per_class), "quality-labels", BROADCAST_ROWS)
     known = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("id"), "left")
     grams = known.select(F.coalesce("teaches", F.lit(False)).cast("int").alias("teaches"), F.explode(let(codes(words("text")), buckets)).alias("b"))
     counts = grams.groupBy("b").agg(F.count("*").alias("n"), F.sum("teaches").alias("m")).collect()  # at most one row a bucket
@@ -172,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 20_000) -> tuple[li
     # one value out of one expression: a filter on it would compute it once more
     score = lambda c: F.when(F.size(c) >= FEWEST, F.floor(_sum(c, of) / (2 * F.size(c) - 1)))
     scored = judged.select("trusted", let(codes(words("text")), score).alias("score"))
-    rows = scored.groupBy("score", "trusted").agg(F.count("*").alias("n")).collect()  # at most one row a whole score of a bounded sample
+    rows = scored.groupBy("score", "trusted").agg(F.count("*").alias("n")).collect()  # at most one row a whole score of either kind
     return of, threshold([(r["score"], r["trusted"], r["n"]) for r in rows if r["score"] is not None])
 
 
