@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import entities, facts, lexical, payload, retrieval, store
+from ..operators import entities, facts, payload, retrieval, store
 from ..session import saved, table
 from . import sql as S
 from .catalogue import documents, query, sources, terms_sql
-from .catalogue_search import BASE, DRAFTS, LEXICON, SEG, WEIGHED, YEARS, drafts, gazetteer, in_one, mentions_of, one_space, records
+from .catalogue_search import BASE, DRAFTS, LEXICON, SEG, WEIGHED, YEARS, drafts, gazetteer, in_one, mentions_of, names_of, one_space, records
 
 
 def _counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -23,7 +23,8 @@ def _counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def _tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    seg, men = saved(one_space(spark, d), "segments"), mentions_of(spark, d)
+    seg = saved(one_space(spark, d), "segments")
+    men = mentions_of(spark, d, seg=seg)
     return {
         "sources": sources(spark, d).drop("text"), "segments": seg, "mentions": men, "entities": men.select("entity").distinct(),
         "embed_cache": seg.select(F.sha2("text", 256).alias("hash")).distinct(),
@@ -171,9 +172,10 @@ def relation_counts(spark, d):
 )
 def entity_profiles(spark, d):
     """Every mentioned name and one unknown: best seed, mentions, last segments, related entities."""
-    men, names = mentions_of(spark, d), saved(gazetteer(spark, d), "gazetteer")
+    names, seg = names_of(spark, d), saved(one_space(spark, d), "segments")
+    men = mentions_of(spark, d, names, seg)
     asked = men.select(F.col("entity").alias("name"), F.col("entity").alias("key")).distinct().unionByName(spark.range(1).select(F.lit("Zzzunknown").alias("name"), F.lit("zzzunknown").alias("key")))
-    out = retrieval.profiles(in_one(asked), men, saved(one_space(spark, d), "segments").select(*SEG, "ordinal"), names)
+    out = retrieval.profiles(in_one(asked), men, seg.select(*SEG, "ordinal"), names)
     return out.drop("workspace", "asked", "relations")
 
 
@@ -302,8 +304,7 @@ def fact_search_limits(spark, d):
         (15000000 + i).alias("start_key"), (15000000 + i).alias("end_key"), (i % 4 == 0).alias("diverges"),
     )
     asked = documents(spark, d).where("doc_id % 100 = 0").select(i.alias("query_id"), F.col("text").alias("query"), F.lit(None).cast("long").alias("before"), (15000000 + F.floor(i / 2)).alias("after"), (F.floor(i / 100) * 7 - 3).cast("int").alias("limit"))
-    scores = lexical.bm25(rows.select("id", facts.indexed_text().alias("text")), ["id"], lexical.query_terms(asked.select("query_id", "query")))
-    return facts.search(scores, rows, asked, divergences=False).withColumn("rank", F.col("rank").cast("long"))
+    return facts.found(rows, asked, divergences=False).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(
