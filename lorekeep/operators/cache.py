@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import HASH_DIMS, tokens
-from ..session import saved
+from ..session import saved, small
 from . import dense, store
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -27,6 +27,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 HASH_SPACE = f"hash-v2@{HASH_DIMS}"
 CACHE = "hash string, space string, {value}, made long"
 VECTOR, PAYLOAD = "vec array<double>", "payload string"
+NAMES = ["hash", "space", "value", "origin", "problem"]
+#: A broadcast side is counted first and holds at most so many rows.
+BROADCAST_ROWS = 200_000
 
 
 class HashProvider:
@@ -40,23 +43,32 @@ def _calls(provider, method: str, fallback):
     call = getattr(provider, method)
 
     def run(batches):
+        kind = pa.list_(pa.float64()) if method == "encode" else pa.string()
         for batch in batches:
+            if call is None:
+                rows = fallback(batch.column(2))
+                n, offsets = batch.num_rows, pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * rows.shape[1])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([provider.space] * n, pa.string()), pa.ListArray.from_arrays(offsets, pa.array(rows.ravel())), pa.array(["provider"] * n, pa.string()), pa.nulls(n, pa.string())], names=NAMES)
+                continue
+            every, spaces, problems, failed = [], [], [], []
             for at in range(0, batch.num_rows, provider.batch):
-                part = batch.slice(at, provider.batch)
-                problem, space, origin = None, provider.space, "provider"
+                part, problem = batch.slice(at, provider.batch), None
                 try:
-                    if call is None:
-                        values = fallback(part.column(2))
-                    else:
-                        values = [None if v is None else v if isinstance(v, str) else np.asarray(v, dtype=float) for v in call(part.column(1).to_pylist())]
+                    values = [None if v is None else v if isinstance(v, str) else np.asarray(v, dtype=float) for v in call(part.column(1).to_pylist())]
                     if len(values) != part.num_rows:
                         raise ValueError(f"{len(values)} results for {part.num_rows} texts")
                 except Exception as e:  # providers have errors of their own; the row says which
-                    problem, space, origin = f"{type(e).__name__}: {e}"[:200], HASH_SPACE if method == "encode" else provider.space, "fallback"
-                    values = fallback(part.column(2))
-                n = part.num_rows
-                kind = pa.list_(pa.float64()) if method == "encode" else pa.string()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([space] * n), pa.array(list(values), kind), pa.array([origin] * n), pa.array([problem] * n, pa.string())], names=["hash", "space", "value", "origin", "problem"])
+                    problem = f"{type(e).__name__}: {e}"[:200]
+                    values = [None] * part.num_rows
+                    failed += range(at, at + part.num_rows)
+                every += values
+                spaces += [HASH_SPACE if problem is not None and method == "encode" else provider.space] * part.num_rows
+                problems += [problem] * part.num_rows
+            if failed:  # all texts of the batch that failed at once
+                for i, value in zip(failed, fallback(batch.column(2).take(pa.array(failed)))):
+                    every[i] = value
+            origins = ["provider" if p is None else "fallback" for p in problems]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spaces, pa.string()), pa.array(every, kind), pa.array(origins, pa.string()), pa.array(problems, pa.string())], names=NAMES)
 
     return run
 
@@ -87,7 +99,12 @@ def extracted(units: DataFrame, key: list[str], cache: DataFrame, extractor, mad
 
 
 def _merged(cache: DataFrame, added: DataFrame) -> DataFrame:
-    return store.latest(cache.unionByName(added), ["hash", "space"], [F.col("made")])
+    """Of rows with one hash and space the newest: hashes alone are grouped, and only rows whose key comes twice are shuffled."""
+    every, key = cache.unionByName(added), ["hash", "space"]
+    twice = small(every.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key), "twice", BROADCAST_ROWS)
+    if twice.isEmpty():
+        return every
+    return every.join(twice, key, "left_anti").unionByName(store.latest(every.join(twice, key, "left_semi"), key, [F.col("made")]))
 
 
 def enriched(mentions: DataFrame, found: DataFrame, segment: list[str]) -> DataFrame:
